@@ -30,6 +30,11 @@ TOP_KEY_ALIASES = {
     "last_update_date": ("last_update_date", "updated_at", "lastUpdate"),
 }
 
+# Further paths that have one name only.
+OTHER_NAMES = ("leakage", "anharm")
+OTHER_ENTRY_KEYS = ("flags", "method", "stderr")
+OTHER_TOP_KEYS = ("backend_name", "backend_version", "qubits", "general", "chip", "n_qubits", "remarks")
+
 # Unit spellings (after NFKC and lower case) by common unit.
 UNIT_SPELLINGS = {
     "s": ("s", "sec", "secs", "second", "seconds"),
