@@ -211,7 +211,7 @@ def t1_in_seconds(calibration: DataFrame) -> DataFrame:
     posterior = F.when(has_log, 1.0 / sum((F.exp(F.col(f"_s_{u}") - top) for u in names[1:]), F.exp(F.col(f"_s_{names[0]}") - top)))
     factor = F.when(F.col("t1_unit") == "ms", 1e-3).when(F.col("t1_unit") == "us", 1e-6).when(F.col("t1_unit") == "ns", 1e-9).otherwise(1.0)
     helpers = ["_source", "_mu", "_sigma", "_shares", "_hint", "_x", *[f"_s_{u}" for u in names]]
-    return scored.withColumn("t1_unit", unit).withColumns({"t1_common": number * factor, "t1_posterior": posterior, "t1_uncertain": F.coalesce(posterior < CERTAIN, F.lit(False))}).drop(*helpers)
+    return scored.withColumn("t1_unit", unit).withColumns({"t1_common": F.when(factor == 1.0, number).otherwise(F.round(number * factor, 15)), "t1_posterior": posterior, "t1_uncertain": F.coalesce(posterior < CERTAIN, F.lit(False))}).drop(*helpers)
 
 
 def found_units(archive: DataFrame, parsed: DataFrame, backends: DataFrame, calibration: DataFrame) -> DataFrame:
