@@ -123,8 +123,8 @@ def split_quantity(text: str) -> tuple[float, str] | None:
 _TIME_WORDS = [
     ("ns", re.compile(r"(?<![a-z])(?:ns|nsec|nano-?s(?:ec(?:ond)?s?)?)(?![a-z])")),
     ("us", re.compile(r"(?<![a-zμ])(?:us|usec|μs|micro-?s(?:ec(?:ond)?s?)?)(?![a-z])")),
-    ("ms", re.compile(r"(?<![a-z])(?:ms|msec|milli-?s(?:ec(?:ond)?s?)?)(?![a-z])")),
-    ("s", re.compile(r"(?<![a-z])(?:s|secs?|seconds?)(?![a-z])")),
+    ("ms", re.compile(r"(?<![a-zμ])(?:ms|msec|milli-?s(?:ec(?:ond)?s?)?)(?![a-z])")),
+    ("s", re.compile(r"(?<![a-zμ-])(?:s|secs?|seconds?)(?![a-z])")),
 ]
 
 
