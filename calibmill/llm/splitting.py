@@ -24,12 +24,19 @@ STRENGTHS = ("character", "word", "clause", "sentence", "line", "paragraph")
 #: How far from its target a cut looks for the strongest boundary first, as a share of a piece, and the most pieces added.
 NEARBY, EXTRA = 0.15, 3
 
-_BOUNDARY = re.compile(
-    r"(?P<p>[^\S\n]*\n[^\S\n]*\n\s*)|(?P<l>[^\S\n]*\n[^\S\n]*)"
-    r"|(?P<s>[.!?…]+[\"')\]»”’]*\s+|[。！？]+[」』）”]*[^\S\n]*)"
-    r"|(?P<c>[;:,]\s+|[、，；：][^\S\n]*)|(?P<w>\s+|-(?=\w))"
-)
-_STRENGTH = {"p": PARAGRAPH, "l": LINE, "s": SENTENCE, "c": CLAUSE, "w": WORD}
+_BOUNDARY = re.compile(r"(?:(?P<s>[.!?…]+[\"')\]»”’]*(?=\s)|[。！？]+[」』）”]*)|(?P<c>[;:,](?=\s)|[、，；：]))\s*|\s+|-(?=\w)")
+
+
+def _strength(found: re.Match) -> int:
+    """What a stretch of punctuation and white space is worth."""
+    lines = found[0].count("\n")
+    if lines:
+        return PARAGRAPH if lines > 1 else LINE
+    if found["s"]:
+        return SENTENCE
+    if found["c"]:
+        return CLAUSE
+    return WORD
 
 
 class Layout:
@@ -40,7 +47,7 @@ class Layout:
         points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
         widths = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
         self.ends = np.concatenate([[0], np.cumsum(widths)])
-        found = [(m.end(), _STRENGTH[m.lastgroup]) for m in _BOUNDARY.finditer(text) if 0 < m.end() < len(text)]
+        found = [(m.end(), _strength(m)) for m in _BOUNDARY.finditer(text) if m.end() < len(text)]
         self.cuts = self.ends[[at for at, _ in found]] if found else np.empty(0, np.int64)
         self.strengths = np.array([s for _, s in found], dtype=np.int64)
         self.text = text
