@@ -98,7 +98,7 @@ def _cut(layout: Layout, pieces: int, limit: int, overlap: int) -> list[tuple[in
             pick = at, CHARACTER
         end = pick[0]
         out.append((start, *pick))
-        start = max(layout.floor(end - overlap), start + 1 if layout.floor(end - overlap) <= start else 0)
+        start = layout.floor(end - overlap)
     if total - start > limit:
         return None
     return [*out, (start, total, PARAGRAPH)]
@@ -117,20 +117,30 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]
     if total <= limit:
         return [(0, total, PARAGRAPH)]
     least = 1 + -(-(total - limit) // (limit - overlap))
-    first = None
-    pieces = least
-    while True:
+    best, tries = None, EXTRA
+    for pieces in range(least, least + least // 4 + 3 * EXTRA):
         found = _cut(layout, pieces, limit, overlap)
         if found is not None:
-            if all(s > CHARACTER for _, _, s in found):
-                return found
-            if first is None:
-                first, most = found, pieces + EXTRA
-            elif sum(s == CHARACTER for _, _, s in found) < sum(s == CHARACTER for _, _, s in first):
-                first = found
-        if first is not None and pieces >= most:
-            return first
-        pieces += 1
+            bare = sum(s == CHARACTER for _, _, s in found)
+            if best is None or bare < best[0]:
+                best = bare, found
+            tries -= 1
+            if not bare or tries < 0:
+                break
+    return best[1] if best else _in_turn(layout, limit, overlap)
+
+
+def _in_turn(layout: Layout, limit: int, overlap: int) -> list[tuple[int, int, int]]:
+    """Pieces one after the other, each ended in the second half of its room: for texts whose balanced targets can't be met,
+    as where characters are wide against the room between limit and overlap. It always gets on, by a character at least."""
+    total, start, end, out = len(layout.data), 0, 0, []
+    while total - start > limit:
+        low, high = max(end + 1, start + limit // 2), start + limit
+        pick = layout.best(low, high, high) or (layout.floor(high), CHARACTER)
+        end = pick[0]
+        out.append((start, *pick))
+        start = layout.floor(end - overlap)
+    return [*out, (start, total, PARAGRAPH)]
 
 
 SCHEMA = pa.schema([("budget_id", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("pieces", pa.int32()), ("start_byte", pa.int64()), ("end_byte", pa.int64()), ("n_tokens", pa.int32()), ("overlap", pa.int32()), ("cut", pa.string()), ("piece_text", pa.string())])
