@@ -54,7 +54,7 @@ def mine_label(calibration: DataFrame) -> tuple[DataFrame, DataFrame]:
     holds = [d for d in ("backend", "qubit", "backend,qubit") if found[d] >= LEAST_CONFIDENCE]
     keys = (holds[0] if holds else "backend,qubit").split(",")
     dictionary = counts.groupBy(*keys, LABEL).agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.max_by(LABEL, F.struct("n", LABEL)).alias("fd_label"))
-    return dependencies, dictionary.withColumn("sure", F.lit(bool(holds)))
+    return dependencies, stage(dictionary.withColumn("sure", F.lit(bool(holds))))
 
 
 def _middle(values: list[Column]) -> Column:
@@ -125,7 +125,7 @@ def impute(calibration: DataFrame) -> DataFrame:
     confidence = {(r["determinant"], r["target"]): r["confidence"] if r["tested"] else 0.0 for r in verify_numbers(rows).collect()}  # four rows
     out = rows
     for keys in (["backend", "qubit"], ["backend"]):
-        level = _levels(rows, *keys)
+        level = stage(_levels(rows, *keys))  # of known size, so that rows needn't be shuffled to meet it
         renamed = level.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in level.columns if c not in keys])
         out = out.join(renamed, reduce(lambda a, b: a & b, [out[k].eqNullSafe(renamed[f"_{k}"]) for k in keys]), "left").drop(*[f"_{k}" for k in keys])
     overall = _levels(rows).first()  # one row

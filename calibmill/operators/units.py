@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from calibmill.functions.lexicon import FIELD_PRIOR, FIELD_UNITS
 from calibmill.operators import entries as E
+from calibmill.session import stage
 
 BINS_PER_DECADE = 50
 CERTAIN = 0.99
@@ -94,7 +95,8 @@ def fit_units(values: DataFrame) -> DataFrame:
     """A model per (source, field) from (source, field, number, unit): counts per bin, then EM over the bins.
 
     The histogram is aggregated before it is shuffled, so a source holding most rows costs no more than another;
-    a group is at most (decades x bins x units) rows. Zero, null, NaN and infinite numbers don't count.
+    a group is at most (decades x bins x units) rows. Zero, null, NaN and infinite numbers don't count. The model is
+    staged: its size is known when it is joined, so values needn't be shuffled by source to meet a few rows.
     """
     size = F.abs("number")
     bins = (
@@ -102,7 +104,7 @@ def fit_units(values: DataFrame) -> DataFrame:
         .groupBy(F.coalesce("source", F.lit("")).alias("source"), "field", "unit", F.round(F.log10(size) * BINS_PER_DECADE).cast("int").alias("bin"))
         .agg(F.count("*").alias("n"))
     )
-    return bins.groupBy("source", "field").applyInPandas(_fit, MODEL_DDL)
+    return stage(bins.groupBy("source", "field").applyInPandas(_fit, MODEL_DDL))
 
 
 def _log_density(field: str, unit: str, offset: Column) -> Column:
