@@ -68,13 +68,18 @@ class RuleBase:
     # -- compiled -----------------------------------------------------------------------------------------------
 
     def with_degrees(self, rows: DataFrame) -> DataFrame:
-        """The rows with a low and a high degree per input and shape: _mf_<input>_<shape>_lo / _hi."""
-        columns: dict[str, Column] = {}
+        """The rows with a low and a high degree per input and shape: _mf_<input>_<shape>_lo / _hi.
+
+        Degrees of missing inputs are 0 here and the inputs themselves 0 in ``_x_<input>``: columns that can't be NULL keep the
+        code of all rules free of NULL checks. Whoever uses them masks such rows (``missing``).
+        """
+        columns: dict[str, Column] = {f"_x_{i}": F.coalesce(F.col(name).cast("double"), F.lit(0.0)) for i, name in enumerate(self.inputs)}
         for i, name in enumerate(self.inputs):
             for k, shape in enumerate(self.shapes[i]):
                 degree = shape.degree(F.col(name))
-                columns[f"_mf_{i}_{k}_lo"] = degree.low
-                columns[f"_mf_{i}_{k}_hi"] = degree.high if shape.interval else F.lit(None).cast("double")
+                columns[f"_mf_{i}_{k}_lo"] = F.coalesce(degree.low, F.lit(0.0))
+                if shape.interval:
+                    columns[f"_mf_{i}_{k}_hi"] = F.coalesce(degree.high, F.lit(0.0))
         return rows.withColumns(columns)
 
     def _side(self, i: int, k: int, side: str) -> Column:
@@ -88,7 +93,11 @@ class RuleBase:
 
     def consequent(self, rule: int, output: int) -> Column:
         *slopes, constant = self.consequents[rule, output].tolist()
-        return sum((F.lit(a) * F.col(x) for a, x in zip(slopes, self.inputs)), F.lit(0.0)) + F.lit(constant)
+        return sum((F.lit(a) * F.col(f"_x_{i}") for i, a in enumerate(slopes)), F.lit(constant))
+
+    def missing(self) -> Column:
+        """Whether an input is NULL or NaN."""
+        return reduce(lambda a, b: a | b, (F.col(x).isNull() | F.isnan(F.col(x).cast("double")) for x in self.inputs))
 
     # -- relational ---------------------------------------------------------------------------------------------
 
@@ -102,19 +111,32 @@ class RuleBase:
         return F.from_json(F.lit(json.dumps(rows)), "array<struct<rule_id:int,mf_ids:array<int>,consequent:array<array<double>>>>")
 
 
-def firing(rows: DataFrame, base: RuleBase, keys: Sequence[str]) -> DataFrame:
+def firing(rows: DataFrame, base: RuleBase, keys: Sequence[str], form: str | None = None) -> DataFrame:
     """A row per row and rule: keys, rule_id, f, f_low, f_high, y. ``f`` is the midpoint for interval bases, whose bounds
-    are kept; for others the bounds are NULL. A row with a NULL or NaN input fires with NULL."""
-    degrees = base.with_degrees(rows.select(*keys, *[c for c in base.inputs if c not in keys]))
-    per_input = lambda side: F.array(*[F.array(*[base._side(i, k, side) for k in range(len(s))]) for i, s in enumerate(base.shapes)])
-    joined = degrees.select(*keys, F.array(*[F.col(x).cast("double") for x in base.inputs]).alias("_x"), per_input("lo").alias("_lo"), per_input("hi").alias("_hi"), F.explode(base.literal()).alias("_r")).select("*", "_r.*")
-    strength = lambda side: F.aggregate(F.zip_with(side, "mf_ids", lambda d, k: d[k]), F.lit(1.0), lambda a, d: a * d)
-    y = F.transform("consequent", lambda c: F.aggregate(F.zip_with(c, F.concat("_x", F.array(F.lit(1.0))), lambda a, x: a * x), F.lit(0.0), lambda s, v: s + v))
-    out = joined.select(*keys, "rule_id", strength("_lo").alias("_l"), strength("_hi").alias("_h"), y.alias("y"))
+    are kept; for others the bounds are NULL. A row with a NULL or NaN input fires with NULL. Small bases are written out
+    rule by rule, which compiles; large ones are a constant array that rows meet by exploding it."""
+    form = form or ("compiled" if len(base.rules) <= COMPILE_UP_TO else "relational")
+    degrees = base.with_degrees(rows.select(*keys, *[c for c in base.inputs if c not in keys])).withColumn("_missing", base.missing())
+    if form == "compiled":
+        numbers: dict[str, Column] = {}
+        for r in range(len(base.rules)):
+            low, high = base.strengths(r)
+            numbers |= {f"_l_{r}": low} | ({f"_h_{r}": high} if base.interval else {}) | {f"_y_{r}_{o}": base.consequent(r, o) for o in range(base.outputs)}
+        structs = [F.struct(F.lit(r).alias("rule_id"), F.col(f"_l_{r}").alias("_l"), F.col(f"_h_{r}" if base.interval else f"_l_{r}").alias("_h"), F.array(*[F.col(f"_y_{r}_{o}") for o in range(base.outputs)]).alias("y")) for r in range(len(base.rules))]
+        held = list(dict.fromkeys([*keys, "_missing"]))
+        out = degrees.select(*held, *[c.alias(n) for n, c in numbers.items()]).select(*held, F.explode(F.array(*structs)).alias("_r")).select(*held, "_r.*")
+    else:
+        per_input = lambda side: F.array(*[F.array(*[base._side(i, k, side) for k in range(len(s))]) for i, s in enumerate(base.shapes)])
+        joined = degrees.select(*keys, "_missing", F.array(*[F.col(f"_x_{i}") for i in range(len(base.inputs))]).alias("_x"), per_input("lo").alias("_lo"), per_input("hi").alias("_hi"), F.explode(base.literal()).alias("_r")).select("*", "_r.*")
+        strength = lambda side: F.aggregate(F.zip_with(side, "mf_ids", lambda d, k: d[k]), F.lit(1.0), lambda a, d: a * d)
+        y = F.transform("consequent", lambda c: F.aggregate(F.zip_with(c, F.concat("_x", F.array(F.lit(1.0))), lambda a, x: a * x), F.lit(0.0), lambda s, v: s + v))
+        out = joined.select(*keys, "_missing", "rule_id", strength("_lo").alias("_l"), strength("_hi").alias("_h"), y.alias("y"))
+    there = lambda c: F.when(~F.col("_missing"), c)
+    y = there(F.col("y")).alias("y")
     if base.interval:
-        return out.select(*keys, "rule_id", (0.5 * (F.col("_l") + F.col("_h"))).alias("f"), F.col("_l").alias("f_low"), F.col("_h").alias("f_high"), "y")
+        return out.select(*keys, "rule_id", there(0.5 * (F.col("_l") + F.col("_h"))).alias("f"), there(F.col("_l")).alias("f_low"), there(F.col("_h")).alias("f_high"), y)
     none = F.lit(None).cast("double")
-    return out.select(*keys, "rule_id", F.col("_l").alias("f"), none.alias("f_low"), none.alias("f_high"), "y")
+    return out.select(*keys, "rule_id", there(F.col("_l")).alias("f"), none.alias("f_low"), none.alias("f_high"), y)
 
 
 OK, NO_INPUT, NO_FIRING, NOT_INTERVAL = "ok", "missing input", "no rule fires", "bounds need interval rules"
@@ -131,7 +153,7 @@ def defuzzify(rows: DataFrame, base: RuleBase, keys: Sequence[str], method: str
         raise ValueError(f"no such method: {method!r}")
     form = form or ("compiled" if len(base.rules) <= COMPILE_UP_TO else "relational")
     sides = ("low", "high") if method == "two_bound" else ("mid",)
-    missing = reduce(lambda a, b: a | b, (F.col(x).isNull() | F.isnan(F.col(x).cast("double")) for x in base.inputs))
+    missing = base.missing()
     if form == "compiled":
         degrees = base.with_degrees(rows)
         strengths: dict[str, Column] = {}
@@ -144,8 +166,8 @@ def defuzzify(rows: DataFrame, base: RuleBase, keys: Sequence[str], method: str
         sums = fired.select(*keys, missing.alias("_missing"), *[total[s].alias(f"_t_{s}") for s in sides], *[weighted[s, o].alias(f"_w_{s}_{o}") for s, o in weighted])
     else:
         strength = {"mid": "f", "low": F.coalesce("f_low", "f"), "high": F.coalesce("f_high", "f")}
-        held = rows.select(*keys, *[x for x in base.inputs if x not in keys]).withColumn("_missing", missing)
-        fired = firing(held, base, [*keys, "_missing"])
+        held = rows.select(*keys, *[x for x in base.inputs if x not in keys]).withColumn("_unknown", missing)
+        fired = firing(held, base, [*keys, "_unknown"], "relational").withColumnRenamed("_unknown", "_missing")
         col = lambda s: F.col(strength[s]) if isinstance(strength[s], str) else strength[s]
         sums = fired.groupBy(*keys, "_missing").agg(*[F.sum(col(s)).alias(f"_t_{s}") for s in sides], *[F.sum(col(s) * F.col("y")[o]).alias(f"_w_{s}_{o}") for s in sides for o in range(base.outputs)])
     raw = {}

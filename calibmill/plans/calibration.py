@@ -313,11 +313,20 @@ _tsk("tsk_it2_weighted", True, "weighted")
 _tsk("tsk_it2_two_bound", True, "two_bound")
 
 
-@query(f"{_rules_sql(base(True))} SELECT l_orderkey, l_linenumber, rule_id, round(0.5 * (lo + hi), 6) + 0.0 AS f, round(lo, 6) + 0.0 AS f_low, round(hi, 6) + 0.0 AS f_high, round(y0, 6) + 0.0 AS y0, round(y1, 6) + 0.0 AS y1 FROM g")
+def _millionths_sql(x: str) -> str:
+    return f"floor(({x}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE"
+
+
+def _millionths(x: Column) -> Column:
+    """x to six digits without decimal arithmetic: for results of many rows."""
+    return F.floor(x * 1e6 + 0.5) / 1e6
+
+
+@query(f"{_rules_sql(base(True))} SELECT l_orderkey, l_linenumber, rule_id, {_millionths_sql('0.5 * (lo + hi)')} AS f, {_millionths_sql('lo')} AS f_low, {_millionths_sql('hi')} AS f_high, {_millionths_sql('y0')} AS y0, {_millionths_sql('y1')} AS y1 FROM g")
 def rule_firing(spark: SparkSession, sf: str) -> DataFrame:
-    """Strengths and consequents by rule: the relational form."""
+    """Strengths and consequents by rule: a row per lineitem and rule."""
     rows = rules.firing(table(spark, sf, "lineitem"), base(True), _KEY)
-    return rows.select(*_KEY, "rule_id", *[r6(F.col(c)).alias(c) for c in ("f", "f_low", "f_high")], r6(F.col("y")[0]).alias("y0"), r6(F.col("y")[1]).alias("y1"))
+    return rows.select(*_KEY, "rule_id", *[_millionths(F.col(c)).alias(c) for c in ("f", "f_low", "f_high")], _millionths(F.col("y")[0]).alias("y0"), _millionths(F.col("y")[1]).alias("y1"))
 
 
 @query("SELECT CAST(a * 9 + b * 3 + c AS INT) AS rule_id, CAST(a AS INT) AS mf_0, CAST(b AS INT) AS mf_1, CAST(c AS INT) AS mf_2 FROM range(3) t(a), range(3) u(b), range(3) v(c)")
