@@ -59,12 +59,12 @@ def read_bodies(spark, path: str) -> DataFrame:  # noqa: ANN001
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 
-def parse_snapshots(bodies: DataFrame) -> DataFrame:
+def parse_snapshots(bodies: DataFrame, naive_is_error: bool = False) -> DataFrame:
     """(path, backend, ts, schema_version, qubits, error) of bodies (path, body).
 
     Properties that are missing or null count as empty, a missing list of qubits too; other types are errors, and so are a
     timestamp that is no text or no time, and a body that is no JSON. The timestamp is that of the body, else the properties'
-    last_update_date; a bad first one is not replaced by the second.
+    last_update_date; a bad first one is not replaced by the second. A time without a zone is UTC, or an error on request.
     """
     parsed = bodies.withColumn("_b", F.from_json("body", BODY_DDL))
     p, top = F.col("_b.properties"), F.col("_b.timestamp")
@@ -78,6 +78,7 @@ def parse_snapshots(bodies: DataFrame) -> DataFrame:
         .when(~none & ~kind_of(qubits).startswith("ARRAY"), F.concat(F.lit("'properties.qubits' must be a list, got "), kind_of(qubits)))
         .when(stamp.isNull(), "snapshot timestamp missing or non-string")
         .when(timestamp_of(stamp).isNull(), F.concat(F.lit("invalid timestamp '"), stamp, F.lit("'")))
+        .when(F.lit(naive_is_error) & ~stamp.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.concat(F.lit("timestamp without a zone '"), stamp, F.lit("'")))
     )
     backend = F.coalesce(F.nullif(text_of(F.col("_b.backend")), F.lit("")), F.nullif(text_of(F.try_variant_get(p, "$.backend_name", "variant")), F.lit("")), F.lit(""))
     return parsed.select("path", backend.alias("backend"), timestamp_of(stamp).alias("ts"), text_of(F.col("_b.schema_version")).alias("schema_version"), F.when(error.isNull(), qubits).alias("qubits"), F.concat_ws(": ", "path", error).alias("_e"), error.isNull().alias("_ok")).withColumn("error", F.when(~F.col("_ok"), F.col("_e"))).drop("_e", "_ok")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from calibmill.functions import squash
 from calibmill.functions.membership import Custom, Gaussian, IntervalGaussian, Shape, TanhPulse, Trapezoidal, Triangular
 from calibmill.operators import channels, circuits, metrics, parsing, rules
+from calibmill.plans.pipeline import NoisePipeline
 from calibmill.session import shared_dir, table
 from calibmill.sources import archive
 from calibmill.streaming import poller
@@ -384,6 +385,19 @@ def preset_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     return rules.ensemble(done, 8)
 
 
+@query()
+def pipeline_channels(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole pipeline with an exchanged stage: sigmoid instead of clipping, down to the channel per snapshot."""
+    done = NoisePipeline(_flagship_base(), squash=squash.sigmoid).channels(entries(spark, sf), "day")
+    return done.select("day", "params", "channel_status", "kraus")
+
+
+@query()
+def target_projection(spark: SparkSession, sf: str) -> DataFrame:
+    """Targets of the archive as flat operations with numeric durations and errors."""
+    return table(spark, sf, "raw_archive").select("archive_id", archive.project_target(F.col("target")).alias("target"))
+
+
 # -- channels, circuits ---------------------------------------------------------------------------------------------
 
 _PARAMS = "SELECT DISTINCT l_discount AS g, l_tax AS l FROM lineitem"

@@ -107,6 +107,21 @@ def target_json(target: Column) -> Column:
     return F.when(target.isNotNull(), F.to_json(target))
 
 
+def project_target(text: Column) -> Column:
+    """The projection of a target's JSON text, as JSON: operations with name and qargs, duration and error only where they are
+    numbers; operations that are no objects are skipped, and instances listed under an operation become operations of its name.
+    NULL for NULL and for texts that are no JSON object."""
+    v = F.try_parse_json(text)
+    get = lambda x, path, kind: F.try_variant_get(x, path, kind)
+    number = lambda x, path: F.when(~F.coalesce(F.schema_of_variant(get(x, path, "variant")).isin("STRING", "BOOLEAN", "VOID"), F.lit(True)), get(x, path, "double"))
+    one = lambda name, x: F.struct(name.alias("name"), get(x, "$.qargs", "array<int>").alias("qargs"), number(x, "$.duration").alias("duration"), number(x, "$.error").alias("error"))
+    listed = lambda x, path: F.coalesce(get(x, path, "array<variant>"), F.when(F.schema_of_variant(get(x, path, "variant")).startswith("OBJECT"), F.array(get(x, path, "variant"))), F.array().cast("array<variant>"))
+    objects = lambda xs: F.filter(xs, lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)))
+    named = lambda x: get(x, "$.name", "string")
+    flat = F.flatten(F.transform(objects(listed(v, "$.operations")), lambda o: F.when(F.size(objects(listed(o, "$.instances"))) > 0, F.transform(objects(listed(o, "$.instances")), lambda i: one(named(o), i))).otherwise(F.array(one(named(o), o)))))
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.to_json(F.struct(get(v, "$.num_qubits", "int").alias("num_qubits"), get(v, "$.physical_qubits", "array<int>").alias("physical_qubits"), flat.alias("operations"))))
+
+
 def configuration_json(configuration: Column) -> Column:
     return F.when(configuration.isNotNull(), F.to_json(configuration))
 

@@ -325,3 +325,26 @@ def test_ingest_is_idempotent(spark, tmp_path):
 def test_custom_and_native_shape_agree(spark):
     native, own = Gaussian(1, 2), Custom(lambda x: pd.Series(np.exp(-0.5 * ((x - 1) / 2) ** 2)))
     assert [d[0] for d in degrees(spark, native, [0.0, 1.5])] == pytest.approx([d[0] for d in degrees(spark, own, [0.0, 1.5])])
+
+
+def test_pipeline_stages_can_be_exchanged(spark):
+    from calibmill.plans.pipeline import NoisePipeline
+
+    rows = spark.createDataFrame([("a", "T1", 1.0), ("a", "T2", 1.0), ("a", "readout_error", 0.5), ("b", "T1", 1.0)], "snap string, name string, number double")
+    grid = rules.RuleBase.grid({f: [Gaussian(0, 1), Gaussian(1, 1)] for f in parsing.FEATURES}, 2)
+    got = {r.snap: r for r in NoisePipeline(grid, squash=squash.sigmoid).channels(rows, "snap").collect()}
+    assert got["a"].params == [0.5, 0.5] and got["a"].channel_status == "ok" and got["b"].status == "missing input" and got["b"].kraus is None
+    own = NoisePipeline(grid, metrics={"total_variation": lambda p, q: F.sum(F.abs(p - q)) / 2})
+    assert own.compare(counts(spark, {"0": 1, "1": 1}), counts(spark, {"0": 1}), ["circuit_id"]).first().total_variation == 0.5
+
+
+def test_target_projection(spark):
+    text = json.dumps({"num_qubits": 2, "physical_qubits": [0, 1], "operations": [{"name": "x", "qargs": [0], "duration": "long", "error": 0.1}, 5, None, {"name": "cx", "instances": [None, {"qargs": [0, 1], "duration": 1}]}, {"name": "id"}]})
+    got = [r.t for r in spark.createDataFrame([(text,), (None,), ("[1]",), ("{",)], "x string").select(archive.project_target(F.col("x")).alias("t")).collect()]
+    assert got[1:] == [None, None, None]
+    assert json.loads(got[0])["operations"] == [{"name": "x", "qargs": [0], "error": 0.1}, {"name": "cx", "qargs": [0, 1], "duration": 1.0}, {"name": "id"}]
+
+
+def test_times_without_zone_can_be_errors(spark):
+    rows = spark.createDataFrame([("a", '{"timestamp": "2026-05-01T00:00:00"}'), ("b", '{"timestamp": "2026-05-01T00:00:00Z"}')], "path string, body string")
+    assert {r.path: r.error is None for r in parsing.parse_snapshots(rows, naive_is_error=True).collect()} == {"a": False, "b": True}
