@@ -111,7 +111,10 @@ def lifespans(archive: DataFrame, footers: DataFrame) -> DataFrame:
 
 def _placed(archive: DataFrame, footers: DataFrame) -> DataFrame:
     files = E.sequences(archive, footers.where("kind = 'file'"))
-    return footers.where("kind = 'path'").select("archive_id", "space", "path", "common", "known", "json_type", "n_values", "signature").join(files.select("archive_id", "backend", "campaign", "idx", "last_idx"), "archive_id")
+    along = Window.partitionBy("backend", "campaign", "space", "path").orderBy("idx")
+    rows = footers.where("kind = 'path'").select("archive_id", "space", "path", "common", "known", "json_type", "n_values", "signature").join(files.select("archive_id", "backend", "campaign", "idx", "last_idx"), "archive_id")
+    # a row that repeats an archive_id is the same file; the windows behind this one share its partitioning and order
+    return rows.withColumn("_again", F.coalesce(F.lag("idx").over(along) == F.col("idx"), F.lit(False))).where("not _again").drop("_again")
 
 
 def layout_events(archive: DataFrame, footers: DataFrame) -> DataFrame:

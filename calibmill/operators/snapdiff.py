@@ -31,10 +31,12 @@ def islands(records: DataFrame, key: list[str]) -> DataFrame:
 
     records: the key columns, ``idx`` (order of the snapshot), ``last_idx`` (of the sequence's last one), ``state``, ``number``
     and whatever else. Content is compared with the row before, so an island may drift by less than the tolerance a step.
+    Of rows that repeat a record of one snapshot the first by state and number counts.
     """
-    along = Window.partitionBy(*key).orderBy("idx")
+    along = Window.partitionBy(*key).orderBy("idx", "state", "number")
+    once = records.withColumn("_again", F.coalesce(F.lag("idx").over(along) == F.col("idx"), F.lit(False))).where("not _again").drop("_again")
     marked = (
-        records.withColumn("_hash", F.xxhash64("state", "number"))
+        once.withColumn("_hash", F.xxhash64("state", "number"))
         .withColumn("_before", F.lag(F.struct("idx", "state", "number", F.col("_hash").alias("hash"))).over(along))
         .withColumn("_next_idx", F.lead("idx").over(along))
         .withColumn("_adjacent", F.coalesce(F.col("_before.idx") == F.col("idx") - 1, F.lit(False)))

@@ -151,6 +151,7 @@ def convert_entries(archive: DataFrame, parsed: DataFrame, backends: DataFrame)
     parsed: staged ``parse_archive``. Columns: archive_id, source (backend), qubit, field, state, number, unit
     (as stated), unit_used, unit_from, posterior, uncertain, common (value in us, ns, GHz or as a fraction).
     The device clock comes from the file's configuration, else from other files of the backend, else from ``backends``.
+    An archive row that repeats an archive_id gives its entries again.
     """
     files = parsed.where("kind = 'file'").select("archive_id", "body_backend", "config_dt_ns")
     owner = (
@@ -158,7 +159,9 @@ def convert_entries(archive: DataFrame, parsed: DataFrame, backends: DataFrame)
         .join(files, "archive_id")
         .select("archive_id", E.true_backend(F.col("backend"), F.col("body_backend"), F.col("file_name"), F.col("properties")).alias("source"), "config_dt_ns")
     )
-    clocks = owner.groupBy("source").agg(F.max("config_dt_ns").alias("any_dt_ns")).join(backends.select(F.col("backend").alias("source"), F.nanvl("dt_ns", F.lit(None)).alias("dt_ns")), "source", "left")
+    stated = backends.groupBy(F.col("backend").alias("source")).agg(F.max(F.when(~F.isnan("dt_ns"), F.col("dt_ns"))).alias("dt_ns"))
+    clocks = owner.groupBy("source").agg(F.max("config_dt_ns").alias("any_dt_ns")).join(stated, "source", "left")
+    owner = owner.groupBy("archive_id").agg(F.min(F.struct("source", "config_dt_ns")).alias("f")).select("archive_id", "f.*")
     owner = owner.join(clocks, "source", "left").select("archive_id", "source", F.coalesce("config_dt_ns", "any_dt_ns", "dt_ns").alias("clock_ns"))
     values = parsed.where("kind = 'entry'").select("archive_id", "qubit", "field", "state", "number", "unit", "hint").join(owner, "archive_id")
     fields = tuple(f for f in FIELD_UNITS if f != "t1_seconds")
