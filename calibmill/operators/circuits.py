@@ -104,48 +104,57 @@ def run(gates: list[Gate], n: int, gamma: float, lam: float) -> np.ndarray:
     return rho
 
 
-def _programs(gates: DataFrame) -> DataFrame:
-    return gates.groupBy("circuit_id").agg(F.max("circuit_name").alias("circuit_name"), F.max("n_qubits").alias("n_qubits"), F.sort_array(F.collect_list(F.struct("pos", "gate", "qubits", "theta"))).alias("program"))
+#: The most gates of all circuits together: circuits are parameters of a run, members are its rows.
+MOST_GATES = 100_000
+
+
+def _programs(gates: DataFrame) -> list[tuple[int, str, int, list[Gate]]]:
+    """The circuits of a gate table, which must be a bounded one."""
+    rows = gates.select("circuit_id", "circuit_name", "n_qubits", "pos", "gate", "qubits", "theta").limit(MOST_GATES + 1).collect()
+    if len(rows) > MOST_GATES:
+        raise ValueError(f"more than {MOST_GATES} gates")
+    out: dict[int, tuple[int, str, int, list[Gate]]] = {}
+    for r in sorted(rows, key=lambda r: (r["circuit_id"], r["pos"])):
+        out.setdefault(r["circuit_id"], (r["circuit_id"], r["circuit_name"], r["n_qubits"], []))[3].append((r["gate"], list(r["qubits"]), r["theta"]))
+    return list(out.values())
 
 
 def simulate(gates: DataFrame, members: DataFrame, shots: int | None = None, seed: int = 0) -> DataFrame:
     """Outcomes of every circuit for every member: circuit_id, circuit_name, member, bitstring, probability, count.
 
-    members: member, gamma, lam. Without shots the probabilities are exact and count is NULL; with them counts are multinomial,
-    seeded by circuit and member, so a task that is run again gives the same. Circuits meet members by a join on nothing
-    but the stated grid of the benchmark; each pair is one row to a Python worker.
+    members: member, gamma, lam, however many rows. Without shots the probabilities are exact and count is NULL; with them counts
+    are multinomial, seeded by circuit and member, so a task that is run again gives the same.
     """
+    programs = _programs(gates)
 
     def batches(parts):  # noqa: ANN001, ANN202
         for pdf in parts:
             out = []
             for r in pdf.itertuples(index=False):
-                n = int(r.n_qubits)
-                rho = run([(g["gate"], [int(q) for q in g["qubits"]], g["theta"]) for g in r.program], n, r.gamma, r.lam)
-                p = np.clip(np.real(np.diag(rho)), 0, None)
-                p = p / p.sum()
-                counts = np.random.default_rng([seed, int(r.circuit_id), int(r.member)]).multinomial(shots, p) if shots else [None] * len(p)
-                out += [(r.circuit_id, r.circuit_name, r.member, format(i, f"0{n}b"), float(p[i]), None if counts[i] is None else int(counts[i])) for i in range(len(p)) if not shots or counts[i]]
+                for circuit, name, n, program in programs:
+                    p = np.clip(np.real(np.diag(run(program, n, r.gamma, r.lam))), 0, None)
+                    p = p / p.sum()
+                    counts = np.random.default_rng([seed, int(circuit), int(r.member)]).multinomial(shots, p) if shots else [None] * len(p)
+                    out += [(circuit, name, r.member, format(i, f"0{n}b"), float(p[i]), None if counts[i] is None else int(counts[i])) for i in range(len(p)) if not shots or counts[i]]
             yield pd.DataFrame(out, columns=["circuit_id", "circuit_name", "member", "bitstring", "probability", "count"]).astype({"count": "Int64"})
 
-    programs = _programs(gates)
-    grid = members.withColumn("_g", F.lit(1)).join(programs.withColumn("_g", F.lit(1)), "_g").drop("_g")
-    return grid.mapInPandas(batches, "circuit_id int, circuit_name string, member int, bitstring string, probability double, count bigint")
+    return members.select("member", "gamma", "lam").mapInPandas(batches, "circuit_id int, circuit_name string, member int, bitstring string, probability double, count bigint")
 
 
 def states(gates: DataFrame, members: DataFrame) -> DataFrame:
     """The density matrix of every circuit and member as rows: circuit_id, member, i, j, re, im (zero entries left out)."""
+    programs = _programs(gates)
 
     def batches(parts):  # noqa: ANN001, ANN202
         for pdf in parts:
             out = []
             for r in pdf.itertuples(index=False):
-                rho = run([(g["gate"], [int(q) for q in g["qubits"]], g["theta"]) for g in r.program], int(r.n_qubits), r.gamma, r.lam)
-                out += [(r.circuit_id, r.member, int(i), int(j), float(rho[i, j].real), float(rho[i, j].imag)) for i, j in zip(*np.nonzero(np.abs(rho) > 1e-15))]
+                for circuit, _, n, program in programs:
+                    rho = run(program, n, r.gamma, r.lam)
+                    out += [(circuit, r.member, int(i), int(j), float(rho[i, j].real), float(rho[i, j].imag)) for i, j in zip(*np.nonzero(np.abs(rho) > 1e-15))]
             yield pd.DataFrame(out, columns=["circuit_id", "member", "i", "j", "re", "im"])
 
-    grid = members.withColumn("_g", F.lit(1)).join(_programs(gates).withColumn("_g", F.lit(1)), "_g").drop("_g")
-    return grid.mapInPandas(batches, "circuit_id int, member int, i int, j int, re double, im double")
+    return members.select("member", "gamma", "lam").mapInPandas(batches, "circuit_id int, member int, i int, j int, re double, im double")
 
 
 def apply_by_rows(state: DataFrame, matrix: DataFrame, keys: list[str]) -> DataFrame:

@@ -517,8 +517,8 @@ def counts_probabilities(spark: SparkSession, sf: str) -> DataFrame:
 def _against_all(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Each day's counts, and for each day the counts of all days."""
     ours = metrics.sum_counts(_counts(spark, sf), "day")
-    days = ours.select("day").distinct().agg(F.collect_list("day").alias("days"))  # a month
-    whole = ours.groupBy("bitstring").agg(F.sum("count").alias("count")).join(days.withColumn("_g", F.lit(1)), F.col("_g") == F.lit(1)).select(F.explode("days").alias("day"), "bitstring", "count")
+    days = [F.lit(r["day"]) for r in ours.select("day").distinct().collect()]  # a month
+    whole = ours.groupBy("bitstring").agg(F.sum("count").alias("count")).select(F.explode(F.array(*days)).alias("day"), "bitstring", "count")
     return ours, whole
 
 
