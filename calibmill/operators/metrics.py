@@ -39,8 +39,10 @@ def probabilities(counts: DataFrame, *keys: str) -> DataFrame:
 def aligned(engine: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
     """Both runs' shares over their joint support: keys, bitstring, p (engine), q (reference).
 
-    Zero counts belong to the support. A run whose total is zero has NULL shares.
+    Zero counts belong to the support. A run whose total is zero has NULL shares. Runs without counts (states) are refused.
     """
+    if not {"bitstring", "count"} <= set(engine.columns) & set(reference.columns):
+        raise ValueError("both runs need counts")
     one, two = sum_counts(engine, *keys), sum_counts(reference, *keys)
     a = probabilities(one, *keys).select(*keys, "bitstring", F.col("p").alias("_p"), F.lit(1).alias("_a"))
     b = probabilities(two, *keys).select(*keys, "bitstring", F.col("p").alias("_q"), F.lit(1).alias("_b"))

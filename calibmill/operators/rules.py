@@ -163,7 +163,11 @@ def defuzzify(rows: DataFrame, base: RuleBase, keys: Sequence[str], method: str
         fired = degrees.withColumns(strengths)
         total = {s: reduce(lambda a, b: a + b, (F.col(f"_f_{s}_{r}") for r in range(len(base.rules)))) for s in sides}
         weighted = {(s, o): reduce(lambda a, b: a + b, (F.col(f"_f_{s}_{r}") * base.consequent(r, o) for r in range(len(base.rules)))) for s in sides for o in range(base.outputs)}
-        sums = fired.select(*keys, missing.alias("_missing"), *[total[s].alias(f"_t_{s}") for s in sides], *[weighted[s, o].alias(f"_w_{s}_{o}") for s, o in weighted])
+        # The sums come out of a generator of one row: a later filter on status or outputs can't be pushed beneath it, where it
+        # would write the whole base out again for every reference.
+        done = {"_missing": missing} | {f"_t_{s}": total[s] for s in sides} | {f"_w_{s}_{o}": w for (s, o), w in weighted.items()}
+        summed = fired.select(*keys, *[c.alias(n) for n, c in done.items()])
+        sums = summed.select(*keys, F.explode(F.array(F.struct(*done))).alias("_s")).select(*keys, "_s.*")
     else:
         strength = {"mid": "f", "low": F.coalesce("f_low", "f"), "high": F.coalesce("f_high", "f")}
         held = rows.select(*keys, *[x for x in base.inputs if x not in keys]).withColumn("_unknown", missing)

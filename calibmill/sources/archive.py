@@ -102,6 +102,12 @@ def check_history(instants: list[datetime], now: datetime, max_days: int = MAX_H
             raise ValueError(f"{t} is more than {max_days} days old")
 
 
+def synthetic_body(ts: datetime, backend: str = "synthetic") -> str:
+    """A snapshot of one qubit with T1 = T2 = 50e-6 and a readout error of 0.01, without units (the strict parser refuses it)."""
+    entries = [{"name": "T1", "value": 50e-6}, {"name": "T2", "value": 50e-6}, {"name": "readout_error", "value": 0.01}]
+    return json.dumps({"backend": backend, "timestamp": ts, "schema_version": "1.0", "properties": {"qubits": [entries]}}, cls=SnapshotEncoder)
+
+
 def target_json(target: Column) -> Column:
     """A target projection as JSON: num_qubits, physical_qubits, operations (name, qargs, duration?, error?); NULL fields left out."""
     return F.when(target.isNotNull(), F.to_json(target))
@@ -156,8 +162,10 @@ def fetch_with_retry(fetch: Callable[[], dict | None], retries: int = 3, sleep:
 class PollSource(DataSource):
     """spark.read.format('calibration_poll'): one row per backend and instant that the service has properties for.
 
-    Options: ``service`` (import path module:callable giving an object with properties(backend, at)), ``backends`` (comma
-    separated), ``instants`` (comma separated ISO times; empty: now), ``retries``. Every (backend, instant) is a partition.
+    Options: ``service`` (import path module:callable giving an object with properties(backend, at), and if it likes
+    target(backend) and configuration(backend)), ``backends`` (comma separated), ``instants`` (comma separated ISO times; empty:
+    now), ``retries``. Every (backend, instant) is a partition. The time of a row is the one its properties were last
+    updated at, not the one asked for; target and configuration are of now, so rows of the past have none.
     """
 
     @classmethod
@@ -165,7 +173,7 @@ class PollSource(DataSource):
         return "calibration_poll"
 
     def schema(self) -> str:
-        return "backend string, ts timestamp, schema_version string, properties string"
+        return "backend string, ts timestamp, schema_version string, properties string, target string, configuration string"
 
     def reader(self, schema: object) -> DataSourceReader:
         return PollReader(dict(self.options))
@@ -205,4 +213,14 @@ class PollReader(DataSourceReader):
         if not isinstance(stamp, datetime):
             return
         stamp = stamp if stamp.tzinfo else stamp.replace(tzinfo=UTC)
-        yield partition.backend, stamp.astimezone(UTC), str(self.options.get("schema_version", "1.0")), json.dumps(found, cls=SnapshotEncoder, sort_keys=True)
+        text = lambda x: None if x is None else json.dumps(x, cls=SnapshotEncoder, sort_keys=True)
+        extra = [text(self.optional(service, part, partition.backend)) if at is None else None for part in ("target", "configuration")]
+        yield partition.backend, stamp.astimezone(UTC), str(self.options.get("schema_version", "1.0")), text(found), *extra
+
+    @staticmethod
+    def optional(service: object, part: str, backend: str) -> object:
+        """What the service has of a part, None where it has no such part or fails to give it."""
+        try:
+            return getattr(service, part)(backend)
+        except (AttributeError, NotImplementedError, RuntimeError):
+            return None

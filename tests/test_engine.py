@@ -126,6 +126,8 @@ def test_metrics(spark):
     assert (grid.circuit_name, grid.reference_value) == ("c3", 1.0) and grid.delta == pytest.approx(-0.25)
     with pytest.raises(ValueError):
         metrics.kl(F.col("p"), F.col("q"), 0)
+    with pytest.raises(ValueError):
+        metrics.aligned(ours, ref.drop("count"), ["circuit_id"])
 
 
 def test_mean_counts(spark):
@@ -289,6 +291,9 @@ def test_retries():
 
 
 class Service:
+    def target(self, backend):
+        return {"num_qubits": 1}
+
     def properties(self, backend, at):
         if backend == "old":
             raise NotImplementedError
@@ -299,7 +304,9 @@ def test_poll_source(spark, tmp_path):
     spark.dataSource.register(archive.PollSource)
     read = spark.read.format("calibration_poll").options(service="tests.test_engine:Service", backends="good,old,silent,undated", retries="0").load()
     rows = read.collect()
-    assert [(r.backend, r.ts) for r in rows] == [("good", datetime(2026, 5, 1, 12))] and json.loads(rows[0].properties)["asked"] == "None"
+    assert [(r.backend, r.ts) for r in rows] == [("good", datetime(2026, 5, 1, 12))] and json.loads(rows[0].properties)["asked"] == "None" and rows[0].target == '{"num_qubits": 1}' and rows[0].configuration is None
+    past = spark.read.format("calibration_poll").options(service="tests.test_engine:Service", backends="good", instants="2026-05-01T00:00:00Z").load().first()
+    assert past.target is None and json.loads(past.properties)["asked"].startswith("2026-05-01")
     args = ["--backend", "good", "--data-dir", str(tmp_path / "a"), "--log-dir", str(tmp_path / "log"), "--service", "tests.test_engine:Service"]
     assert poller.main(args) == 0 and poller.main(args) == 0 and spark.read.parquet(str(tmp_path / "a")).count() == 1
     assert poller.main([*args, "--historical", "2026-05-02", "2026-05-01", "4"]) == 1
@@ -348,3 +355,12 @@ def test_target_projection(spark):
 def test_times_without_zone_can_be_errors(spark):
     rows = spark.createDataFrame([("a", '{"timestamp": "2026-05-01T00:00:00"}'), ("b", '{"timestamp": "2026-05-01T00:00:00Z"}')], "path string, body string")
     assert {r.path: r.error is None for r in parsing.parse_snapshots(rows, naive_is_error=True).collect()} == {"a": False, "b": True}
+
+
+def test_demo(spark, capsys):
+    from calibmill.plans import demo
+
+    times = demo.ensemble_times(spark, sizes=(1, 2), shots=64)
+    assert set(times) == {1, 2} and all(t > 0 for t in times.values())
+    snaps, q, errors, _ = parse(spark, synthetic=archive.synthetic_body(datetime(2026, 5, 1, tzinfo=UTC)))
+    assert "expected unit" in errors["synthetic"] and snaps["synthetic"].backend == "synthetic"
