@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from calibmill.operators import entries as E
 from calibmill.operators.units import convert_entries
+from calibmill.session import stage
 
 #: Numbers that differ by more than this share of the larger are a change.
 TOLERANCE = 1e-5
@@ -63,9 +64,10 @@ def changes(records: DataFrame, key: list[str]) -> DataFrame:
     return islands(records, key).select(*key, F.explode(events).alias("_e")).select(*key, "_e.idx", "_e.change_kind")
 
 
-def archive_records(archive: DataFrame, parsed: DataFrame, backends: DataFrame) -> DataFrame:
-    """The records (backend, campaign, qubit, field) of every file in a sequence, with values in common units."""
-    files = E.sequences(archive, parsed.where("kind = 'file'"))
+def archive_records(archive: DataFrame, parsed: DataFrame, backends: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """The records (backend, campaign, qubit, field) of every file in a sequence (``files``, made here if not given), with
+    values in common units."""
+    files = E.sequences(archive, parsed.where("kind = 'file'")) if files is None else files
     values = convert_entries(archive, parsed, backends).select("archive_id", "qubit", "field", "state", F.when(F.col("state") == E.IS_NUMBER, F.col("common")).alias("number"))
     return values.join(files, "archive_id")
 
@@ -77,7 +79,8 @@ def found_changes(archive: DataFrame, parsed: DataFrame, backends: DataFrame) ->
     order, dates and layout are not compared. A value that is neither (a text without a number) is a state of its own.
     """
     key = ["backend", "campaign", "qubit", "field"]
-    events = changes(archive_records(archive, parsed, backends), key)
-    files = E.sequences(archive, parsed.where("kind = 'file'")).select("archive_id", F.col("backend").alias("_b"), F.col("campaign").alias("_c"), F.col("idx").alias("_i"))
+    placed = stage(E.sequences(archive, parsed.where("kind = 'file'")))
+    events = changes(archive_records(archive, parsed, backends, placed), key)
+    files = placed.select("archive_id", F.col("backend").alias("_b"), F.col("campaign").alias("_c"), F.col("idx").alias("_i"))
     at = (events["backend"] == files["_b"]) & events["campaign"].eqNullSafe(files["_c"]) & (events["idx"] == files["_i"])
     return events.join(files, at).select("archive_id", "qubit", "field", "change_kind")

@@ -163,7 +163,8 @@ def convert_entries(archive: DataFrame, parsed: DataFrame, backends: DataFrame)
     clocks = owner.groupBy("source").agg(F.max("config_dt_ns").alias("any_dt_ns")).join(stated, "source", "left")
     owner = owner.groupBy("archive_id").agg(F.min(F.struct("source", "config_dt_ns")).alias("f")).select("archive_id", "f.*")
     owner = owner.join(clocks, "source", "left").select("archive_id", "source", F.coalesce("config_dt_ns", "any_dt_ns", "dt_ns").alias("clock_ns"))
-    values = parsed.where("kind = 'entry'").select("archive_id", "qubit", "field", "state", "number", "unit", "hint").join(owner, "archive_id")
+    # staged, as the fit and the assignment both read it
+    values = stage(parsed.where("kind = 'entry'").select("archive_id", "qubit", "field", "state", "number", "unit", "hint").join(stage(owner), "archive_id"))
     fields = tuple(f for f in FIELD_UNITS if f != "t1_seconds")
     done = assign_units(values, fit_units(values), fields)
     return done.withColumn("common", to_common(F.col("field"), F.col("unit_used"), F.col("number"), F.col("clock_ns")))
