@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from calibmill.functions.jsontext import UNREADABLE, entry_keys, entry_part, json_type, qubit_entries, read_json
 from calibmill.functions.lexicon import ENTRY_KEYS, NAMES, OTHER_ENTRY_KEYS, OTHER_NAMES, OTHER_TOP_KEYS, TOP_KEYS, common_name, split_quantity
 from calibmill.operators import entries as E
+from calibmill.session import stage
 
 DDL = "kind string, archive_id bigint, readable boolean, body_backend string, space string, path string, common string, known boolean, json_type string, n_values bigint, signature string"
 SCHEMA = pa.schema([("kind", pa.string()), ("archive_id", pa.int64()), ("readable", pa.bool_()), ("body_backend", pa.string()), ("space", pa.string()), ("path", pa.string()), ("common", pa.string()), ("known", pa.bool_()), ("json_type", pa.string()), ("n_values", pa.int64()), ("signature", pa.string())])
@@ -109,22 +110,22 @@ def lifespans(archive: DataFrame, footers: DataFrame) -> DataFrame:
     return rows.withColumn("island", F.sum(opens.cast("int")).over(along)).groupBy(*producer, "island").agg(F.first("json_type").alias("json_type"), F.min("idx").alias("from_idx"), F.max("idx").alias("to_idx"), F.count("*").alias("files"))
 
 
-def _placed(archive: DataFrame, footers: DataFrame) -> DataFrame:
-    files = E.sequences(archive, footers.where("kind = 'file'"))
+def _placed(archive: DataFrame, footers: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    files = E.sequences(archive, footers.where("kind = 'file'")) if files is None else files
     along = Window.partitionBy("backend", "campaign", "space", "path").orderBy("idx")
     rows = footers.where("kind = 'path'").select("archive_id", "space", "path", "common", "known", "json_type", "n_values", "signature").join(files.select("archive_id", "backend", "campaign", "idx", "last_idx"), "archive_id")
     # a row that repeats an archive_id is the same file; the windows behind this one share its partitioning and order
     return rows.withColumn("_again", F.coalesce(F.lag("idx").over(along) == F.col("idx"), F.lit(False))).where("not _again").drop("_again")
 
 
-def layout_events(archive: DataFrame, footers: DataFrame) -> DataFrame:
+def layout_events(archive: DataFrame, footers: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Starts, endings and retypings of paths: (backend, campaign, idx, space, path, common, known, event, old/new type, signature).
 
     ``idx`` is the later file of the pair. One window per producer and path; nothing is compared pairwise.
     """
     along = Window.partitionBy("backend", "campaign", "space", "path").orderBy("idx")
     rows = (
-        _placed(archive, footers)
+        _placed(archive, footers, files)
         .withColumn("_before", F.lag(F.struct("idx", "json_type")).over(along))
         .withColumn("_next", F.lead("idx").over(along))
         .withColumn("_adjacent", F.coalesce(F.col("_before.idx") == F.col("idx") - 1, F.lit(False)))
@@ -177,7 +178,8 @@ def found_drift(archive: DataFrame, footers: DataFrame) -> DataFrame:
     A path whose non-null values are missing in one of the two files has no type there and isn't retyped. Among
     several renames under one common key at one file, paths pair in their order.
     """
-    events = layout_events(archive, footers)
+    placed = stage(E.sequences(archive, footers.where("kind = 'file'")))
+    events = stage(layout_events(archive, footers, placed))  # few rows, read for renames and for retypings
     row = lambda old, new, kind: F.struct(old.alias("old_path"), new.alias("new_path"), F.lit(kind).alias("change_kind"))
     blank = F.lit("")
     renames = _pair_up(events)
@@ -192,7 +194,7 @@ def found_drift(archive: DataFrame, footers: DataFrame) -> DataFrame:
     ).select("backend", "campaign", "idx", "_r.*")
     retyped = events.where("event = 'retype'").select("backend", "campaign", "idx", F.col("path").alias("old_path"), F.col("path").alias("new_path"), F.lit("retyped").alias("change_kind"))
     found = rows.unionByName(retyped)
-    files = E.sequences(archive, footers.where("kind = 'file'")).select("archive_id", F.col("backend").alias("_b"), F.col("campaign").alias("_c"), F.col("idx").alias("_i"))
+    files = placed.select("archive_id", F.col("backend").alias("_b"), F.col("campaign").alias("_c"), F.col("idx").alias("_i"))
     return found.join(files, (found["backend"] == files["_b"]) & found["campaign"].eqNullSafe(files["_c"]) & (found["idx"] == files["_i"])).select("archive_id", "old_path", "new_path", "change_kind")
 
 
