@@ -14,18 +14,20 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibmill.functions.jsontext import UNREADABLE, entry_keys, entry_part, json_type, qubit_entries, read_json
-from calibmill.functions.lexicon import ENTRY_KEYS, NAMES, OTHER_ENTRY_KEYS, OTHER_NAMES, OTHER_TOP_KEYS, TOP_KEYS, common_name, split_quantity
+from calibmill.functions.lexicon import ENTRY_KEYS, NAMES, OTHER_ENTRY_KEYS, OTHER_NAMES, OTHER_TOP_KEYS, TOP_KEYS, common_name, split_quantity, unit_of
 from calibmill.operators import entries as E
 from calibmill.session import stage
 
 DDL = "kind string, archive_id bigint, readable boolean, body_backend string, space string, path string, common string, known boolean, json_type string, n_values bigint, signature string"
 SCHEMA = pa.schema([("kind", pa.string()), ("archive_id", pa.int64()), ("readable", pa.bool_()), ("body_backend", pa.string()), ("space", pa.string()), ("path", pa.string()), ("common", pa.string()), ("known", pa.bool_()), ("json_type", pa.string()), ("n_values", pa.int64()), ("signature", pa.string())])
+EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 #: Order among equally common types.
 TYPE_ORDER = ("string", "number", "boolean", "object", "array")
 
@@ -200,7 +202,7 @@ def found_drift(archive: DataFrame, footers: DataFrame) -> DataFrame:
 
 def casts(footers: DataFrame) -> DataFrame:
     """For each common key the casts that bring its layouts into one table: path, type met, files, cast expression."""
-    target = F.when(F.col("common") == "value", "double").when(F.col("common") == "date", "timestamp").otherwise("string")
+    target = F.when(F.col("common").isin("value", "stderr"), "double").when(F.col("common") == "date", "timestamp").otherwise("string")
     how = (
         F.when((F.col("common") == "value") & (F.col("json_type") == "string"), "number and unit split, decimal comma read")
         .when((F.col("common").isin("date", "last_update_date")) & (F.col("json_type") == "number"), "milliseconds since 1970")
@@ -210,41 +212,121 @@ def casts(footers: DataFrame) -> DataFrame:
     return footers.where("kind = 'path' and space <> 'name'").groupBy("space", "common", "path", "json_type").agg(F.countDistinct("archive_id").alias("files")).withColumn("cast", how)
 
 
-CONSISTENT_DDL = "archive_id bigint, qubit int, pos int, name string, common_name string, value double, value_text string, unit string, measured_at timestamp"
-CONSISTENT = pa.schema([("archive_id", pa.int64()), ("qubit", pa.int32()), ("pos", pa.int32()), ("name", pa.string()), ("common_name", pa.string()), ("value", pa.float64()), ("value_text", pa.string()), ("unit", pa.string()), ("measured_at", pa.timestamp("us", "UTC"))])
+#: Keys of an entry that have a column of their own, by common key; where the alias table lacks a key it is learnt from renames.
+ENTRY_ROLES = ENTRY_KEYS | {key: key for key in OTHER_ENTRY_KEYS}
+UNKNOWN_DDL = "archive_id bigint, key string"
+UNKNOWN = pa.schema([("archive_id", pa.int64()), ("key", pa.string())])
 
 
-def _consistent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from datetime import UTC, datetime, timedelta
+def _unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(i, key) for i, text in zip(*(batch.column(c).to_pylist() for c in ("archive_id", "properties"))) for key in {k for _, _, e in qubit_entries(read_json(text)) for k in e if k not in ENTRY_ROLES}]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), UNKNOWN)], schema=UNKNOWN)
+
+
+def unknown_keys(archive: DataFrame) -> DataFrame:
+    """(archive_id, key) of every entry key that the alias table lacks."""
+    return archive.select("archive_id", "properties").mapInArrow(_unknown, UNKNOWN_DDL)
+
 
-    epoch = datetime(1970, 1, 1, tzinfo=UTC)
+def learnt_keys(archive: DataFrame, footers: DataFrame, unknown: DataFrame) -> DataFrame:
+    """What unknown entry keys of each file stand for: (archive_id, learnt), a map of keys to common keys.
+
+    A rename by equal content between an unknown key and a known one says so, for all files of its producer; files
+    of producers without such a rename, or without a producer, follow the most renames of that key anywhere.
+    """
+    file_rows = footers.where("kind = 'file'")
+    events = layout_events(archive, footers.where("space = 'entry'"), stage(E.sequences(archive, file_rows)))
+    side = lambda known: F.when(F.col("p.o.known") == F.lit(known), F.col("p.o")).otherwise(F.col("p.n"))
+    renames = _pair_up(events).select("backend", "campaign", F.explode("renamed").alias("p")).where("p.o.known <> p.n.known").select("backend", "campaign", F.regexp_replace(side(False)["path"], r"^entry\.", "").alias("key"), side(True)["common"].alias("common"))
+    renames = stage(renames)  # few rows, counted twice
+
+    def most(by: list[str], name: str) -> DataFrame:
+        votes = renames.groupBy(*by, "common").agg(F.count("*").alias("n"))
+        return votes.groupBy(*by).agg(F.max_by("common", F.struct("n", "common")).alias(name))
+
+    meta = archive.select("archive_id", "campaign", "backend", "file_name", F.substring("properties", 1, 2000).alias("properties"))
+    owners = meta.join(file_rows.select("archive_id", "body_backend"), "archive_id").select("archive_id", E.true_backend(F.col("backend"), F.col("body_backend"), F.col("file_name"), F.col("properties")).alias("backend"), "campaign")
+    own = most(["backend", "campaign", "key"], "own").select(F.col("backend").alias("_b"), F.col("campaign").alias("_c"), F.col("key").alias("_k"), "own")
+    keys = unknown.distinct().join(owners.distinct(), "archive_id", "left")
+    keys = keys.join(own, (keys["backend"] == own["_b"]) & keys["campaign"].eqNullSafe(own["_c"]) & (keys["key"] == own["_k"]), "left").join(most(["key"], "anywhere"), "key", "left")
+    return keys.withColumn("common", F.coalesce("own", "anywhere")).where("common is not null").groupBy("archive_id").agg(F.map_from_entries(F.collect_set(F.struct("key", "common"))).alias("learnt"))
+
+
+CONSISTENT_DDL = "archive_id bigint, qubit int, pos int, name string, common_name string, value double, value_text string, unit string, measured_at timestamp, flags string, method string, stderr double, more map<string,string>"
+CONSISTENT = pa.schema([("archive_id", pa.int64()), ("qubit", pa.int32()), ("pos", pa.int32()), ("name", pa.string()), ("common_name", pa.string()), ("value", pa.float64()), ("value_text", pa.string()), ("unit", pa.string()), ("measured_at", pa.timestamp("us", "UTC")), ("flags", pa.string()), ("method", pa.string()), ("stderr", pa.float64()), ("more", pa.map_(pa.string(), pa.string()))])
+
+
+def _when(value: object) -> datetime | None:
+    try:
+        if isinstance(value, (int, float)) and not isinstance(value, bool):
+            return EPOCH + timedelta(milliseconds=value)
+        if isinstance(value, str):
+            at = datetime.fromisoformat(value.strip().replace("Z", "+00:00"))
+            return at.replace(tzinfo=UTC) if at.tzinfo is None else at.astimezone(UTC)
+    except (ValueError, OverflowError):
+        pass
+    return None
+
+
+def _text(value: object) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value)
+
+
+def consistent(entry: dict, name_key: str | None, learnt: dict[str, str]) -> tuple:
+    """An entry's row from its name on. ``more`` holds as JSON every key whose content no column holds."""
+    at: dict[str, str] = {}
+    for key in entry:
+        if key in ENTRY_ROLES:
+            at.setdefault(ENTRY_ROLES[key], key)
+    for key in entry:
+        if key in learnt:
+            at.setdefault(learnt[key], key)
+    part = {role: entry[key] for role, key in at.items()}
+    if not isinstance(part.get("name"), str) and isinstance(entry.get(name_key), str):
+        at["name"], part["name"] = name_key, entry[name_key]
+    name = part["name"] if isinstance(part.get("name"), str) else None
+    value, unit_text, date, error = (part.get(role) for role in ("value", "unit", "date", "stderr"))
+    state, number, unit = E.quantity(value, unit_text)
+    measured_at = _when(date)
+    error_state, error_number, error_unit = E.quantity(error, None)
+    held = {
+        "name": name is not None or part.get("name") is None,
+        "unit": unit_of(unit_text) in ("", unit),  # else it is unknown, or the value's text names another
+        "date": measured_at is not None or date is None,
+        "stderr": error_state != E.IS_OTHER and not error_unit and (error is None or error_state != E.IS_NULL),
+    }
+    columns = {key for role, key in at.items() if held.get(role, True)}
+    more = [(key, json.dumps(item)) for key, item in entry.items() if key not in columns]
+    return (
+        name, common_name(name) or name, float("nan") if state == E.IS_NAN else number, _text(value), unit or None, measured_at,
+        None if part.get("flags") is None else json.dumps(part["flags"]), _text(part.get("method")), float("nan") if error_state == E.IS_NAN else error_number, more,
+    )
 
-    def when(value: object) -> datetime | None:
-        try:
-            if isinstance(value, (int, float)) and not isinstance(value, bool):
-                return epoch + timedelta(milliseconds=value)
-            if isinstance(value, str):
-                at = datetime.fromisoformat(value.strip().replace("Z", "+00:00"))
-                return at.replace(tzinfo=UTC) if at.tzinfo is None else at.astimezone(UTC)
-        except (ValueError, OverflowError):
-            pass
-        return None
 
+def _consistent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for key, text in zip(*(batch.column(c).to_pylist() for c in ("archive_id", "properties"))):
+        for key, text, learnt in zip(*(batch.column(c).to_pylist() for c in ("archive_id", "properties", "learnt"))):
             entries = qubit_entries(read_json(text))
-            keys = entry_keys([e for _, _, e in entries]) if entries else {}
-            for qubit, pos, entry in entries:
-                name = entry_part(entry, "name")
-                name = name if isinstance(name, str) else entry.get(keys.get("name"))
-                value = entry_part(entry, "value")
-                state, number, unit = E.quantity(value, entry_part(entry, "unit"))
-                rows.append((key, qubit, pos, name if isinstance(name, str) else None, common_name(name) or (name if isinstance(name, str) else None), float("nan") if state == E.IS_NAN else number, None if value is None else value if isinstance(value, str) else json.dumps(value), unit or None, when(entry_part(entry, "date"))))
+            name_key = entry_keys([e for _, _, e in entries]).get("name") if entries else None
+            of = dict(learnt or ())
+            rows.extend((key, qubit, pos, *consistent(entry, name_key, of)) for qubit, pos, entry in entries)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), CONSISTENT)], schema=CONSISTENT)
 
 
 def consistent_entries(archive: DataFrame) -> DataFrame:
-    """Every entry of every layout in one table, by the alias table and its casts. Unreadable files give no rows."""
-    return archive.select("archive_id", "properties").mapInArrow(_consistent, CONSISTENT_DDL)
+    """Every entry of every layout in one table, by the alias table and its casts. Unreadable files give no rows.
+
+    ``flags`` is JSON; ``more`` has the JSON of every key whose content no other column holds. Keys that the alias
+    table lacks go by the renames found by content; the archive is searched for these only if it has such keys.
+    """
+    rows = archive.select("archive_id", "properties")
+    unknown = stage(unknown_keys(archive))
+    if unknown.isEmpty():
+        rows = rows.withColumn("learnt", F.lit(None).cast("map<string,string>"))
+    else:
+        rows = rows.join(learnt_keys(archive, stage(catalogue(archive), "kind"), unknown), "archive_id", "left")
+    return rows.select("archive_id", "properties", "learnt").mapInArrow(_consistent, CONSISTENT_DDL)
