@@ -8,11 +8,14 @@ sequences alone, for whole batches of documents at once.
 
 Levels of a path: every list on the way adds one repetition level. A definition level is added by a
 value that isn't null, and by a list for a slot that exists (whether the slot holds null or not).
+
+In a path a key's own backslashes, dots and brackets have a backslash before them, and an empty key is ``\\0``.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import partial
 from typing import Any
@@ -82,6 +85,15 @@ class Column:
             yield from self.elem.columns()
 
 
+def step_of(key: str) -> str:
+    """A key as a step of a path."""
+    return re.sub(r"([\\.\[\]])", r"\\\1", key) or "\\0"
+
+
+def key_of(step: str) -> str:
+    return "" if step == "\\0" else re.sub(r"\\(.)", r"\1", step, flags=re.S)
+
+
 def _wanted(path: str, keep: frozenset[str] | None) -> bool:
     return keep is None or any(k == path or k.startswith((path + ".", path + "[")) for k in keep)
 
@@ -92,6 +104,7 @@ class Shredder:
     def __init__(self, lists: set[str], keep: frozenset[str] | None = None) -> None:
         self.lists, self.keep = lists, keep
         self._way: dict[str, bool] = {}
+        self._steps: dict[str, str] = {}
 
     def wanted(self, path: str) -> bool:
         found = self._way.get(path)
@@ -110,7 +123,7 @@ class Shredder:
         if kind == "null":
             col.null(rep, level, NULL)
             return
-        if kind != "array" and col.elem is not None or kind == "object" and col.path in self.lists:
+        if kind == "object" and col.path in self.lists:
             value, kind = [value], "array"
         col.reps.append(rep)
         col.defs.append(level + 1)
@@ -121,7 +134,10 @@ class Shredder:
             for key, item in value.items():
                 kid = col.kids.get(key)
                 if kid is None:
-                    path = f"{col.path}.{key}" if col.path else key
+                    step = self._steps.get(key)
+                    if step is None:
+                        step = self._steps[key] = step_of(key)
+                    path = f"{col.path}.{step}" if col.path else step
                     if not self.wanted(path):
                         continue
                     kid = col.kids[key] = Column(path, col.rep, col.full + 1).behind(col)
@@ -241,41 +257,55 @@ def child_tables(levels: DataFrame) -> DataFrame:
     return levels.mapInArrow(_children, CHILD_DDL)
 
 
-LEAF_DDL = "archive_id bigint, child string, parent_pos int, pos int, key string, json_type string, value string"
-LEAF = pa.schema([("archive_id", pa.int64()), ("child", pa.string()), ("parent_pos", pa.int32()), ("pos", pa.int32()), ("key", pa.string()), ("json_type", pa.string()), ("value", pa.string())])
+LEAF_DDL = "archive_id bigint, child string, parent_pos int, pos int, key string, below string, item_pos array<int>, json_type string, value string"
+LEAF = pa.schema([("archive_id", pa.int64()), ("child", pa.string()), ("parent_pos", pa.int32()), ("pos", pa.int32()), ("key", pa.string()), ("below", pa.string()), ("item_pos", pa.list_(pa.int32())), ("json_type", pa.string()), ("value", pa.string())])
+_STEP = re.compile(r"(?:[^\\.\[]|\\.)*", re.S)
 
 
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _leaf_place(path: str, part: str, nested: bool) -> tuple[str, str, str, bool] | None:
+    """(child, its path, path below it, whether objects are left to a deeper child) of a path below a child."""
+    place = None
+    for child, (of, ancestor) in CHILDREN.items():
+        if of == part and path.startswith(ancestor + ".") and (place is None or len(ancestor) > len(place[1])):
+            place = child, ancestor, path[len(ancestor) + 1 :], (part, path) in CHILDREN.values()
+    return place if place is None or nested or _STEP.fullmatch(place[2]) else None
+
+
+def _leaves(batches: Iterator[pa.RecordBatch], nested: bool) -> Iterator[pa.RecordBatch]:
     names = pa.array(TYPE_NAMES)
     for batch in batches:
         keys, paths, parts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("archive_id", "path", "part"))
-        for path in sorted(set(paths)):
-            for child, (part, ancestor) in CHILDREN.items():
-                key = path[len(ancestor) + 1 :]
-                if not path.startswith(ancestor + ".") or "[]" in key or "." in key:
-                    continue
-                mine = np.flatnonzero((paths == path) & (parts == part))
-                if not len(mine):
-                    continue
-                rows = batch.take(pa.array(mine))
-                reps, n = _lists(rows.column("rep_levels"))
-                types, _ = _lists(rows.column("types"))
-                values, _ = _lists(rows.column("values"))
-                reps, types = reps.to_numpy(zero_copy_only=False), types.to_numpy(zero_copy_only=False)
-                depth = ancestor.count("[]")
-                pos, owner = positions(reps, depth), np.repeat(keys[mine], n)
-                parent = positions(reps, 1) if depth == 2 else np.full(len(pos), -1)
-                there = np.flatnonzero(types != ABSENT)
-                yield pa.RecordBatch.from_arrays([pa.array(owner[there], pa.int64()), pa.array([child] * len(there), pa.string()), pa.array(parent[there].astype(np.int32)), pa.array(pos[there].astype(np.int32)), pa.array([key] * len(there), pa.string()), names.take(pa.array(types[there])), values.take(pa.array(there))], schema=LEAF)
-
-
-def leaf_tables(levels: DataFrame) -> DataFrame:
+        for path, part in sorted(set(zip(paths, parts))):
+            place = _leaf_place(path, part, nested)
+            if place is None:
+                continue
+            child, ancestor, rest, deeper = place
+            step = _STEP.match(rest)[0]
+            mine = np.flatnonzero((paths == path) & (parts == part))
+            rows = batch.take(pa.array(mine))
+            reps, n = _lists(rows.column("rep_levels"))
+            types, _ = _lists(rows.column("types"))
+            values, _ = _lists(rows.column("values"))
+            reps, types = reps.to_numpy(zero_copy_only=False), types.to_numpy(zero_copy_only=False)
+            depth = ancestor.count("[]")
+            pos, owner = positions(reps, depth), np.repeat(keys[mine], n)
+            parent = positions(reps, 1) if depth == 2 else np.full(len(pos), -1)
+            there = np.flatnonzero((types != ABSENT) & (types != OBJECT) if deeper else types != ABSENT)
+            lists = range(depth + 1, path.count("[]") + 1)
+            items = np.stack([positions(reps, level)[there] for level in lists], 1).ravel() if lists else np.empty(0)
+            item_pos = pa.ListArray.from_arrays(pa.array(np.arange(len(there) + 1) * len(lists), pa.int32()), pa.array(items.astype(np.int32)))
+            same = lambda text: pa.array([text] * len(there), pa.string())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(owner[there], pa.int64()), same(child), pa.array(parent[there].astype(np.int32)), pa.array(pos[there].astype(np.int32)), same(key_of(step)), same(rest[len(step) :]), item_pos, names.take(pa.array(types[there])), values.take(pa.array(there))], schema=LEAF)
+
+
+def leaf_tables(levels: DataFrame, nested: bool = False) -> DataFrame:
     """The flat tables in long form: one row per child object and key that it has, explicit nulls included.
 
-    ``value`` holds strings as they are, numbers and booleans as JSON, objects and lists as null (their own
-    paths are columns of the shredded levels).
+    ``value`` holds strings as they are, numbers and booleans as JSON, objects and lists as null. ``nested`` adds a row for
+    each element of these lists and key of these objects, at any depth: ``below`` is its path below ``key`` and ``item_pos`` its
+    position in each list on that path. Objects that are children themselves have their keys in their own table only.
     """
-    return levels.mapInArrow(_leaves, LEAF_DDL)
+    return levels.mapInArrow(partial(_leaves, nested=nested), LEAF_DDL)
 
 
 def found_children(archive: DataFrame) -> DataFrame:

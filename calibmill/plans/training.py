@@ -16,8 +16,8 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """The flat tables in long form, with values."""
-    return shred.leaf_tables(shred.shred_levels(table(spark, sf, "raw_archive")))
+    """The flat tables in long form, with values and what lists and objects below a child hold."""
+    return shred.leaf_tables(shred.shred_levels(table(spark, sf, "raw_archive")), nested=True)
 
 
 def p1_counts(spark: SparkSession, sf: str) -> DataFrame:
