@@ -4,8 +4,8 @@ Training texts are reduced to their letters and digits (case, accents and other
 invisible characters and spacing don't count) and laid end to end in shards. Each shard's suffixes are sorted
 (those starting with eight bytes that start no test suffix can match none and are left out), and every suffix of
 every test item that starts a word is searched in it by bisection; all suffixes that share the item's next words
-are one range of the array. Each occurrence is extended to its longest verbatim match, then on both sides over words
-altered, dropped or put in, and an exact check counts the running words and the alterations.
+are one range of the array. Each occurrence is extended to its longest verbatim match, then on both sides by a banded edit
+distance over words, which counts the running words and the fewest words altered, dropped or put in between.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import partial
 
@@ -25,6 +26,10 @@ from pyspark.sql import functions as F
 RUNNING, ONE_IN = 15, 8
 #: Words of a seed. Of 15 running words with one altered 7 run verbatim, of 16 with two 5, of more always 5 or more.
 SEED_WORDS = 5
+#: Bytes that a word put in or altered has at most where spacing doesn't tell the words of the document apart.
+GLUED = 24
+#: Bytes up to which spaced text is taken for one word, not for several that are glued.
+USUAL = 12
 #: Bytes of reduced text per shard, and of test text searched in one pass over the corpus.
 SHARD_BYTES, BLOCK_BYTES = 4 << 20, 8 << 20
 
@@ -34,16 +39,32 @@ _OTHER = re.compile(r"[\W_]+")
 LOOKALIKES = str.maketrans("авекмнорстухіјѕԁԛԝɡıøłđαοντρυχικß", "abekmhopctyxijsdqwgioldaovtpuxikẞ")
 
 
-def reduce_text(text: str) -> str:
-    """The letters and digits of a text in their plainest form."""
+def _plain(text: str) -> str:
+    """A text with its letters and digits in their plainest form, and whatever is between them."""
     if "<" in text or "](" in text or "://" in text:
         text = _TAGS.sub(" ", text)
     if "&" in text:
         text = html.unescape(text)
     if text.isascii():
-        return _OTHER.sub("", text.lower())
+        return text.lower()
     text = unicodedata.normalize("NFKD", text).casefold()
-    return _OTHER.sub("", unicodedata.normalize("NFKD", text).translate(LOOKALIKES)).replace("ẞ", "ss")
+    return unicodedata.normalize("NFKD", text).translate(LOOKALIKES)
+
+
+def reduce_text(text: str) -> str:
+    """The letters and digits of a text in their plainest form."""
+    return _OTHER.sub("", _plain(text)).replace("ẞ", "ss")
+
+
+def word_bounds(text: str) -> list[int]:
+    """The offsets in a text's reduced bytes where its words (by spacing) start, and the end."""
+    out, at = [], 0
+    for word in _plain(text).split():
+        n = len(_OTHER.sub("", word).replace("ẞ", "ss").encode())
+        if n:
+            out.append(at)
+            at += n
+    return [*out, at]
 
 
 class Test:
@@ -130,62 +151,101 @@ def _bisect(data: bytes, array: np.ndarray, low: int, high: int, seed: bytes) ->
     return first, low
 
 
-def _extend(words: list[bytes], doc: bytes, word: int, at: int, budget: int) -> list[tuple[int, int]]:
-    """From word index and byte offset rightwards: (words covered since the start, alterations so far) after each word that matches.
+def _next(bounds: list[int], at: int, end: int) -> Iterator[int]:
+    """Where a word of the document that starts at this offset may end: at the next bound if its spacing tells the words
+    apart, also behind the start of a word of usual length; within glued or spaced out text at any of the next ``GLUED`` bytes."""
+    k = bisect_right(bounds, at)
+    if k and k < len(bounds) and (bounds[k - 1] == at or bounds[k] - bounds[k - 1] <= USUAL):
+        near = bisect_left(bounds, at + 40, 0, min(k + 40, len(bounds))) - bisect_left(bounds, at - 40, max(k - 80, 0), k)
+        if near * 2 < min(at + 40, end) - max(at - 40, 0):
+            yield bounds[k]
+            return
+    yield from range(at + 1, min(at + GLUED, end) + 1)
 
-    Where the next word doesn't stand at the offset, up to three words of the item may have been altered or dropped and
-    up to three put in; the reading with the fewest alterations after which two words (or the item's last) match goes on.
+
+def _run(words: list[bytes], doc: bytes, word: int, at: int) -> int:
+    """Equal words from here on."""
+    first = word
+    while word < len(words) and doc.startswith(words[word], at):
+        at += len(words[word])
+        word += 1
+    return word - first
+
+
+def _extend(words: list[bytes], doc: bytes, bounds: list[int], budget: int, single: bool) -> list[int]:
+    """From the start of both rightwards: for each number of alterations up to the budget the most words covered with so many.
+
+    States (word, byte offset) are reached by their fewest alterations: equal words are free; a word altered, dropped or
+    put in costs one. A state with more than (words + 31) / 8 alterations is left: of a passage that goes on behind it, what
+    lies before or behind those words is a passage itself, with two alterations less than it may have and a seed of its own.
+    single: an equal word follows every alteration.
+    A passage ends in two equal words (or the item's last): one word that is equal behind an alteration may be so by chance.
     """
-    out: list[tuple[int, int]] = []
-    first, edits = word, 0
-    while word < len(words):
-        if doc.startswith(words[word], at):
-            at += len(words[word])
-            word += 1
-            out.append((word - first, edits))
-            continue
-        if at >= len(doc):
+    end, out = len(doc), []
+    level, seen = {(0, 0)}, set()
+    for edits in range(budget + 1):
+        reached, most = set(), out[-1] if out else 0
+        for word, at in level:
+            run = 0 if edits else 2
+            if single and edits and (word == len(words) or not doc.startswith(words[word], at)):
+                continue
+            while (word, at, run) not in seen:
+                seen.add((word, at, run))
+                if run == 2 or run and word == len(words):
+                    most = max(most, word)
+                if word == len(words) or not doc.startswith(words[word], at):
+                    reached.add((word, at))
+                    break
+                to = at + len(words[word])
+                if (k := bisect_left(bounds, to)) == len(bounds) or bounds[k] != to:
+                    reached.add((word, at))  # the start of a longer word of the document may be equal by chance
+                word, at, run = word + 1, to, min(run + 1, 2)
+        out.append(most)
+        if out[-1] == len(words):
             break
-        best = None
-        window = doc[at : at + 110]
-        for skipped in range(4):
-            left = words[word + skipped : word + skipped + 2]
-            if not left:
-                break
-            found = window.find(b"".join(left))
-            if found < 0:
+        level = set()
+        for word, at in reached:
+            if 8 * (edits + 1) > word + 1 + 31:
                 continue
-            # bytes put in where nothing was skipped are at least a word, at most a word per four bytes
-            put_in = -(-found // 12) if found else 0
-            cost = max(skipped, put_in, 1)
-            if cost <= 3 and (best is None or (cost, found) < best[:2]):
-                best = cost, found, skipped
-        if best is None or edits + best[0] > budget:
+            if word < len(words):
+                level.add((word + 1, at))
+            for to in _next(bounds, at, end):
+                level.add((word, to))
+                if word < len(words):
+                    level.add((word + 1, to))
+        if not level:
             break
-        edits += best[0]
-        at += best[1]
-        word += best[2]
     return out
 
 
-def held(words: list[bytes], doc: bytes, word: int, at: int) -> tuple[int, int] | None:
+def held(words: list[bytes], doc: bytes, bounds: list[int], word: int, at: int) -> tuple[int, int] | None:
     """(running words, alterations) of the item around a verbatim seed at (word, byte offset), or None if too few.
 
-    Words at the ends of a passage may be altered too, as long as the alterations stay one in eight.
+    Words at the ends of a passage may be altered too, as long as the alterations stay one in eight. bounds: where words of
+    the document start, and its end.
     """
+    before = [w[::-1] for w in reversed(words[:word])]
+    back = doc[:at][::-1]
     limit = len(words) // ONE_IN
-    right = [(0, 0), *_extend(words, doc, word, at, limit)]
-    left = [(0, 0), *_extend([w[::-1] for w in reversed(words[:word])], doc[:at][::-1], 0, 0, limit)]
+    run = _run(words, doc, word, at) + _run(before, back, 0, 0)
+    if run < 7:
+        # n words with e altered leave 7e equal ones or more, and 14 at least, in e + 1 runs; the seed in the longest finds the
+        # passage, and if that run has 5 or 6 words, no two alterations can be side by side
+        limit = min(limit, run // (7 - run))
+    k = bisect_left(bounds, at)
+    right = _extend(words[word:], doc[at:], [b - at for b in bounds[k:]], limit, run < 7)
+    left = _extend(before, back, [at - b for b in reversed(bounds[: bisect_right(bounds, at)])], limit, run < 7)
     best = None
-    for l, le in left:
-        for r, re_ in right:
+    for le, l in enumerate(left):
+        for re_, r in enumerate(right):
             n, edits = l + r, le + re_
-            for more in range(max(0, RUNNING - n), limit + 1):
-                if n + more > len(words) or edits + more > (n + more) // ONE_IN:
-                    continue
-                if n + more >= RUNNING and (best is None or n - edits > best[0] - best[1]):
-                    best = n, edits
-                break
+            more = max(0, RUNNING - n)
+            while more <= limit and n + more <= len(words) and edits + more > (n + more) // ONE_IN:
+                more += 1
+            if more > limit or n + more > len(words):
+                continue
+            if best is None or (n - edits, -edits) > (best[0] - best[1], -best[1]):
+                best = n, edits
     return best
 
 
@@ -193,8 +253,11 @@ SCHEMA = pa.schema([("eval_id", pa.int64()), ("doc_id", pa.int64()), ("eval_word
 DDL = "eval_id bigint, doc_id bigint, eval_word int, doc_byte int, match_bytes int, words_held int, alterations int"
 
 
-def _search(queries: Queries, ids: list[int], texts: list[bytes]) -> Iterator[tuple]:
-    """Of one shard: for every test item and document with a passage, its longest verbatim match and what is held."""
+def _search(queries: Queries, ids: list[int], texts: list[bytes], raw: list[str]) -> Iterator[tuple]:
+    """Of one shard: for every test item and document with a passage, its longest verbatim match and what is held.
+
+    texts: the reduced ones; raw: as they were.
+    """
     flat = b"\0".join(texts) + b"\0" * 80
     data = np.frombuffer(flat, dtype=np.uint8)
     starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
@@ -213,8 +276,11 @@ def _search(queries: Queries, ids: list[int], texts: list[bytes]) -> Iterator[tu
         for where in array[low:high].tolist():
             doc = int(np.searchsorted(starts, where, "right")) - 1
             hits.setdefault((t, doc), []).append((word, where - int(starts[doc])))
+    bounds: dict[int, list[int]] = {}
     for (t, doc), seeds in hits.items():
         test, text = queries.tests[t], texts[doc]
+        if doc not in bounds:
+            bounds[doc] = word_bounds(raw[doc])
         best, longest, covered = None, (0, 0, 0), set()
         for word, where in sorted(seeds):
             diagonal = where - test.starts[word]
@@ -235,7 +301,7 @@ def _search(queries: Queries, ids: list[int], texts: list[bytes]) -> Iterator[tu
                 covered.add((diagonal, k))
                 k += 1
             longest = max(longest, (n, -word, where))
-            found = held(test.words, text, word, where)
+            found = held(test.words, text, bounds[doc], word, where)
             if found is not None and (best is None or found[0] - found[1] > best[0] - best[1]):
                 best = found
         if best is not None:
@@ -245,25 +311,27 @@ def _search(queries: Queries, ids: list[int], texts: list[bytes]) -> Iterator[tu
 def _shards(batches: Iterator[pa.RecordBatch], tests: list[tuple[int, str]], shard_bytes: int) -> Iterator[pa.RecordBatch]:
     queries = Queries([Test(k, t) for k, t in tests])
 
-    def out(ids: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        rows = list(_search(queries, ids, texts))
+    def out(ids: list[int], texts: list[bytes], raw: list[str]) -> Iterator[pa.RecordBatch]:
+        rows = list(_search(queries, ids, texts, raw))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SCHEMA)], schema=SCHEMA)
 
     ids: list[int] = []
     texts: list[bytes] = []
+    raw: list[str] = []
     size = 0
     for batch in batches:
         for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             reduced = reduce_text(text).encode()
             ids.append(key)
             texts.append(reduced)
+            raw.append(text)
             size += len(reduced)
             if size >= shard_bytes:
-                yield from out(ids, texts)
-                ids, texts, size = [], [], 0
+                yield from out(ids, texts, raw)
+                ids, texts, raw, size = [], [], [], 0
     if ids:
-        yield from out(ids, texts)
+        yield from out(ids, texts, raw)
 
 
 def leaks(documents: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
