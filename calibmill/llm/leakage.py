@@ -95,10 +95,26 @@ class Queries:
         self.tests = tests
         self.where = [(t, w) for t, test in enumerate(tests) for w in range(len(test.words) - SEED_WORDS + 1)]
         self.seeds = [tests[t].data[tests[t].starts[w] : tests[t].starts[w + SEED_WORDS]] for t, w in self.where]
-        padded = [s[:8].ljust(8, b"\0") for s in self.seeds]
-        self.heads = np.array([int.from_bytes(p, "big") for p in padded], dtype=np.uint64)
+        # a seed of under eight bytes starts all heads from its own to the one filled up with ones
+        self.heads, self.last = (np.array([int.from_bytes(s[:8].ljust(8, fill), "big") for s in self.seeds], dtype=np.uint64) for fill in (b"\0", b"\xff"))
         self.known = np.zeros(1 << 20, dtype=bool)
         self.known[self.slot(self.heads)] = True
+        short = sorted({(int(a), int(b)) for a, b in zip(self.heads, self.last) if a != b}, key=lambda x: (x[0], -x[1]))
+        outer: list[tuple[int, int]] = []
+        for x in short:  # they nest or lie apart
+            if not outer or x[0] > outer[-1][1]:
+                outer.append(x)
+        self.low, self.high = (np.array([x[side] for x in outer], dtype=np.uint64) for side in (0, 1))
+        self.depth = -(-max([8, *map(len, self.seeds)]) // 8) * 8
+
+    def starting(self, heads: np.ndarray) -> np.ndarray:
+        """The places of the heads that start a seed, or that a seed of under eight bytes starts."""
+        at = np.flatnonzero(self.known[self.slot(heads)])
+        at = at[np.isin(heads[at], self.heads)]
+        if not len(self.low):
+            return at
+        of = np.searchsorted(self.low, heads, "right") - 1
+        return np.union1d(at, np.flatnonzero((of >= 0) & (heads <= self.high[np.maximum(of, 0)])))
 
     @staticmethod
     def slot(heads: np.ndarray) -> np.ndarray:
@@ -258,17 +274,16 @@ def _search(queries: Queries, ids: list[int], texts: list[bytes], raw: list[str]
 
     texts: the reduced ones; raw: as they were.
     """
-    flat = b"\0".join(texts) + b"\0" * 80
+    flat = b"\0".join(texts) + b"\0" * (queries.depth + 16)
     data = np.frombuffer(flat, dtype=np.uint8)
     starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     heads = _heads(data)
-    at = np.flatnonzero(queries.known[Queries.slot(heads)])
-    at = at[np.isin(heads[at], queries.heads)]
+    at = queries.starting(heads)
     if not len(at):
         return
-    array = suffix_array(data, at, heads[at])
+    array = suffix_array(data, at, heads[at], queries.depth)
     sorted_heads = heads[array]
-    lows, highs = np.searchsorted(sorted_heads, queries.heads, "left"), np.searchsorted(sorted_heads, queries.heads, "right")
+    lows, highs = np.searchsorted(sorted_heads, queries.heads, "left"), np.searchsorted(sorted_heads, queries.last, "right")
     hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for q in np.flatnonzero(lows < highs).tolist():
         low, high = _bisect(flat, array, int(lows[q]), int(highs[q]), queries.seeds[q])
