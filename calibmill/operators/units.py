@@ -87,22 +87,25 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     source, field = pdf["source"].iloc[0], pdf["field"].iloc[0]
     if field not in FIELD_UNITS:
         return pd.DataFrame(columns=["source", "field", "mu", "sigma", "shares"])
-    mu, sigma, shares = fit_mixture(field, pdf["bin"].to_numpy() / BINS_PER_DECADE, pdf["n"].to_numpy(float), pdf["unit"].fillna("").to_numpy(), None)
+    mu, sigma, shares = fit_mixture(field, pdf["bin"].to_numpy() / BINS_PER_DECADE, pdf["n"].to_numpy(float), pdf["unit"].fillna("").to_numpy(), clock if (clock := pdf["dt_ns"].max()) > 0 else None)
     return pd.DataFrame({"source": [source], "field": [field], "mu": [mu], "sigma": [sigma], "shares": [shares]})
 
 
 def fit_units(values: DataFrame) -> DataFrame:
     """A model per (source, field) from (source, field, number, unit): counts per bin, then EM over the bins.
 
+    Where values have their device's clock (``clock_ns``), cycles are a component too, at the source's largest clock.
+
     The histogram is aggregated before it is shuffled, so a source holding most rows costs no more than another;
     a group is at most (decades x bins x units) rows. Zero, null, NaN and infinite numbers don't count. The model is
     staged: its size is known when it is joined, so values needn't be shuffled by source to meet a few rows.
     """
     size = F.abs("number")
+    clock = F.col("clock_ns") if "clock_ns" in values.columns else F.lit(None).cast("double")
     bins = (
         values.where(F.col("number").isNotNull() & ~F.isnan("number") & (size > 0) & (size < float("inf")))
         .groupBy(F.coalesce("source", F.lit("")).alias("source"), "field", "unit", F.round(F.log10(size) * BINS_PER_DECADE).cast("int").alias("bin"))
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n"), F.max(clock).alias("dt_ns"))
     )
     return stage(bins.groupBy("source", "field").applyInPandas(_fit, MODEL_DDL))
 
@@ -116,7 +119,8 @@ def assign_units(values: DataFrame, model: DataFrame, fields: tuple[str, ...]) -
     """``values`` with ``unit_used``, ``unit_from`` ('stated', 'posterior', 'default'), ``posterior``, ``uncertain``.
 
     A stated unit holds if the field occurs in it. Numbers that have no logarithm (zero, infinite, missing) get the
-    field's common unit by default. Within a posterior a unit named by ``hint`` has its odds raised.
+    field's common unit by default. Within a posterior a unit named by ``hint`` has its odds raised. Device cycles are
+    among a posterior's units where the value's clock is known (``clock_ns``).
     """
     joined = values.join(model, (F.coalesce(values["source"], F.lit("")) == model["source"]) & (values["field"] == model["field"]), "left").drop(model["source"]).drop(model["field"])
     has_log = F.col("number").isNotNull() & ~F.isnan("number") & (F.abs("number") > 0) & (F.abs("number") < float("inf"))
@@ -124,7 +128,11 @@ def assign_units(values: DataFrame, model: DataFrame, fields: tuple[str, ...]) -
     for field in fields:
         table = FIELD_UNITS[field]
         common = next(iter(table))
-        scores = [F.struct((_log_density(field, u, F.lit(math.log10(f))) + F.when(F.col("hint") == u, math.log(HINT_ODDS)).otherwise(0.0)).alias("s"), F.lit(-i).alias("i"), F.lit(u).alias("u")) for i, (u, f) in enumerate(table.items()) if f is not None]
+        offsets = {u: F.lit(math.log10(f)) for u, f in table.items() if f is not None}
+        if "clock_ns" in values.columns:
+            offsets |= {u: F.when(F.col("clock_ns") > 0, F.log10("clock_ns")) for u, f in table.items() if f is None}
+        density = lambda u: F.coalesce(_log_density(field, u, offsets[u]), F.lit(-math.inf))  # noqa: B023, E731
+        scores = [F.struct((density(u) + F.when(F.col("hint") == u, math.log(HINT_ODDS)).otherwise(0.0)).alias("s"), F.lit(-i).alias("i"), F.lit(u).alias("u")) for i, u in enumerate(table) if u in offsets]
         top = F.array_max(F.array(*scores))
         rest = F.aggregate(F.array(*[s["s"] for s in scores]), F.lit(0.0), lambda acc, s: acc + F.exp(s - top["s"]))  # noqa: B023
         pick = F.when(F.col("unit").isin(*table), F.struct(F.col("unit").alias("u"), F.lit("stated").alias("how"), F.lit(1.0).alias("p"))).when(
