@@ -1,21 +1,21 @@
 """Implausible readings: physical limits, spikes and stuck values, by an isolation forest per source.
 
 A reading is described relative to its own source: its level (distance from the typical value of its backend,
-campaign and qubit), its difference from the reading before, its distance from the source's usual level at
+campaign and qubit), its difference from the nearer of its neighbours in time, its distance from the source's usual level at
 that hour, and the length of its run of equal readings. Each feature is cut into ordinal codes, and one
-isolation forest per backend is grown over the codes of a bounded sample. Splits are drawn within a node's
-box of the code domain, not of the sample, so a code that no sampled reading has is isolated too. With a few
-codes a feature the forest's score is the same for all readings in one cell of the code grid, so it is
+isolation forest per backend is grown over the counts of all its readings by code. Splits are drawn within a node's
+box of the code domain, not of the readings, so gaps are cut often and a code that no reading has is isolated too. A branch ends
+where it holds no more than a small share of the readings, so a cluster of like faults counts as isolated, like a single one.
+With a few codes a feature the forest's score is the same for all readings in one cell of the code grid, so it is
 tabulated over the whole grid once and looked up for every reading inside the JVM.
 
-A source's score limit is the least score of all cells that lie in the zone of spikes or of long runs; every
-reading at or above it is a candidate, so no reading of that zone can be missed. Candidates are then checked
-exactly. Physical limits are rules of their own.
+A source's score limit lies in the widest gap of the scores that its readings have, within the range where isolated and usual
+readings meet. Only readings above it are candidates; they are then checked exactly. Physical limits are rules of their own.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -28,72 +28,69 @@ from calibmill.session import stage
 FIELDS = ("t1_seconds", "t2_seconds", "prob_meas0_prep1")
 #: A reading is a spike beyond so many times the usual scatter: sound ones stay within 5, spikes lie beyond 10.
 SPIKE, RUN = 8.0, 6
-#: Codes of level, step and seasonal distance: the whole part of a logarithm of their size, with their sign, up to so far from
-#: 0. A spike has at least code ZONE, with a margin for rounding. Run lengths are their own codes, up to RUN.
-ZONE, FARTHEST = 4, (7, 6, 4)
-CODE_WIDTH = math.log1p(SPIKE - 0.1) / ZONE
-SHAPE = (*(2 * n + 1 for n in FARTHEST), RUN)
-#: The forest: trees, readings per tree, depth; the sample per source it is grown on; the most bytes broadcast.
-TREES, PER_TREE, DEPTH, SAMPLE, BROADCAST_BYTES = 48, 256, 10, 2000, 64 << 20
-MODEL_DDL = "source string, score_limit float, scores array<float>"
-
-
-def _usual_path(n: np.ndarray) -> np.ndarray:
-    """The mean path length of an unsuccessful search among n readings."""
-    n = np.asarray(n, dtype=float)
-    return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
-
-
-def grow_forest(codes: np.ndarray, seed: int = 7, trees: int = TREES, per_tree: int = PER_TREE, depth: int = DEPTH) -> np.ndarray:
-    """Isolation scores (0..1, higher is more isolated) of every cell of the code grid, from sampled codes (n, 4)."""
+#: Scatters per code of level, difference and seasonal distance (sizes without sign), and the codes of each; run lengths are their
+#: own codes, the last one for longer runs too.
+WIDTHS, SHAPE = (1.0, 3.0, 4.0), (17, 6, 5, RUN + 1)
+#: The forest: trees, readings per tree, greatest depth, the share of a tree's readings up to which a branch counts as isolated, and
+#: the depth that scores one half.
+TREES, PER_TREE, DEPTH, ISOLATED, HALF_DEPTH = 200, 256, 24, 0.05, 6.0
+#: The scores among which the limit is sought, its place in the widest gap, and the share of readings below which a cell doesn't
+#: bound a gap.
+LIMIT_RANGE, IN_GAP, RARE = (0.5, 0.65), 0.4, 2e-4
+#: Sources with fewer rows share a forest; the most bytes broadcast.
+LEAST_ROWS, BROADCAST_BYTES = 150, 64 << 20
+MODEL_DDL = "pool string, score_limit float, scores array<float>"
+
+
+def grow_forest(cells: np.ndarray, counts: np.ndarray, seed: int = 7, trees: int = TREES, per_tree: int = PER_TREE) -> np.ndarray:
+    """Isolation scores (0..1, higher is more isolated) of every cell of the code grid, from the counts of readings by cell."""
     rng = np.random.default_rng(seed)
-    total = np.zeros(SHAPE)
-    size = min(per_tree, len(codes))
+    codes, total = np.stack(np.unravel_index(cells, SHAPE), axis=1), np.zeros(SHAPE)
+    n = int(counts.sum())
+    size = min(per_tree, n)
     for _ in range(trees):
-        sample = codes[rng.choice(len(codes), size, replace=False)] if len(codes) else codes
-        todo = [(tuple(slice(0, n) for n in SHAPE), sample, 0)]
+        sample = codes[np.repeat(np.arange(len(codes)), rng.multivariate_hypergeometric(counts, size, method="marginals"))] if size < n else np.repeat(codes, counts, axis=0)
+        todo = [(tuple(slice(0, k) for k in SHAPE), sample, 0)]
         while todo:
             box, rows, level = todo.pop()
             open_axes = [a for a, s in enumerate(box) if s.stop - s.start > 1]
-            if level == depth or len(rows) <= 1 or not open_axes:
-                total[box] += level + _usual_path(len(rows))
+            if level == DEPTH or len(rows) <= ISOLATED * size or not open_axes:
+                total[box] += level
                 continue
             axis = open_axes[rng.integers(len(open_axes))]
             cut = int(rng.integers(box[axis].start + 1, box[axis].stop))
             left = rows[:, axis] < cut
             for part, keep in ((slice(box[axis].start, cut), left), (slice(cut, box[axis].stop), ~left)):
                 todo.append((box[:axis] + (part,) + box[axis + 1 :], rows[keep], level + 1))
-    return np.power(2.0, -total / trees / max(float(_usual_path(size)), 1e-9))
+    return np.power(2.0, -total / trees / HALF_DEPTH)
 
 
-def zone() -> np.ndarray:
-    """The cells whose readings may be spikes or stuck."""
-    cells = np.zeros(SHAPE, dtype=bool)
-    cells[np.abs(np.arange(SHAPE[0]) - FARTHEST[0]) >= ZONE] = True
-    cells[..., RUN - 1] = True
-    return cells
+def score_limit(scores: np.ndarray, counts: np.ndarray) -> float:
+    """Where candidates begin: within the widest gap between the scores of cells that hold more than a rare reading."""
+    low, high = LIMIT_RANGE
+    met = scores[(counts > RARE * counts.sum()) & (scores > low) & (scores < high)]
+    edges = np.unique(np.concatenate([[low], met, [high]]))
+    at = int(np.argmax(np.diff(edges)))
+    return float(edges[at] + IN_GAP * (edges[at + 1] - edges[at]))
 
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    scores = grow_forest(np.stack(np.unravel_index(pdf["cell"].to_numpy(), SHAPE), axis=1)).astype(np.float32)
-    return pd.DataFrame({"source": [pdf["source"].iloc[0]], "score_limit": [scores[zone()].min()], "scores": [scores.ravel()]})
-
+    pdf = pdf.sort_values("cell")  # the same forest whatever order the rows come in
+    cells, counts = pdf["cell"].to_numpy(), pdf["n"].to_numpy()
+    scores = grow_forest(cells, counts).astype(np.float32).ravel()
+    return pd.DataFrame({"pool": [pdf["pool"].iloc[0]], "score_limit": [score_limit(scores[cells], counts)], "scores": [scores]})
 
-def _code(x: Column, farthest: int) -> Column:
-    """The code of a distance in scatters, from 0; NULL counts as no distance. Few operations, so that it compiles well."""
-    size = F.floor(F.log1p(F.abs(x)) / CODE_WIDTH)
-    return farthest + F.coalesce((F.signum(x) * F.least(size, F.lit(farthest))).cast("int"), F.lit(0))
 
-
-def _cell(level: Column, step: Column, season: Column, run: Column) -> Column:
-    out = _code(level, FARTHEST[0])
-    for code, n in ((_code(step, FARTHEST[1]), SHAPE[1]), (_code(season, FARTHEST[2]), SHAPE[2]), (F.least(F.coalesce(run, F.lit(1)), F.lit(RUN)).cast("int") - 1, RUN)):
-        out = out * n + code
-    return out
+def _cell(sizes: tuple[Column, Column, Column], run: Column) -> Column:
+    """The grid cell of a reading; unknown distances count as none. Few operations, so that it compiles well."""
+    out = F.lit(0)
+    for x, width, codes in zip(sizes, WIDTHS, SHAPE):
+        out = out * codes + F.least(F.coalesce(F.floor(F.abs(x) / width), F.lit(0)), F.lit(codes - 1)).cast("int")
+    return out * SHAPE[3] + F.least(F.coalesce(run, F.lit(1)), F.lit(SHAPE[3])).cast("int") - 1
 
 
 def first_rows(calibration: DataFrame) -> DataFrame:
-    """Calibration rows, those repeating a (snapshot_id, qubit) with their values nulled, and the window they lie in.
+    """Calibration rows with a mark ``_first`` of those that don't repeat a (snapshot_id, qubit).
 
     Rows without a snapshot_id repeat none. A snapshot_id belongs to one backend, campaign and ts.
     """
@@ -102,51 +99,52 @@ def first_rows(calibration: DataFrame) -> DataFrame:
 
 
 def readings(calibration: DataFrame) -> DataFrame:
-    """One row per first row: for each field its missing and impossible marks, deviation, step, run, and its group's spread.
+    """One row per first row: for each field its impossible mark, deviation, difference, run, and its group's spread.
 
-    All windows share one partitioning and order, so the rows are shuffled and sorted once. Runs are counted with
-    five readings back and five ahead, missing ones skipped, which decides exactly whether six are equal.
+    All windows share one partitioning and order, so the rows are shuffled and sorted once. A run's length is known at
+    its end, as the readings counted there less those counted before its start, and handed back by the next end ahead.
     """
     base = t1_in_seconds(calibration.select("row_id", "snapshot_id", "backend", "campaign", "qubit", "ts", "t1_seconds", "t2_seconds", "prob_meas0_prep1", "note"))
     base = base.select("row_id", "snapshot_id", "backend", "campaign", "qubit", "ts", F.col("t1_common").alias("t1_seconds"), "t2_seconds", "prob_meas0_prep1")
-    rows = first_rows(base)
-    rows = rows.withColumns({f"v_{f}": F.when(F.col("_first") & ~F.isnan(f), F.col(f)) for f in FIELDS})
-    inf = float("inf")
-    rows = rows.withColumns({f"bad_{f}": (F.abs(f"v_{f}") == inf) | ((F.col(f"v_{f}") < 0) | (F.col(f"v_{f}") > 1) if f.startswith("prob") else F.col(f"v_{f}") <= 0) for f in FIELDS})
-    order = "over (partition by backend, campaign, qubit order by ts, snapshot_id, row_id)"
-    group = Window.partitionBy("backend", "campaign", "qubit")
-    parts: dict[str, Column] = {}
-    for f in FIELDS:
-        for k in range(1, RUN):
-            parts[f"b{k}_{f}"] = F.expr(f"lag(v_{f}, {k}) ignore nulls {order}")
-            parts[f"a{k}_{f}"] = F.expr(f"lead(v_{f}, {k}) ignore nulls {order}")
-        parts[f"q_{f}"] = F.percentile_approx(F.when(~F.col(f"bad_{f}"), F.col(f"v_{f}")), [0.25, 0.5, 0.75], 10000).over(group)
-    rows = rows.withColumns(parts)
-
-    def streak(f: str, side: str) -> Column:
-        out = F.lit(RUN - 1)
-        for k in range(RUN - 1, 0, -1):
-            out = F.when(F.coalesce(F.col(f"{side}{k}_{f}") == F.col(f"v_{f}"), F.lit(False)), out).otherwise(k - 1)
-        return out
-
-    out = [F.col("row_id"), F.coalesce("backend", F.lit("")).alias("source"), F.hour("ts").cast("tinyint").alias("hour"), (F.col("v_t2_seconds") > 2 * F.col("v_t1_seconds")).alias("over")]
+    group, inf = ["backend", "campaign", "qubit"], float("inf")
+    order = ["ts", "snapshot_id", "row_id"]
+    along = Window.partitionBy(*group).orderBy(*order)
+    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    value, bad = (lambda f: F.col(f"v_{f}")), lambda f: F.col(f"bad_{f}")
+    rows = first_rows(base).select("row_id", *group, "ts", "snapshot_id", "_first", *[F.when(F.col("_first") & ~F.isnan(f), F.col(f)).alias(f"v_{f}") for f in FIELDS])
+    rows = rows.withColumns({f"bad_{f}": (F.abs(value(f)) == inf) | ((value(f) < 0) | (value(f) > 1) if f.startswith("prob") else value(f) <= 0) for f in FIELDS})
+    spec = f"over (partition by {', '.join(group)} order by {', '.join(order)})"
+    rows = rows.withColumns(
+        {f"b_{f}": F.expr(f"lag(v_{f}, 1) ignore nulls {spec}") for f in FIELDS}
+        | {f"a_{f}": F.expr(f"lead(v_{f}, 1) ignore nulls {spec}") for f in FIELDS}
+        | {f"n_{f}": F.count(value(f)).over(so_far) for f in FIELDS}
+        | {f"q_{f}": F.percentile_approx(F.when(~bad(f), value(f)), [0.25, 0.5, 0.75], 10000).over(Window.partitionBy(*group)) for f in FIELDS}
+    )
+    differs = lambda f, side: value(f).isNotNull() & ~F.coalesce(F.col(f"{side}_{f}") == value(f), F.lit(False))
+    rows = rows.withColumns({f"s_{f}": F.max(F.when(differs(f, "b"), F.col(f"n_{f}"))).over(so_far) for f in FIELDS})
+    rows = rows.withColumns({f"r_{f}": F.when(differs(f, "a"), F.col(f"n_{f}") - F.col(f"s_{f}") + 1) for f in FIELDS})
+    rows = rows.withColumns({f"e_{f}": F.expr(f"lead(r_{f}, 1) ignore nulls {spec}") for f in FIELDS})
+
+    out = [F.col("row_id"), F.coalesce("backend", F.lit("")).alias("source"), F.hour("ts").cast("tinyint").alias("hour"), (value("t2_seconds") > 2 * value("t1_seconds")).alias("over")]
     for f in FIELDS:
         middle = F.when(F.col(f"q_{f}")[1] > 0, F.col(f"q_{f}")[1])
-        sound = F.when(~F.col(f"bad_{f}"), F.col(f"v_{f}"))
-        before = F.col(f"b1_{f}")
+        sound = F.when(~bad(f), value(f))
+        apart = lambda side: F.when(F.abs(F.col(f"{side}_{f}")) < inf, F.abs(sound - F.col(f"{side}_{f}")))  # noqa: B023, E731
         out += [
-            F.col(f"bad_{f}"),
+            bad(f),
             F.try_divide(sound, middle).cast("float").alias(f"ratio_{f}"),
-            F.when(sound.isNotNull() & (F.abs(before) < inf), F.try_divide(sound - before, middle)).cast("float").alias(f"step_{f}"),
-            F.when(F.col(f"v_{f}").isNotNull(), streak(f, "b") + streak(f, "a") + 1).cast("tinyint").alias(f"run_{f}"),
+            F.try_divide(F.least(apart("b"), apart("a")), middle).cast("float").alias(f"step_{f}"),
+            F.when(value(f).isNotNull(), F.least(F.coalesce(f"r_{f}", f"e_{f}"), F.lit(SHAPE[3]))).cast("tinyint").alias(f"run_{f}"),
             F.when(sound.isNotNull(), F.try_divide(F.col(f"q_{f}")[2] - F.col(f"q_{f}")[0], 1.349 * middle)).cast("float").alias(f"spread_{f}"),
         ]
     return rows.where("_first").select(*out)
 
 
 def source_scale(rows: DataFrame) -> DataFrame:
-    """Per source its rows and, per field, its usual relative scatter: the median over readings of their group's spread."""
-    return rows.groupBy("source").agg(F.count("*").alias("n_rows"), *[F.percentile_approx(F.when(F.col(f"spread_{f}") > 0, F.col(f"spread_{f}")), 0.5, 1000).alias(f"scatter_{f}") for f in FIELDS])
+    """Per source the forest it belongs to (``pool``) and, per field, its usual relative scatter: the median over readings of
+    their group's spread."""
+    scatter = [F.percentile_approx(F.when(F.col(f"spread_{f}") > 0, F.col(f"spread_{f}")), 0.5, 1000).alias(f"scatter_{f}") for f in FIELDS]
+    return rows.groupBy("source").agg(F.when(F.count("*") >= LEAST_ROWS, F.first("source")).otherwise("").alias("pool"), *scatter)
 
 
 def _scaled(rows: DataFrame, scale: DataFrame) -> DataFrame:
@@ -159,38 +157,43 @@ def season(rows: DataFrame, scale: DataFrame) -> DataFrame:
 
 
 def featured(rows: DataFrame, scale: DataFrame, seasons: DataFrame) -> DataFrame:
-    """Readings with their level ``z_`` and grid cell ``cell_`` per field. ``scale`` and ``seasons`` have a row (24 rows) per source."""
+    """Readings with their level ``z_``, run and grid cell ``cell_`` per field. ``scale`` and ``seasons`` have a row (24 rows) per source."""
     out = _scaled(rows, scale).join(seasons, ["source", "hour"], "left")
-    return out.withColumns({f"cell_{f}": F.when(F.col(f"z_{f}").isNotNull() | (F.col(f"run_{f}") > 0), _cell(F.col(f"z_{f}"), F.try_divide(F.col(f"step_{f}").cast("double"), F.col(f"scatter_{f}").cast("double")), F.col(f"z_{f}") - F.col(f"season_{f}"), F.col(f"run_{f}"))) for f in FIELDS})
+    cells = [F.when(F.col(f"run_{f}") > 0, _cell((F.col(f"z_{f}"), F.try_divide(F.col(f"step_{f}").cast("double"), F.col(f"scatter_{f}").cast("double")), F.col(f"z_{f}") - F.col(f"season_{f}")), F.col(f"run_{f}"))).cast("smallint").alias(f"cell_{f}") for f in FIELDS]
+    return out.select("row_id", "source", "pool", "over", *[c for f in FIELDS for c in (f"bad_{f}", f"z_{f}", f"run_{f}")], *cells)
 
 
-def forests(features: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """A forest per source as its score table, grown on about ``sample`` readings of that source chosen by hash."""
-    rate = sample / (len(FIELDS) * F.greatest(F.col("n_rows"), F.lit(1)))
-    chosen = features.where(F.pmod(F.xxhash64("row_id", F.lit(41)), F.lit(1_000_000)) < rate * 1_000_000 + 1)
-    cells = chosen.select("source", F.explode(F.array_compact(F.array(*[F.col(f"cell_{f}") for f in FIELDS]))).alias("cell"))
-    return cells.groupBy("source").applyInPandas(_fit, MODEL_DDL)
+def forests(features: DataFrame) -> DataFrame:
+    """A forest per pool as its score table and limit, grown on the counts of all its readings by cell.
+
+    Counts are aggregated before they are shuffled: a pool is as many rows as the grid has cells at most.
+    """
+    cells = features.select("pool", F.explode(F.array_compact(F.array(*[F.col(f"cell_{f}") for f in FIELDS]))).alias("cell"))
+    counts = cells.groupBy("pool", "cell").agg(F.count("*").alias("n"))
+    return counts.repartition("pool").groupBy("pool").applyInPandas(_fit, MODEL_DDL)
 
 
 def scored(features: DataFrame, model: DataFrame) -> DataFrame:
     """Every reading with its isolation scores ``score_`` and candidate marks ``cand_``.
 
-    The score tables are broadcast while sources x table size stays below ``BROADCAST_BYTES``; beyond, the join shuffles.
+    The score tables are broadcast while pools x table size stays below ``BROADCAST_BYTES``; beyond, the join shuffles.
     """
     small = model.count() * int(np.prod(SHAPE)) * 4 <= BROADCAST_BYTES
-    joined = features.join(F.broadcast(model) if small else model, "source", "left")
-    out = joined.withColumns({f"score_{f}": F.col("scores")[F.col(f"cell_{f}")] for f in FIELDS})
+    joined = features.join(F.broadcast(model) if small else model, "pool", "left")
+    out = joined.withColumns({f"score_{f}": F.col("scores")[F.col(f"cell_{f}").cast("int")] for f in FIELDS})
     return out.withColumns({f"cand_{f}": F.coalesce(F.col(f"score_{f}") >= F.col("score_limit"), F.lit(False)) for f in FIELDS}).drop("scores")
 
 
-def scores(calibration: DataFrame) -> DataFrame:
-    """Scores and exact checks of every reading (see ``found_spikes``), per row and field in wide form."""
+def scores(calibration: DataFrame, fit: Callable[[DataFrame], DataFrame] = forests) -> DataFrame:
+    """Scores and exact checks of every reading (see ``found_spikes``), per row and field in wide form. ``fit`` makes the model of
+    the features, as ``forests`` does."""
     rows = stage(readings(calibration))
     scale = stage(source_scale(rows))
-    features = featured(rows, scale, stage(season(rows, scale)))
-    out = scored(features, stage(forests(features)))
+    features = stage(featured(rows, scale, stage(season(rows, scale))))
+    out = scored(features, stage(fit(features)))
     for f in FIELDS:
-        out = out.withColumn(f"case_{f}", F.coalesce(F.col(f"bad_{f}"), F.lit(False)) | (F.col(f"cand_{f}") & (F.coalesce(F.abs(f"z_{f}") > SPIKE, F.lit(False)) | F.coalesce(F.col(f"run_{f}") >= RUN, F.lit(False)))))
+        faulty = F.coalesce(F.abs(f"z_{f}") > SPIKE, F.lit(False)) | F.coalesce(F.col(f"run_{f}") >= RUN, F.lit(False))
+        out = out.withColumn(f"case_{f}", F.coalesce(F.col(f"bad_{f}"), F.lit(False)) | (F.col(f"cand_{f}") & faulty))
     return out.withColumn("case_t2_seconds", F.col("case_t2_seconds") | (F.coalesce(F.col("over"), F.lit(False)) & ~F.col("case_t1_seconds")))
 
 

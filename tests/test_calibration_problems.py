@@ -70,11 +70,44 @@ def test_t2_over_twice_t1(spark):
 
 
 def test_forest_isolates_what_it_never_saw():
-    codes = np.clip(np.random.default_rng(0).normal([7, 6, 4, 0], [1, 1, 1, 0], (1500, 4)).round().astype(int), 0, np.array(spikes.SHAPE) - 1)
-    scores = spikes.grow_forest(codes)
-    normal = scores[7, 6, 4, 0]
-    assert scores[14, 12, 8, 0] > normal and scores[7, 6, 4, spikes.RUN - 1] > normal and scores[0, 6, 4, 0] > normal
-    assert scores[spikes.zone()].min() > normal and scores.max() <= 1
+    rng = np.random.default_rng(0)
+    codes = np.stack([np.abs(rng.normal(0, 1, 1500)), rng.random(1500), np.zeros(1500), rng.random(1500) < 0.01]).astype(int)
+    cells, counts = np.unique(np.ravel_multi_index(tuple(codes), spikes.SHAPE), return_counts=True)
+    scores = spikes.grow_forest(cells, counts)
+    limit = spikes.score_limit(scores.ravel()[cells], counts)
+    assert scores[0, 0, 0, 0] < limit and scores[3, 1, 0, 0] < limit and scores.max() <= 1
+    assert scores[11, 0, 0, 0] > limit and scores[16, 5, 4, 0] > limit and scores[0, 0, 0, spikes.RUN - 1] > limit
+    assert (spikes.grow_forest(cells, counts) == scores).all()
+
+
+def planted(rows):
+    """Spikes of 12 scatters and more, and stuck runs of 6 to 12, in 2 % of the readings."""
+    rng = np.random.default_rng(5)
+    for at in rng.choice(len(rows) // 20, 12, replace=False) * 20 + 3:
+        rows[at][7] *= float(1 + rng.choice([-1, 1]) * rng.uniform(0.25, 0.6))
+    for k, at in enumerate(rng.choice(len(rows) // 20 - 1, 8, replace=False)):
+        for i in range(6 + k % 7):
+            rows[at * 20 + 5 + i][9] = rows[at * 20 + 5][9]
+    return rows
+
+
+def test_the_forest_alone_finds_spikes_and_stuck_readings(spark):
+    out = spikes.scores(calibration(spark, n=400, edit=planted))
+    hit, said, true = 0, 0, 0
+    for f in spikes.FIELDS:
+        fault = F.coalesce((F.abs(f"z_{f}") > spikes.SPIKE) | (F.col(f"run_{f}") >= spikes.RUN), F.lit(False))
+        row = out.agg(F.count_if(F.col(f"cand_{f}") & fault), F.count_if(f"cand_{f}"), F.count_if(fault)).first()
+        hit, said, true = hit + row[0], said + row[1], true + row[2]
+    assert true > 70 and hit / true >= 0.95 and hit / said >= 0.95
+
+
+def test_nothing_but_the_forest_finds_them(spark):
+    size = int(np.prod(spikes.SHAPE))
+    constant = lambda features: features.select("pool").distinct().select("pool", F.lit(0.55).cast("float").alias("score_limit"), F.array_repeat(F.lit(0.5).cast("float"), size).alias("scores"))
+    df = calibration(spark, n=400, edit=planted)
+    out = spikes.scores(df, constant)
+    assert out.where(F.col("case_t2_seconds") | F.col("case_prob_meas0_prep1")).where("not over").count() == 0
+    assert len(found(spikes.found_spikes(df))) > 70
 
 
 def test_spikes_of_odd_tables(spark):
