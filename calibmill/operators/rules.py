@@ -1,20 +1,21 @@
 """First-order Takagi-Sugeno-Kang rules over the rows of a table.
 
-Two forms give the same results. The compiled form writes a small rule base into expressions: every membership degree is
-one column shared by all rules, and nothing is shuffled. The relational form keeps rules and consequents as a table that is
-joined to the rows and aggregated per row; it suits large bases and results by rule. A base is small by the count of its
-rules, known before anything runs.
+Two forms give the same results, row by row and without a shuffle. The compiled form writes a small rule base into expressions:
+every membership degree is one column shared by all rules, and the sums over rules are nested input by input. The array form
+keeps rules and consequents as constant arrays that vectorised code folds over, batch by batch; it suits large bases, whose
+expressions would outgrow compiled code. A base is small by the count of its rules, known before anything runs.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,23 +100,86 @@ class RuleBase:
         """Whether an input is NULL or NaN."""
         return reduce(lambda a, b: a | b, (F.col(x).isNull() | F.isnan(F.col(x).cast("double")) for x in self.inputs))
 
-    # -- relational ---------------------------------------------------------------------------------------------
+    def nested(self, side: str, leaf: Callable[[int], Column | None], rules: Sequence[int] | None = None, i: int = 0) -> Column | None:
+        """The sum over rules of firing strength times ``leaf``, input by input: each degree times the sum of what lies below it.
+
+        A leaf of None stands for 1.
+        """
+        rules = range(len(self.rules)) if rules is None else rules
+        if i == len(self.inputs):
+            leaves = [leaf(r) for r in rules]
+            return reduce(lambda a, b: a + b, leaves) if leaves[0] is not None else F.lit(float(len(leaves))) if len(leaves) > 1 else None
+        groups: dict[int, list[int]] = {}
+        for r in rules:
+            groups.setdefault(self.rules[r][i], []).append(r)
+        below = {k: self.nested(side, leaf, group, i + 1) for k, group in groups.items()}
+        return reduce(lambda a, b: a + b, (self._side(i, k, side) if x is None else self._side(i, k, side) * x for k, x in below.items()))
+
+    # -- as an array --------------------------------------------------------------------------------------------
 
     def table(self, spark: SparkSession) -> DataFrame:
         """rule_id, mf_ids, consequent: the base as rows."""
         return spark.range(1).select(F.explode(self.literal()).alias("r")).select("r.*")
 
+    @property
+    def form(self) -> str:
+        """The form that suits the base's size."""
+        return "compiled" if len(self.rules) <= COMPILE_UP_TO else "array"
+
+    def arrays(self) -> list[Column]:
+        """Columns for meeting the rules one by one: inputs with a 1 behind them, and low and high degrees per input."""
+        degrees = lambda side: F.array(*[F.array(*[self._side(i, k, side) for k in range(len(s))]) for i, s in enumerate(self.shapes)])
+        return [F.array(*[F.col(f"_x_{i}") for i in range(len(self.inputs))], F.lit(1.0)).alias("_x"), degrees("lo").alias("_lo"), degrees("hi").alias("_hi")]
+
+    def numbers(self, bounds: Sequence[str]) -> list[Column]:
+        """What ``folded`` reads: inputs, then the degrees of each bound, input by input."""
+        return [F.col(f"_x_{i}") for i in range(len(self.inputs))] + [self._side(i, k, b) for b in bounds for i, s in enumerate(self.shapes) for k in range(len(s))]
+
+    def folded(self, bounds: Sequence[str]) -> Callable[[str], Column]:
+        """The sums of strengths and of weighted consequents of each bound over all rules, vectorised over rows and taken rule by rule,
+        so that memory doesn't grow with the base."""
+        n, sizes = len(self.inputs), [len(s) for s in self.shapes]
+        first = np.concatenate([[0], np.cumsum(sizes)])[:-1].tolist()
+        rules, consequents, outputs, each = self.rules, self.consequents, self.outputs, sum(sizes)
+
+        @F.pandas_udf("array<double>")
+        def fold(rows: pd.Series) -> pd.Series:
+            v = np.stack(rows.to_numpy()) if len(rows) else np.empty((0, n + each * len(bounds)))
+            v = np.ascontiguousarray(v.T)
+            x = np.vstack([v[:n], np.ones(v.shape[1])])
+            out = np.zeros((len(bounds) * (1 + outputs), v.shape[1]))
+            for rule, consequent in zip(rules, consequents):
+                y = consequent @ x
+                for b in range(len(bounds)):
+                    f = np.prod(v[[n + b * each + first[i] + k for i, k in enumerate(rule)]], axis=0)
+                    out[b] += f
+                    at = len(bounds) + b * outputs
+                    out[at : at + outputs] += f * y
+            return pd.Series(list(out.T))
+
+        return fold
+
     def literal(self) -> Column:
         """The rules as one constant array, so that rows meet rules by exploding it, without a join."""
         rows = [{"rule_id": r, "mf_ids": list(rule), "consequent": self.consequents[r].tolist()} for r, rule in enumerate(self.rules)]
         return F.from_json(F.lit(json.dumps(rows)), "array<struct<rule_id:int,mf_ids:array<int>,consequent:array<array<double>>>>")
 
 
+def _strength(rule: Column, degrees: str) -> Column:
+    """The product of the degrees of a rule (a struct of ``literal``)."""
+    return F.aggregate(F.zip_with(F.col(degrees), rule["mf_ids"], lambda d, k: d[k]), F.lit(1.0), lambda a, d: a * d)
+
+
+def _line(consequent: Column) -> Column:
+    """One output of a consequent at the row's inputs."""
+    return F.aggregate(F.zip_with(consequent, "_x", lambda a, x: a * x), F.lit(0.0), lambda s, v: s + v)
+
+
 def firing(rows: DataFrame, base: RuleBase, keys: Sequence[str], form: str | None = None) -> DataFrame:
     """A row per row and rule: keys, rule_id, f, f_low, f_high, y. ``f`` is the midpoint for interval bases, whose bounds
     are kept; for others the bounds are NULL. A row with a NULL or NaN input fires with NULL. Small bases are written out
     rule by rule, which compiles; large ones are a constant array that rows meet by exploding it."""
-    form = form or ("compiled" if len(base.rules) <= COMPILE_UP_TO else "relational")
+    form = form or base.form
     degrees = base.with_degrees(rows.select(*keys, *[c for c in base.inputs if c not in keys])).withColumn("_missing", base.missing())
     if form == "compiled":
         numbers: dict[str, Column] = {}
@@ -126,11 +190,9 @@ def firing(rows: DataFrame, base: RuleBase, keys: Sequence[str], form: str | Non
         held = list(dict.fromkeys([*keys, "_missing"]))
         out = degrees.select(*held, *[c.alias(n) for n, c in numbers.items()]).select(*held, F.explode(F.array(*structs)).alias("_r")).select(*held, "_r.*")
     else:
-        per_input = lambda side: F.array(*[F.array(*[base._side(i, k, side) for k in range(len(s))]) for i, s in enumerate(base.shapes)])
-        joined = degrees.select(*keys, "_missing", F.array(*[F.col(f"_x_{i}") for i in range(len(base.inputs))]).alias("_x"), per_input("lo").alias("_lo"), per_input("hi").alias("_hi"), F.explode(base.literal()).alias("_r")).select("*", "_r.*")
-        strength = lambda side: F.aggregate(F.zip_with(side, "mf_ids", lambda d, k: d[k]), F.lit(1.0), lambda a, d: a * d)
-        y = F.transform("consequent", lambda c: F.aggregate(F.zip_with(c, F.concat("_x", F.array(F.lit(1.0))), lambda a, x: a * x), F.lit(0.0), lambda s, v: s + v))
-        out = joined.select(*keys, "_missing", "rule_id", strength("_lo").alias("_l"), strength("_hi").alias("_h"), y.alias("y"))
+        met = degrees.select(*keys, "_missing", *base.arrays(), F.explode(base.literal()).alias("_r"))
+        r = F.col("_r")
+        out = met.select(*keys, "_missing", r["rule_id"].alias("rule_id"), _strength(r, "_lo").alias("_l"), _strength(r, "_hi").alias("_h"), F.transform(r["consequent"], _line).alias("y"))
     there = lambda c: F.when(~F.col("_missing"), c)
     y = there(F.col("y")).alias("y")
     if base.interval:
@@ -147,33 +209,31 @@ def defuzzify(rows: DataFrame, base: RuleBase, keys: Sequence[str], method: str
 
     method 'weighted': the average of the consequents by firing strength. 'two_bound': the mean of the averages by lower and
     by upper strength, each normalised by itself; it needs an interval base. Rows that can't be computed have NULLs and say
-    why in ``status``. form: 'compiled', 'relational' or by size. Keys must identify a row for the relational form.
+    why in ``status``. form: 'compiled', 'array' or by size; both give a row per row, whatever the keys.
     """
     if method not in ("weighted", "two_bound"):
         raise ValueError(f"no such method: {method!r}")
-    form = form or ("compiled" if len(base.rules) <= COMPILE_UP_TO else "relational")
+    form = form or base.form
     sides = ("low", "high") if method == "two_bound" else ("mid",)
+    bounds = ("lo", "hi") if base.interval else ("lo",)
     missing = base.missing()
+    degrees = base.with_degrees(rows)
     if form == "compiled":
-        degrees = base.with_degrees(rows)
-        strengths: dict[str, Column] = {}
-        for r in range(len(base.rules)):
-            low, high = base.strengths(r)
-            strengths |= {f"_f_low_{r}": low, f"_f_high_{r}": high} if method == "two_bound" else {f"_f_mid_{r}": 0.5 * (low + high) if base.interval else low}
-        fired = degrees.withColumns(strengths)
-        total = {s: reduce(lambda a, b: a + b, (F.col(f"_f_{s}_{r}") for r in range(len(base.rules)))) for s in sides}
-        weighted = {(s, o): reduce(lambda a, b: a + b, (F.col(f"_f_{s}_{r}") * base.consequent(r, o) for r in range(len(base.rules)))) for s in sides for o in range(base.outputs)}
-        # The sums come out of a generator of one row: a later filter on status or outputs can't be pushed beneath it, where it
-        # would write the whole base out again for every reference.
-        done = {"_missing": missing} | {f"_t_{s}": total[s] for s in sides} | {f"_w_{s}_{o}": w for (s, o), w in weighted.items()}
-        summed = fired.select(*keys, *[c.alias(n) for n, c in done.items()])
-        sums = summed.select(*keys, F.explode(F.array(F.struct(*done))).alias("_s")).select(*keys, "_s.*")
+        ys = degrees.withColumns({f"_y_{r}_{o}": base.consequent(r, o) for r in range(len(base.rules)) for o in range(base.outputs)})
+        # The sums of each bound come out of a generator of one row. It keeps their code apart in methods that the JVM still
+        # compiles, and a later filter on status or outputs can't be pushed beneath it, where it would write the base out again.
+        sums = ys.withColumn("_missing", missing)
+        for b in bounds:
+            part = {f"_t_{b}": base.nested(b, lambda r: None)} | {f"_w_{b}_{o}": base.nested(b, lambda r: F.col(f"_y_{r}_{o}")) for o in range(base.outputs)}  # noqa: B023
+            sums = sums.withColumns(part).withColumn(f"_s_{b}", F.explode(F.array(F.struct(*part)))).drop(*part)
+        sums = sums.select(*keys, "_missing", *[f"_s_{b}.*" for b in bounds])
     else:
-        strength = {"mid": "f", "low": F.coalesce("f_low", "f"), "high": F.coalesce("f_high", "f")}
-        held = rows.select(*keys, *[x for x in base.inputs if x not in keys]).withColumn("_unknown", missing)
-        fired = firing(held, base, [*keys, "_unknown"], "relational").withColumnRenamed("_unknown", "_missing")
-        col = lambda s: F.col(strength[s]) if isinstance(strength[s], str) else strength[s]
-        sums = fired.groupBy(*keys, "_missing").agg(*[F.sum(col(s)).alias(f"_t_{s}") for s in sides], *[F.sum(col(s) * F.col("y")[o]).alias(f"_w_{s}_{o}") for s in sides for o in range(base.outputs)])
+        values = degrees.select(*keys, missing.alias("_missing"), F.array(*base.numbers(bounds)).alias("_v"))
+        done = [f"_t_{b}" for b in bounds] + [f"_w_{b}_{o}" for b in bounds for o in range(base.outputs)]
+        sums = values.withColumn("_s", base.folded(bounds)("_v")).select(*keys, "_missing", *[F.col("_s")[i].alias(name) for i, name in enumerate(done)])
+    of = {"low": "lo", "high": bounds[-1]}
+    part = lambda kind, s, o="": F.col(f"_{kind}_{of[s]}{o}") if s in of else sum((F.col(f"_{kind}_{b}{o}") for b in bounds[1:]), F.col(f"_{kind}_lo{o}")) / len(bounds)
+    sums = sums.select(*keys, "_missing", *[part("t", s).alias(f"_t_{s}") for s in sides], *[part("w", s, f"_{o}").alias(f"_w_{s}_{o}") for s in sides for o in range(base.outputs)])
     raw = {}
     for o in range(base.outputs):
         parts = [F.try_divide(F.col(f"_w_{s}_{o}"), F.col(f"_t_{s}")) for s in sides]

@@ -170,7 +170,8 @@ def forests(features: DataFrame) -> DataFrame:
     """
     cells = features.select("pool", F.explode(F.array_compact(F.array(*[F.col(f"cell_{f}") for f in FIELDS]))).alias("cell"))
     counts = cells.groupBy("pool", "cell").agg(F.count("*").alias("n"))
-    return counts.repartition("pool").groupBy("pool").applyInPandas(_fit, MODEL_DDL)
+    tasks = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number isn't merged: a forest costs much more than its few rows
+    return counts.repartition(tasks, "pool").groupBy("pool").applyInPandas(_fit, MODEL_DDL)
 
 
 def scored(features: DataFrame, model: DataFrame) -> DataFrame:

@@ -277,6 +277,14 @@ def base(interval: bool) -> rules.RuleBase:
     return rules.RuleBase(grid.inputs, grid.shapes, grid.rules, _numbers(27, 2, 3))
 
 
+def large_base() -> rules.RuleBase:
+    """81 rules over quantity, discount, tax and price: beyond the size that is written out."""
+    small = base(True)
+    shapes = dict(zip(small.inputs, small.shapes)) | {"l_extendedprice": [Gaussian(c, 30_000) for c in (0, 50_000, 100_000)]}
+    grid = rules.RuleBase.grid(shapes, 2)
+    return rules.RuleBase(grid.inputs, grid.shapes, grid.rules, _numbers(81, 2, 4) / 10)
+
+
 def _rules_sql(b: rules.RuleBase) -> str:
     """Rows (key, rule_id, lo, hi, y0, y1) of a base, written out rule by rule."""
     degrees = {(i, k): _shape_sql(s, x) for i, (x, shapes) in enumerate(zip(b.inputs, b.shapes)) for k, s in enumerate(shapes)}
@@ -314,6 +322,18 @@ _tsk("tsk_it2_weighted", True, "weighted")
 _tsk("tsk_it2_two_bound", True, "two_bound")
 
 
+def _large_sql() -> str:
+    out = [f"0.5 * (sum(lo * y{o}) / nullif(sum(lo), 0) + sum(hi * y{o}) / nullif(sum(hi), 0))" for o in (0, 1)]
+    return f"{_rules_sql(large_base())}, s AS (SELECT l_orderkey, rn, {out[0]} AS r0, {out[1]} AS r1 FROM g GROUP BY ALL) SELECT l_orderkey, round(r0, 4) + 0.0 AS raw_0, round(r1, 4) + 0.0 AS raw_1, CASE WHEN r0 IS NULL THEN 'no rule fires' ELSE 'ok' END AS status FROM s"
+
+
+@query(_large_sql())
+def tsk_81_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """81 interval rules over every lineitem, keyed by its order alone: keys repeat, rows don't merge."""
+    done = rules.defuzzify(table(spark, sf, "lineitem"), large_base(), ["l_orderkey"], "two_bound")
+    return done.select("l_orderkey", *[(F.round(f"raw_{o}", 4) + F.lit(0.0)).alias(f"raw_{o}") for o in (0, 1)], "status")
+
+
 def _millionths_sql(x: str) -> str:
     return f"floor(({x}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE"
 

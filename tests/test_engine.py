@@ -62,7 +62,7 @@ def base(interval, consequents=None):
 @pytest.mark.parametrize(("interval", "method"), [(False, "weighted"), (True, "weighted"), (True, "two_bound"), (False, "two_bound")])
 def test_both_forms_agree(spark, interval, method):
     rows = table(spark, (0.3, 0.4), (1.0, 2.0), (None, 1.0), (float("nan"), 1.0), (1e6, 1e6))
-    one, two = (rules.defuzzify(rows, base(interval), ["id"], method, squash.identity, form).orderBy("id").collect() for form in ("compiled", "relational"))
+    one, two = (rules.defuzzify(rows, base(interval), ["id"], method, squash.identity, form).orderBy("id").collect() for form in ("compiled", "array"))
     status = [r.status for r in one]
     assert status == [r.status for r in two]
     if method == "two_bound" and not interval:
