@@ -59,66 +59,93 @@ def read_bodies(spark, path: str) -> DataFrame:  # noqa: ANN001
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 
+def hold(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with further columns that are computed once: they come out of a generator of one row, through which later
+    projections and filters can't pull copies of their expressions."""
+    held = rows.select("*", F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("_held"))
+    return held.select(*rows.columns, "_held.*")
+
+
+def json_word(v: Column) -> Column:
+    """What JSON calls the type of a variant."""
+    kind = kind_of(v)
+    words = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
+    return reduce(lambda c, w: c.when(kind.startswith(w[0]), w[1]), words.items(), F).otherwise("number")
+
+
 def parse_snapshots(bodies: DataFrame, naive_is_error: bool = False) -> DataFrame:
-    """(path, backend, ts, schema_version, qubits, error) of bodies (path, body).
+    """(path, backend, ts, schema_version, qubits, error) of bodies (path, body); ``qubits`` is an array of variants.
 
     Properties that are missing or null count as empty, a missing list of qubits too; other types are errors, and so are a
     timestamp that is no text or no time, and a body that is no JSON. The timestamp is that of the body, else the properties'
     last_update_date; a bad first one is not replaced by the second. A time without a zone is UTC, or an error on request.
+    A body is parsed once; the type of its properties is looked at only where they hold no list of qubits. Extra columns of
+    ``bodies`` are kept.
     """
-    parsed = bodies.withColumn("_b", F.from_json("body", BODY_DDL))
-    p, top = F.col("_b.properties"), F.col("_b.timestamp")
-    empty = p.isNull() | (kind_of(p) == "VOID")
-    qubits = F.try_variant_get(p, "$.qubits", "variant")
-    none = qubits.isNull() | (kind_of(qubits) == "VOID")
-    stamp = F.coalesce(text_of(top), text_of(F.try_variant_get(p, "$.last_update_date", "variant")))
+    body = hold(bodies, _b=F.from_json("body", BODY_DDL))
+    part = lambda path, kind: F.try_variant_get(F.col("_b.properties"), path, kind)
+    read = hold(body, _list=part("$.qubits", "array<variant>"), _updated=text_of(part("$.last_update_date", "variant")), _named=text_of(part("$.backend_name", "variant")), _stamp=text_of(F.col("_b.timestamp")))
+    top, p = ("backend", "timestamp", "schema_version", "properties", "target", "configuration"), F.col("_b.properties")
+    inner = part("$.qubits", "variant")
+    is_null = lambda v: v.isNull() | F.coalesce(F.is_variant_null(v), F.lit(False))
+    listless = F.col("_list").isNull()
+    stamp = F.coalesce("_stamp", "_updated")
+    empty = reduce(lambda a, b: a & b, (F.col(f"_b.{c}").isNull() for c in top))
     error = (
-        F.when(F.col("_b").isNull() | (p.isNull() & top.isNull() & F.col("_b.backend").isNull() & ~F.coalesce(F.col("body").rlike(r"^\s*\{[\s\S]*\}\s*$"), F.lit(False))), "not valid JSON")
-        .when(~empty & ~kind_of(p).startswith("OBJECT"), F.concat(F.lit("'properties' must be a dict, got "), kind_of(p)))
-        .when(~none & ~kind_of(qubits).startswith("ARRAY"), F.concat(F.lit("'properties.qubits' must be a list, got "), kind_of(qubits)))
-        .when(stamp.isNull(), "snapshot timestamp missing or non-string")
-        .when(timestamp_of(stamp).isNull(), F.concat(F.lit("invalid timestamp '"), stamp, F.lit("'")))
-        .when(F.lit(naive_is_error) & ~stamp.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.concat(F.lit("timestamp without a zone '"), stamp, F.lit("'")))
+        F.when(F.col("_b").isNull() | (empty & F.try_parse_json("body").isNull()), "not valid JSON")
+        .when(listless & ~is_null(p) & ~kind_of(p).startswith("OBJECT"), F.concat(F.lit("'properties' should be an object, not of type "), json_word(p)))
+        .when(listless & ~is_null(inner), F.concat(F.lit("'properties.qubits' should be an array, not of type "), json_word(inner)))
+        .when(stamp.isNull(), "no text as timestamp")
+        .when(timestamp_of(stamp).isNull(), F.concat(F.lit("no time in timestamp '"), stamp, F.lit("'")))
+        .when(F.lit(naive_is_error) & ~stamp.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.concat(F.lit("no zone in timestamp '"), stamp, F.lit("'")))
     )
-    backend = F.coalesce(F.nullif(text_of(F.col("_b.backend")), F.lit("")), F.nullif(text_of(F.try_variant_get(p, "$.backend_name", "variant")), F.lit("")), F.lit(""))
-    return parsed.select("path", backend.alias("backend"), timestamp_of(stamp).alias("ts"), text_of(F.col("_b.schema_version")).alias("schema_version"), F.when(error.isNull(), qubits).alias("qubits"), F.concat_ws(": ", "path", error).alias("_e"), error.isNull().alias("_ok")).withColumn("error", F.when(~F.col("_ok"), F.col("_e"))).drop("_e", "_ok")
+    there = lambda c: F.nullif(c, F.lit(""))
+    done = hold(read, _backend=F.coalesce(there(text_of(F.col("_b.backend"))), there(F.col("_named")), F.lit("")), _ts=timestamp_of(stamp), _version=text_of(F.col("_b.schema_version")), _error=error)
+    extra = [c for c in bodies.columns if c not in ("path", "body", "backend", "ts", "schema_version", "qubits", "error")]
+    return done.select("path", F.col("_backend").alias("backend"), F.col("_ts").alias("ts"), F.col("_version").alias("schema_version"), F.when(F.col("_error").isNull(), F.col("_list")).alias("qubits"), F.when(F.col("_error").isNotNull(), F.concat_ws(": ", "path", "_error")).alias("error"), *extra)
+
+
+def _listed(snapshots: DataFrame) -> DataFrame:
+    """path, qubit, and ``_entries``: the qubit's entries that have a text as name, NULL where the qubit isn't a list."""
+    qubits = snapshots.select("path", F.posexplode("qubits").alias("qubit", "_q"))
+    each = lambda e, i: F.struct(i.alias("pos"), text_of(F.try_variant_get(e, "$.name", "variant")).alias("name"), e.alias("entry"))
+    named = hold(qubits, _all=F.transform(F.try_variant_get("_q", "$", "array<variant>"), each))
+    return named.select("path", "qubit", F.filter("_all", lambda e: e["name"].isNotNull()).alias("_entries"))
 
 
 def nduv_rows(snapshots: DataFrame) -> DataFrame:
-    """A row per entry: path, qubit, pos, name, unit, value (variants kept); qubits without entries give one with NULL name.
+    """A row per entry: path, qubit, pos, bad_qubit, name, unit, value (variants kept); qubits without entries give one with NULL name.
 
     A qubit that isn't a list gives ``bad_qubit``; entries whose name is no text are left out, as they are no fields.
     """
-    listed = snapshots.where(F.col("qubits").isNotNull())
-    at_qubits = listed.lateralJoin(listed.sparkSession.tvf.variant_explode_outer(F.col("qubits").outer())).where("pos is not null").select("path", F.col("pos").alias("qubit"), F.col("value").alias("_q"))
-    good = F.when(F.schema_of_variant("_q").startswith("ARRAY"), F.col("_q"))
-    entries = at_qubits.withColumn("_l", good)
-    exploded = entries.lateralJoin(entries.sparkSession.tvf.variant_explode_outer(F.col("_l").outer()))
-    entry = F.col("value")
-    return exploded.select("path", "qubit", "pos", F.col("_l").isNull().alias("bad_qubit"), text_of(F.try_variant_get(entry, "$.name", "variant")).alias("name"), F.try_variant_get(entry, "$.unit", "variant").alias("unit"), F.try_variant_get(entry, "$.value", "variant").alias("value")).where("name is not null or pos is null or bad_qubit")
+    rows = _listed(snapshots).select("path", "qubit", F.col("_entries").isNull().alias("bad_qubit"), F.explode_outer("_entries").alias("_e"))
+    get = lambda path: F.try_variant_get(F.col("_e.entry"), path, "variant")
+    return rows.select("path", "qubit", F.col("_e.pos").alias("pos"), "bad_qubit", F.col("_e.name").alias("name"), get("$.unit").alias("unit"), get("$.value").alias("value"))
 
 
 def parse_qubits(snapshots: DataFrame) -> DataFrame:
     """path, qubit, the six parsed fields in SI units, their states, and the qubit's first error.
 
     The last entry of a name counts. A state is absent, null, nan or value; the unit is checked before the value, also
-    where the value is null; a value that is no number is an error.
+    where the value is null; a value that is no number is an error. All is done within the row; nothing is shuffled.
     """
-    rows = nduv_rows(snapshots)
-    aggs = []
-    for name, *_ in EXPECTED:
-        mine = F.when(F.col("name") == name, F.struct("pos"))
-        aggs.append(F.max_by(F.when(F.col("name") == name, F.struct(F.lit(True).alias("there"), kind_of(F.col("value")).alias("kind"), number_of(F.col("value")).alias("number"), kind_of(F.col("unit")).alias("unit_kind"), text_of(F.col("unit")).alias("unit"), F.try_variant_get(F.col("value"), "$", "string").alias("shown"))), mine).alias(f"_{name}"))
-    wide = rows.groupBy("path", "qubit").agg(*aggs, F.max("bad_qubit").alias("bad_qubit"))
-    columns, errors = [], [F.when(F.col("bad_qubit"), F.format_string("%s: qubit %d: not a list", "path", "qubit"))]
+    rows = _listed(snapshots).withColumn("_bad", F.col("_entries").isNull())
+    last = {name: F.try_element_at(F.filter("_entries", lambda e: e["name"] == name), F.lit(-1)) for name, *_ in EXPECTED}  # noqa: B023
+    rows = hold(rows, **{f"_e_{n}": e["entry"] for n, e in last.items()}).drop("_entries")
+    rows = hold(rows, **{f"_{k}_{n}": F.try_variant_get(F.col(f"_e_{n}"), f"$.{k}", "variant") for n in last for k in ("value", "unit")})
+    facts: dict[str, Column] = {}
+    for n in last:
+        v = F.col(f"_value_{n}")
+        facts |= {f"_null_{n}": v.isNull() | F.is_variant_null(v), f"_number_{n}": number_of(v), f"_text_{n}": text_of(F.col(f"_unit_{n}"))}
+    rows = hold(rows, **facts)
+    columns, errors = [], [F.when(F.col("_bad"), F.format_string("%s: qubit %d is not a list", "path", "qubit"))]
     for name, unit, scale, column in EXPECTED:
-        e = F.col(f"_{name}")
-        absent, null = e.isNull(), e["kind"].isNull() | (e["kind"] == "VOID")
-        columns.append(F.when(~absent & ~null, e["number"] * scale).alias(column))
-        columns.append(F.when(absent, "absent").when(null, "null").when(F.isnan(e["number"]), "nan").otherwise("value").alias(f"{column}_state"))
-        wrong = ~absent & ~F.coalesce(e["unit"] == unit, F.lit(False))
-        errors.append(F.when(wrong, F.format_string(f"%s: qubit %d field '{name}': expected unit '{unit}', got %s (value=%s)", F.col("path"), F.col("qubit"), F.coalesce(F.concat(F.lit("'"), e["unit"], F.lit("'")), F.lit("None")), F.coalesce(e["shown"], F.lit("None")))).when(~absent & ~null & e["number"].isNull(), F.format_string(f"%s: qubit %d field '{name}': value %s is not numeric", F.col("path"), F.col("qubit"), F.coalesce(e["shown"], F.lit("None")))))
-    return wide.select("path", "qubit", *columns, F.coalesce(*errors).alias("error"))
+        absent, null, number, text = F.col(f"_e_{name}").isNull(), F.col(f"_null_{name}"), F.col(f"_number_{name}"), F.col(f"_text_{name}")
+        columns.append(F.when(~absent & ~null, number * scale).alias(column))
+        columns.append(F.when(absent, "absent").when(null, "null").when(F.isnan(number), "nan").otherwise("value").alias(f"{column}_state"))
+        shown = F.coalesce(F.concat(F.lit("'"), text, F.lit("'")), F.lit("none"))
+        errors.append(F.when(~absent & ~F.coalesce(text == unit, F.lit(False)), F.format_string(f"%s: qubit %d has '{name}' in unit %s where '{unit}' is needed", F.col("path"), F.col("qubit"), shown)).when(~absent & ~null & number.isNull(), F.format_string(f"%s: qubit %d has no number as '{name}'", "path", "qubit")))
+    return rows.select("path", "qubit", *columns, F.coalesce(*errors).alias("error"))
 
 
 def snapshot_errors(snapshots: DataFrame, qubits: DataFrame) -> DataFrame:

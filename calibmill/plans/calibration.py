@@ -148,27 +148,73 @@ def skip_means(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("day").agg(r6(parsing.skip_mean(F.col("t1_seconds") * 1e6)).alias("mean_t1"), r6(parsing.skip_mean(F.col("t2_seconds") * 1e6)).alias("mean_t2"))
 
 
-@query()
+_WORD = "CASE json_type({v}) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END"
+#: Archive rows as the files they were (``_bodies``), read with SQL: h (path, JSON b, properties p, qubits q, error) and e (path, qubit, entries).
+_SNAPSHOTS = f"""f AS MATERIALIZED (SELECT concat_ws('#', file_name, archive_id) AS path,
+  '{{"backend": ' || coalesce(to_json(backend)::VARCHAR, 'null') || ', "timestamp": ' || coalesce('"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '"', 'null') || ', "schema_version": ' || coalesce(to_json(schema_version)::VARCHAR, 'null')
+  || ', "properties": ' || coalesce(properties, 'null') || ', "target": ' || coalesce(target, 'null') || ', "configuration": ' || coalesce(configuration, 'null') || '}}' AS body FROM raw_archive),
+g AS (SELECT path, CASE WHEN json_valid(body) THEN body::JSON END AS b FROM f),
+k AS (SELECT path, b, b->'properties' AS p, b->'properties'->'qubits' AS q, coalesce(json_type(b->'properties'), 'NULL') AS kp, coalesce(json_type(b->'properties'->'qubits'), 'NULL') AS kq,
+  CASE WHEN json_type(b->'timestamp') = 'VARCHAR' THEN b->>'timestamp' WHEN json_type(b->'properties'->'last_update_date') = 'VARCHAR' THEN b->'properties'->>'last_update_date' END AS stamp FROM g),
+h AS MATERIALIZED (SELECT *, CASE WHEN b IS NULL THEN 'not valid JSON'
+  WHEN kp NOT IN ('NULL', 'OBJECT') THEN chr(39) || 'properties' || chr(39) || ' should be an object, not of type ' || {_WORD.format(v="p")}
+  WHEN kq NOT IN ('NULL', 'ARRAY') THEN chr(39) || 'properties.qubits' || chr(39) || ' should be an array, not of type ' || {_WORD.format(v="q")}
+  WHEN stamp IS NULL THEN 'no text as timestamp' WHEN try_cast(stamp AS TIMESTAMPTZ) IS NULL THEN 'no time in timestamp ' || chr(39) || stamp || chr(39) END AS error FROM k),
+l AS (SELECT path, unnest(json_extract(q, '$[*]')) AS v, unnest(range(json_array_length(q)::BIGINT))::INT AS qubit FROM h WHERE error IS NULL AND kq = 'ARRAY'),
+e AS MATERIALIZED (SELECT path, qubit, CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[*]') END AS entries FROM l)"""
+
+
+def _number_sql(v: str) -> str:
+    text = f"({v}->>'$')"
+    plain = f"lower(trim(replace({text}, '_', '')))"
+    word = f"CASE WHEN {plain} LIKE '%nan' THEN 'nan'::DOUBLE WHEN {plain} LIKE '-inf%' THEN '-inf'::DOUBLE WHEN {plain} LIKE '%inf%' THEN 'inf'::DOUBLE ELSE try_cast({plain} AS DOUBLE) END"
+    return f"CASE json_type({v}) WHEN 'VARCHAR' THEN CASE WHEN regexp_matches({text}, '{parsing.NUMBER_TEXT}') THEN {word} END WHEN 'BOOLEAN' THEN ({v}::BOOLEAN)::INT::DOUBLE WHEN 'ARRAY' THEN NULL WHEN 'OBJECT' THEN NULL WHEN 'NULL' THEN NULL ELSE try_cast({text} AS DOUBLE) END"
+
+
+def _qubits_sql() -> str:
+    """w: path, qubit, the six fields with their states, and the qubit's error."""
+    quoted = lambda x: f"chr(39) || {x} || chr(39)"
+    last = ", ".join(f"list_filter(entries, lambda x: json_type(x->'name') = 'VARCHAR' AND x->>'name' = '{n}')[-1] AS e_{n}" for n, *_ in parsing.EXPECTED)
+    parts = ", ".join(f"e_{n} IS NOT NULL AS there_{n}, coalesce(json_type(e_{n}->'value'), 'NULL') = 'NULL' AS null_{n}, " + _number_sql(f"(e_{n}->'value')") + f" AS number_{n}, CASE WHEN json_type(e_{n}->'unit') = 'VARCHAR' THEN e_{n}->>'unit' END AS unit_{n}" for n, *_ in parsing.EXPECTED)
+    columns, errors = [], ["CASE WHEN bad THEN path || ': qubit ' || qubit || ' is not a list' END"]
+    for n, unit, scale, column in parsing.EXPECTED:
+        columns.append(f"CASE WHEN there_{n} AND NOT null_{n} THEN number_{n} * {scale!r}::DOUBLE END AS {column}, CASE WHEN NOT there_{n} THEN 'absent' WHEN null_{n} THEN 'null' WHEN isnan(number_{n}) THEN 'nan' ELSE 'value' END AS {column}_state")
+        name, text = quoted(f"'{n}'"), quoted(f"unit_{n}")
+        errors.append(f"CASE WHEN there_{n} AND unit_{n} IS DISTINCT FROM '{unit}' THEN path || ': qubit ' || qubit || ' has ' || {name} || ' in unit ' || coalesce({text}, 'none') || ' where ' || {quoted(repr(unit))} || ' is needed' WHEN there_{n} AND NOT null_{n} AND number_{n} IS NULL THEN path || ': qubit ' || qubit || ' has no number as ' || {name} END")
+    return f"{_SNAPSHOTS}, m AS (SELECT path, qubit, entries IS NULL AS bad, {last} FROM e), n AS (SELECT path, qubit, bad, {parts} FROM m), w AS (SELECT path, qubit, {', '.join(columns)}, coalesce({', '.join(errors)}) AS error FROM n)"
+
+
+@query(f"WITH {_qubits_sql()} SELECT * FROM w")
 def snapshot_parse(spark: SparkSession, sf: str) -> DataFrame:
     """The strict parser over the whole raw archive: every qubit with its fields, states and error."""
     return parsing.parse_qubits(parsing.parse_snapshots(_bodies(spark, sf)))
 
 
-@query()
+@query(f"WITH {_qubits_sql()}, x AS (SELECT path, arg_min(error, qubit) AS error FROM w WHERE error IS NOT NULL GROUP BY path) SELECT h.path, coalesce(h.path || ': ' || h.error, x.error) AS error FROM h LEFT JOIN x ON x.path = h.path")
 def snapshot_errors(spark: SparkSession, sf: str) -> DataFrame:
     parsed = parsing.parse_snapshots(_bodies(spark, sf))
     return parsing.snapshot_errors(parsed, parsing.parse_qubits(parsed))
 
 
-@query()
+@query(f"WITH {_qubits_sql()}" + " UNION ALL ".join(f" SELECT path, '{c}' AS field, count(*) FILTER (WHERE {c}_state = 'absent') AS absent, count(*) FILTER (WHERE {c}_state = 'null') AS explicit_null, count(*) FILTER (WHERE {c}_state = 'nan') AS nan_present FROM w GROUP BY path" for c in parsing.FIELD_COLUMNS))
 def snapshot_missingness(spark: SparkSession, sf: str) -> DataFrame:
     return parsing.missingness(parsing.parse_qubits(parsing.parse_snapshots(_bodies(spark, sf))), "path")
 
 
+@query(f"""WITH {_SNAPSHOTS}, u AS (SELECT path, qubit, unnest(entries) AS v, unnest(range(len(entries)))::INT AS pos FROM e)
+SELECT path, qubit, pos, v->>'name' AS name, CASE WHEN json_type(v->'unit') = 'VARCHAR' THEN v->>'unit' END AS unit, {_number_sql("(v->'value')")} AS number FROM u WHERE json_type(v->'name') = 'VARCHAR'""")
+def snapshot_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Every named entry of every readable qubit list, duplicates included, with its unit and number."""
+    rows = parsing.nduv_rows(parsing.parse_snapshots(_bodies(spark, sf))).where("name is not null")
+    return rows.select("path", "qubit", "pos", "name", parsing.text_of(F.col("unit")).alias("unit"), parsing.number_of(F.col("value")).alias("number"))
+
+
 def _bodies(spark: SparkSession, sf: str) -> DataFrame:
     """Archive rows as the files they were: path and body."""
     rows = table(spark, sf, "raw_archive")
-    text = F.concat(F.lit('{"backend": '), F.coalesce(F.to_json(F.struct("backend")).substr(F.lit(12), F.length(F.to_json(F.struct("backend"))) - 12), F.lit("null")), F.lit(', "timestamp": "'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('", "properties": '), F.coalesce("properties", F.lit("null")), F.lit("}"))
+    head = F.to_json(F.struct("backend", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), "schema_version"), {"ignoreNullFields": "false"})
+    parts = [x for c in ("properties", "target", "configuration") for x in (F.lit(f', "{c}": '), F.coalesce(c, F.lit("null")))]
+    text = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), *parts, F.lit("}"))
     return rows.select(F.concat_ws("#", "file_name", "archive_id").alias("path"), text.alias("body"))
 
 
