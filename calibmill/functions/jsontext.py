@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from typing import Any
 
 from calibmill.functions.lexicon import ENTRY_KEYS, NAMES, TOP_KEYS, common_name
@@ -26,6 +27,18 @@ def read_json(text: str | None) -> Any:
     return value
 
 
+_BACKEND = re.compile(r'\\*"backend_name\\*":\s*\\*"([^"\\]+)')
+
+
+def named_backend(text: str | None, doc: Any) -> str | None:
+    """The backend that a text names, also a cut off one; ``doc`` is what ``read_json`` made of it."""
+    if doc is UNREADABLE:
+        found = _BACKEND.search(text or "")
+        return found[1] if found else None
+    body = doc.get("backend_name") if isinstance(doc, dict) else None
+    return body if isinstance(body, str) else None
+
+
 def as_list(value: Any) -> list:
     """A lone object counts as a list of one; anything but a list or an object as an empty one."""
     if isinstance(value, list):
@@ -88,4 +101,4 @@ def entry_part(entry: dict, part: str) -> Any:
     return None
 
 
-__all__ = ["NAMES", "UNREADABLE", "as_list", "entry_keys", "entry_part", "is_gate_list", "json_type", "qubit_entries", "read_json"]
+__all__ = ["NAMES", "UNREADABLE", "as_list", "entry_keys", "entry_part", "is_gate_list", "json_type", "named_backend", "qubit_entries", "read_json"]

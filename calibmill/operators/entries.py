@@ -6,17 +6,20 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from calibmill.functions.jsontext import UNREADABLE, entry_keys, entry_part, qubit_entries, read_json
+from calibmill.functions.jsontext import UNREADABLE, entry_keys, entry_part, named_backend, qubit_entries, read_json
 from calibmill.functions.lexicon import common_name, split_quantity, stated_time_unit, unit_of
 
 #: States of an entry's value. A missing value key counts as null.
 IS_NULL, IS_NAN, IS_NUMBER, IS_OTHER = "null", "nan", "number", "other"
 
-DDL = "kind string, archive_id bigint, readable boolean, body_backend string, config_dt_ns double, qubit int, field string, pos int, state string, number double, unit string, hint string"
-SCHEMA = pa.schema([("kind", pa.string()), ("archive_id", pa.int64()), ("readable", pa.bool_()), ("body_backend", pa.string()), ("config_dt_ns", pa.float64()), ("qubit", pa.int32()), ("field", pa.string()), ("pos", pa.int32()), ("state", pa.string()), ("number", pa.float64()), ("unit", pa.string()), ("hint", pa.string())])
+#: What every archive row says about itself, as columns of 'file' rows.
+FILE_DDL = "kind string, archive_id bigint, readable boolean, source string, campaign string, ts timestamp_ntz"
+FILE_FIELDS = [("kind", pa.string()), ("archive_id", pa.int64()), ("readable", pa.bool_()), ("source", pa.string()), ("campaign", pa.string()), ("ts", pa.timestamp("us"))]
+DDL = FILE_DDL + ", config_dt_ns double, qubit int, field string, pos int, state string, number double, unit string, hint string"
+SCHEMA = pa.schema([*FILE_FIELDS, ("config_dt_ns", pa.float64()), ("qubit", pa.int32()), ("field", pa.string()), ("pos", pa.int32()), ("state", pa.string()), ("number", pa.float64()), ("unit", pa.string()), ("hint", pa.string())])
 
 
 def quantity(value: object, unit: object) -> tuple[str, float | None, str]:
@@ -48,15 +51,33 @@ def quantity(value: object, unit: object) -> tuple[str, float | None, str]:
     return (IS_NAN, None, known) if math.isnan(number) else (IS_NUMBER, number, known)
 
 
+def true_backend(backend: str | None, named: str | None, file_name: str | None) -> str | None:
+    """The backend of an archive row: its column, else the one its (perhaps cut off) text names, else the folder of its file name."""
+    folder, slash, _ = (file_name or "").partition("/")
+    return next((x.strip(" ") for x in (backend, named, folder if slash else None) if x and x.strip(" ")), None)
+
+
+def file_columns(archive: DataFrame, *texts: str) -> DataFrame:
+    """What ``file_rows`` and a parser of these texts need of archive rows."""
+    return archive.select("archive_id", "campaign", "backend", "file_name", F.col("ts").cast("timestamp_ntz").alias("ts"), *texts)
+
+
+def file_rows(batch: pa.RecordBatch) -> Iterator[tuple[tuple, object, dict]]:
+    """For every archive row of a batch of ``file_columns`` its 'file' row, the value of its properties, and all its columns."""
+    for row in batch.to_pylist():
+        doc = read_json(row["properties"])
+        source = true_backend(row["backend"], named_backend(row["properties"], doc), row["file_name"])
+        yield ("file", row["archive_id"], doc is not UNREADABLE, source, row["campaign"], row["ts"]), doc, row
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
-        for key, text, configuration in zip(*(batch.column(c).to_pylist() for c in ("archive_id", "properties", "configuration"))):
-            doc, config = read_json(text), read_json(configuration)
+        for file, doc, row in file_rows(batch):
+            config = read_json(row["configuration"])
             dt = config.get("dt") if isinstance(config, dict) else None
             dt_ns = dt * 1e9 if isinstance(dt, (int, float)) and not isinstance(dt, bool) and dt > 0 else None
-            body = doc.get("backend_name") if isinstance(doc, dict) else None
-            rows.append(("file", key, doc is not UNREADABLE, body if isinstance(body, str) else None, dt_ns, *[None] * 7))
+            rows.append((*file, dt_ns, *[None] * 7))
             entries = qubit_entries(doc)
             if not entries:
                 continue
@@ -69,7 +90,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if field is not None:
                     last[qubit, field] = pos, entry
             for (qubit, field), (pos, entry) in last.items():
-                rows.append(("entry", key, None, None, None, qubit, field, pos, *quantity(entry_part(entry, "value"), entry_part(entry, "unit")), hint if field in ("T1", "T2") else None))
+                rows.append(("entry", file[1], None, file[3], None, None, dt_ns, qubit, field, pos, *quantity(entry_part(entry, "value"), entry_part(entry, "unit")), hint if field in ("T1", "T2") else None))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SCHEMA)], schema=SCHEMA)
 
@@ -77,33 +98,23 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def parse_archive(archive: DataFrame) -> DataFrame:
     """Files and entries of raw archive rows, told apart by ``kind``.
 
-    kind 'file': a row per archive row, with whether its properties are readable, the backend they name and the
+    kind 'file': a row per archive row, with whether its properties are readable, its backend (``source``), campaign, ts and the
     clock of its configuration. kind 'entry': for each qubit and common field name the last entry, with its
     value's state and number and the unit stated for it; ``hint`` is the unit a remark states for T1 and T2.
     """
-    return archive.select("archive_id", "properties", "configuration").mapInArrow(_parse, DDL)
-
-
-def true_backend(backend: Column, body: Column, file_name: Column, properties: Column) -> Column:
-    """The backend of an archive row: its column, else its body, else the start of its (cut off) text or its file name."""
-    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    cut = F.regexp_extract(F.substring(properties, 1, 2000), r'\\*"backend_name\\*":\s*\\*"([^"\\]+)', 1)
-    return F.coalesce(blank(backend), blank(body), blank(cut), blank(F.regexp_extract(file_name, r"^([^/]+)/", 1)))
+    return file_columns(archive, "properties", "configuration").mapInArrow(_parse, DDL)
 
 
-def sequences(archive: DataFrame, files: DataFrame) -> DataFrame:
-    """The place of each file in its sequence: (archive_id, backend, campaign, ts, idx, last_idx).
+def sequences(files: DataFrame) -> DataFrame:
+    """The place of each file ('file' rows) in its sequence: (archive_id, backend, campaign, ts, idx, last_idx).
 
     Of several deliveries of one (backend, ts) only the lowest archive_id counts; unreadable files are skipped
     and the next is compared with the last readable one, so ``idx`` numbers the readable files of a
     (backend, campaign) by ts. Rows without a backend or ts belong to no sequence.
     """
-    meta = archive.select("archive_id", "campaign", "ts", "backend", "file_name", F.substring("properties", 1, 2000).alias("properties"))
     placed = (
-        meta.join(files.select("archive_id", "readable", "body_backend"), "archive_id")
-        .withColumn("backend", true_backend(F.col("backend"), F.col("body_backend"), F.col("file_name"), F.col("properties")))
-        .where(F.col("backend").isNotNull() & F.col("ts").isNotNull())
-        .groupBy("backend", "ts")
+        files.where("source is not null and ts is not null")
+        .groupBy(F.col("source").alias("backend"), "ts")
         .agg(F.min(F.struct("archive_id", "campaign", "readable")).alias("f"))
         .where("f.readable")
         .select("f.archive_id", "backend", "f.campaign", "ts")

@@ -21,7 +21,11 @@ TOLERANCE = 1e-5
 
 
 def same(state: str = "state", number: str = "number", before: str = "_before") -> F.Column:
-    """Whether a record equals the one before in substance: equal hashes, else equal states with numbers in tolerance."""
+    """Whether a record equals the one before in substance: equal hashes, else equal states with numbers in tolerance.
+
+    No hash of a rounded number decides whether two numbers lie within a tolerance of each other, so unequal hashes are followed
+    by the comparison itself.
+    """
     b = lambda f: F.col(f"{before}.{f}")
     close = F.abs(F.col(number) - b("number")) <= TOLERANCE * F.greatest(F.abs(F.col(number)), F.abs(b("number")))
     return (F.col("_hash") == b("hash")) | ((F.col(state) == b("state")) & ((F.col(state) != E.IS_NUMBER) | F.coalesce(close, F.lit(False))))
@@ -36,51 +40,52 @@ def islands(records: DataFrame, key: list[str]) -> DataFrame:
     """
     along = Window.partitionBy(*key).orderBy("idx", "state", "number")
     once = records.withColumn("_again", F.coalesce(F.lag("idx").over(along) == F.col("idx"), F.lit(False))).where("not _again").drop("_again")
-    marked = (
-        once.withColumn("_hash", F.xxhash64("state", "number"))
-        .withColumn("_before", F.lag(F.struct("idx", "state", "number", F.col("_hash").alias("hash"))).over(along))
-        .withColumn("_next_idx", F.lead("idx").over(along))
-        .withColumn("_adjacent", F.coalesce(F.col("_before.idx") == F.col("idx") - 1, F.lit(False)))
-        .withColumn("_opens", ~(F.col("_adjacent") & same()))
-    )
-    return marked.withColumn("island", F.sum(F.col("_opens").cast("int")).over(along))
+    marked = once.withColumn("_hash", F.xxhash64("state", "number")).withColumn("_before", F.lag(F.struct("idx", "state", "number", F.col("_hash").alias("hash"))).over(along))
+    opens = ~(F.coalesce(F.col("_before.idx") == F.col("idx") - 1, F.lit(False)) & same())
+    return marked.withColumn("island", F.sum(opens.cast("int")).over(along)).drop("_before", "_hash")
 
 
 def validity(records: DataFrame, key: list[str]) -> DataFrame:
-    """Validity intervals: key, island, from_idx, to_idx, state, number (as at its start), last_idx."""
+    """Validity intervals: key, island, from_idx, to_idx, state, number (as at its start), last_idx.
+
+    A record's rows lie together after its window, so nothing more is shuffled.
+    """
     return islands(records, key).groupBy(*key, "island").agg(F.min("idx").alias("from_idx"), F.max("idx").alias("to_idx"), F.min_by("state", "idx").alias("state"), F.min_by("number", "idx").alias("number"), F.max("last_idx").alias("last_idx"))
 
 
 def changes(records: DataFrame, key: list[str]) -> DataFrame:
     """(key, idx, change_kind) of every addition, removal and change; ``idx`` is that of the later snapshot.
 
-    Read off the islands' borders: one window over the records, no join of snapshots with each other. The first snapshot
-    of a sequence has nothing before it and gives no events.
+    Read off the validity intervals: a start right behind the interval before is a change, another start an addition, an
+    end with nothing right behind it a removal. The first snapshot of a sequence has nothing before it and gives no events.
     """
-    opens = F.col("_opens")
-    kind = F.when(opens & (F.col("idx") > 0), F.when(F.col("_adjacent"), "changed").otherwise("added"))
-    gone = F.when((F.coalesce(F.col("_next_idx"), F.col("last_idx") + 1) > F.col("idx") + 1) & (F.col("idx") < F.col("last_idx")), F.col("idx") + 1)
-    events = F.filter(F.array(F.when(kind.isNotNull(), F.struct(F.col("idx").alias("idx"), kind.alias("change_kind"))), F.when(gone.isNotNull(), F.struct(gone.alias("idx"), F.lit("removed").alias("change_kind")))), lambda e: e.isNotNull())
-    return islands(records, key).select(*key, F.explode(events).alias("_e")).select(*key, "_e.idx", "_e.change_kind")
+    along = Window.partitionBy(*key).orderBy("from_idx")
+    spans = validity(records, key).withColumns({"_ended": F.lag("to_idx").over(along), "_next": F.lead("from_idx").over(along)})
+    adjacent = F.coalesce(F.col("_ended") == F.col("from_idx") - 1, F.lit(False))
+    event = lambda at, kind: F.struct(at.alias("idx"), kind.alias("change_kind"))
+    start = F.when(F.col("from_idx") > 0, event(F.col("from_idx"), F.when(adjacent, "changed").otherwise("added")))
+    followed = F.coalesce(F.col("_next") == F.col("to_idx") + 1, F.lit(False))
+    end = F.when((F.col("to_idx") < F.col("last_idx")) & ~followed, event(F.col("to_idx") + 1, F.lit("removed")))
+    return spans.select(*key, F.explode(F.array_compact(F.array(start, end))).alias("_e")).select(*key, "_e.idx", "_e.change_kind")
 
 
-def archive_records(archive: DataFrame, parsed: DataFrame, backends: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def archive_records(parsed: DataFrame, backends: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """The records (backend, campaign, qubit, field) of every file in a sequence (``files``, made here if not given), with
     values in common units."""
-    files = E.sequences(archive, parsed.where("kind = 'file'")) if files is None else files
-    values = convert_entries(archive, parsed, backends).select("archive_id", "qubit", "field", "state", F.when(F.col("state") == E.IS_NUMBER, F.col("common")).alias("number"))
-    return values.join(files, "archive_id")
+    files = E.sequences(parsed.where("kind = 'file'")) if files is None else files
+    values = convert_entries(parsed, backends).select("archive_id", "qubit", "field", "state", F.when(F.col("state") == E.IS_NUMBER, F.col("common")).alias("number"))
+    return values.join(files.drop("ts"), "archive_id").drop("archive_id")
 
 
-def found_changes(archive: DataFrame, parsed: DataFrame, backends: DataFrame) -> DataFrame:
+def found_changes(parsed: DataFrame, backends: DataFrame) -> DataFrame:
     """(archive_id, qubit, field, change_kind) for each pair of consecutive readable files of a sequence.
 
     Null, NaN and number exchanged, or numbers apart by more than ``TOLERANCE`` in common units, are changes. Spelling,
     order, dates and layout are not compared. A value that is neither (a text without a number) is a state of its own.
     """
     key = ["backend", "campaign", "qubit", "field"]
-    placed = stage(E.sequences(archive, parsed.where("kind = 'file'")))
-    events = changes(archive_records(archive, parsed, backends, placed), key)
+    placed = stage(E.sequences(parsed.where("kind = 'file'")))
+    events = changes(archive_records(parsed, backends, placed), key)
     files = placed.select("archive_id", F.col("backend").alias("_b"), F.col("campaign").alias("_c"), F.col("idx").alias("_i"))
     at = (events["backend"] == files["_b"]) & events["campaign"].eqNullSafe(files["_c"]) & (events["idx"] == files["_i"])
     return events.join(files, at).select("archive_id", "qubit", "field", "change_kind")

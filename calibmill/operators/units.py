@@ -153,26 +153,19 @@ def to_common(field: Column, unit: Column, number: Column, dt_ns: Column) -> Col
     return number * factor
 
 
-def convert_entries(archive: DataFrame, parsed: DataFrame, backends: DataFrame) -> DataFrame:
+def convert_entries(parsed: DataFrame, backends: DataFrame) -> DataFrame:
     """Entries of the archive with their unit and their value in the common unit.
 
     parsed: staged ``parse_archive``. Columns: archive_id, source (backend), qubit, field, state, number, unit
     (as stated), unit_used, unit_from, posterior, uncertain, common (value in us, ns, GHz or as a fraction).
-    The device clock comes from the file's configuration, else from other files of the backend, else from ``backends``.
-    An archive row that repeats an archive_id gives its entries again.
+    The device clock comes from the file's configuration, else from other files of the backend, else from ``backends``: a row
+    per backend, so entries meet it without being moved. An archive row that repeats an archive_id gives its entries again.
     """
-    files = parsed.where("kind = 'file'").select("archive_id", "body_backend", "config_dt_ns")
-    owner = (
-        archive.select("archive_id", "backend", "file_name", F.substring("properties", 1, 2000).alias("properties"))
-        .join(files, "archive_id")
-        .select("archive_id", E.true_backend(F.col("backend"), F.col("body_backend"), F.col("file_name"), F.col("properties")).alias("source"), "config_dt_ns")
-    )
     stated = backends.groupBy(F.col("backend").alias("source")).agg(F.max(F.when(~F.isnan("dt_ns"), F.col("dt_ns"))).alias("dt_ns"))
-    clocks = owner.groupBy("source").agg(F.max("config_dt_ns").alias("any_dt_ns")).join(stated, "source", "left")
-    owner = owner.groupBy("archive_id").agg(F.min(F.struct("source", "config_dt_ns")).alias("f")).select("archive_id", "f.*")
-    owner = owner.join(clocks, "source", "left").select("archive_id", "source", F.coalesce("config_dt_ns", "any_dt_ns", "dt_ns").alias("clock_ns"))
-    # staged, as the fit and the assignment both read it
-    values = stage(parsed.where("kind = 'entry'").select("archive_id", "qubit", "field", "state", "number", "unit", "hint").join(stage(owner), "archive_id"))
+    seen = parsed.where("kind = 'file' and source is not null").groupBy("source").agg(F.max("config_dt_ns").alias("any_dt_ns"))
+    clocks = stage(seen.join(stated, "source", "left").select(F.col("source").alias("_source"), F.coalesce("any_dt_ns", "dt_ns").alias("_clock")))
+    entries = parsed.where("kind = 'entry'")
+    values = entries.join(clocks, entries["source"] == clocks["_source"], "left").select("archive_id", "source", F.coalesce("config_dt_ns", "_clock").alias("clock_ns"), "qubit", "field", "state", "number", "unit", "hint")
     fields = tuple(f for f in FIELD_UNITS if f != "t1_seconds")
     done = assign_units(values, fit_units(values), fields)
     return done.withColumn("common", to_common(F.col("field"), F.col("unit_used"), F.col("number"), F.col("clock_ns")))
@@ -228,10 +221,10 @@ def t1_in_seconds(calibration: DataFrame) -> DataFrame:
     return scored.withColumn("t1_unit", unit).withColumns({"t1_common": F.when(factor == 1.0, number).otherwise(F.round(number * factor, 15)), "t1_posterior": posterior, "t1_uncertain": F.coalesce(posterior < CERTAIN, F.lit(False))}).drop(*helpers)
 
 
-def found_units(archive: DataFrame, parsed: DataFrame, backends: DataFrame, calibration: DataFrame) -> DataFrame:
+def found_units(parsed: DataFrame, backends: DataFrame, calibration: DataFrame) -> DataFrame:
     """(origin, rec_id, qubit, field) of values written at another scale than the common one."""
     common = F.create_map(*[F.lit(x) for f, table in FIELD_UNITS.items() for x in (f, next(iter(table)))])
-    entries = convert_entries(archive, parsed, backends).where((F.col("state") == E.IS_NUMBER) & (F.col("unit_used") != common[F.col("field")]))
+    entries = convert_entries(parsed, backends).where((F.col("state") == E.IS_NUMBER) & (F.col("unit_used") != common[F.col("field")]))
     rows = t1_in_seconds(calibration.select("row_id", "backend", "qubit", "t1_seconds", "note")).where("t1_unit <> 's'")
     return entries.select(F.lit("properties").alias("origin"), F.col("archive_id").alias("rec_id"), "qubit", "field").unionByName(
         rows.select(F.lit("qubit_calibration").alias("origin"), F.col("row_id").alias("rec_id"), F.col("qubit"), F.lit("t1_seconds").alias("field"))

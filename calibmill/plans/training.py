@@ -29,12 +29,12 @@ def _parsed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return units.found_units(table(spark, sf, "raw_archive"), _parsed(spark, sf), table(spark, sf, "backends"), table(spark, sf, "qubit_calibration"))
+    return units.found_units(_parsed(spark, sf), table(spark, sf, "backends"), table(spark, sf, "qubit_calibration"))
 
 
 def p2_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Entries in us, ns, GHz and fractions, with the unit used, where it comes from and whether it is uncertain."""
-    done = units.convert_entries(table(spark, sf, "raw_archive"), _parsed(spark, sf), table(spark, sf, "backends"))
+    done = units.convert_entries(_parsed(spark, sf), table(spark, sf, "backends"))
     return done.select("archive_id", "source", "qubit", "field", "state", "number", "unit", "unit_used", "unit_from", "posterior", "uncertain", "common")
 
 
@@ -52,25 +52,32 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_lifespans(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.lifespans(table(spark, sf, "raw_archive"), _footers(spark, sf))
+    return drift.lifespans(_footers(spark, sf))
 
 
 def p3_casts(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.casts(_footers(spark, sf))
+    """The columns and casts that bring every path and type into one table."""
+    archive, footers = table(spark, sf, "raw_archive"), _footers(spark, sf)
+    return drift.casts(footers, drift.alias_table(archive, footers))
+
+
+def p3_aliases(spark: SparkSession, sf: str) -> DataFrame:
+    """The alias table: common names, and names learnt from renames with their support."""
+    return drift.alias_table(table(spark, sf, "raw_archive"), _footers(spark, sf))
 
 
 def p3_entries(spark: SparkSession, sf: str) -> DataFrame:
     """One consistent entry table over every layout."""
-    return drift.consistent_entries(table(spark, sf, "raw_archive"))
+    return drift.consistent_entries(table(spark, sf, "raw_archive"), _footers(spark, sf))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return snapdiff.found_changes(table(spark, sf, "raw_archive"), _parsed(spark, sf), table(spark, sf, "backends"))
+    return snapdiff.found_changes(_parsed(spark, sf), table(spark, sf, "backends"))
 
 
 def p4_validity(spark: SparkSession, sf: str) -> DataFrame:
     """Validity intervals of every record."""
-    records = snapdiff.archive_records(table(spark, sf, "raw_archive"), _parsed(spark, sf), table(spark, sf, "backends"))
+    records = snapdiff.archive_records(_parsed(spark, sf), table(spark, sf, "backends"))
     return snapdiff.validity(records, ["backend", "campaign", "qubit", "field"])
 
 
@@ -99,7 +106,7 @@ def p6_dependencies(spark: SparkSession, sf: str) -> DataFrame:
     return impute.mine_label(rows)[0].unionByName(impute.verify_numbers(impute.candidates(rows)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_tables, p1_counts, p2_found, p2_entries, p2_t1_seconds, p3_found, p3_lifespans, p3_casts, p3_entries, p4_found, p4_validity, p5_found, p5_scores, p6_found, p6_filled, p6_dependencies)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_tables, p1_counts, p2_found, p2_entries, p2_t1_seconds, p3_found, p3_lifespans, p3_casts, p3_aliases, p3_entries, p4_found, p4_validity, p5_found, p5_scores, p6_found, p6_filled, p6_dependencies)}
 
 _UNKNOWN = ", ".join(f"'{w}'" for w in impute.UNKNOWN_WORDS)
 ORACLES = {

@@ -54,14 +54,14 @@ def test_units_without_statement(spark):
     docs.append({"qubits": [[entry("T2", "80 us", "ms"), entry("T2", 0.08, "ms")], entry("T1", "0.1ms")]})
     rows = archive(spark, docs)
     parsed = stage(entries.parse_archive(rows), "kind")
-    done = {(r.archive_id, r.qubit, r.field): r for r in units.convert_entries(rows, parsed, backends(spark)).collect()}
+    done = {(r.archive_id, r.qubit, r.field): r for r in units.convert_entries(parsed, backends(spark)).collect()}
     assert {done[i + 1, 0, "T1"].unit_used for i in range(9) if i != 3} == {"us"}
     assert [done[i, 0, "T1"].unit_used for i in (10, 11, 12)] == ["ms", "ns", "s"]
     assert done[4, 0, "T1"].state == "null"  # the last entry of a name holds, whatever it is called
     assert done[1, 0, "frequency"].unit_used == "Hz" and done[2, 0, "readout_length"].common == pytest.approx(600)
     assert done[13, 0, "T2"].common == pytest.approx(80) and done[13, 1, "T1"].common == pytest.approx(100)
     qc = spark.createDataFrame([(1, "b", 0, 1e-4, None)], "row_id bigint, backend string, qubit int, t1_seconds double, note string")
-    found = {tuple(r) for r in units.found_units(rows, parsed, backends(spark), qc).collect()}
+    found = {tuple(r) for r in units.found_units(parsed, backends(spark), qc).collect()}
     assert ("properties", 10, 0, "T1") in found and ("properties", 1, 0, "readout_length") in found and ("properties", 2, 0, "frequency") not in found
     assert ("properties", 13, 0, "T2") in found and ("properties", 4, 0, "T1") not in found
 
@@ -96,7 +96,23 @@ def test_unknown_rename_by_content(spark):
     two = {"qubits": [[entry("relax_T", 101.0), entry("leakage", 1e-4)]], "note_b": "2022-05-02"}
     rows = archive(spark, [one, two])
     found = {tuple(r)[1:] for r in drift.found_drift(rows, drift.catalogue(rows)).collect()}
-    assert ("name.T1", "name.relax_T", "renamed") in found
+    assert {("name.T1", "name.relax_T", "renamed"), ("properties.note_a", "properties.note_b", "renamed")} == found
+    learnt = {(r.path, r.common, r.support) for r in drift.alias_table(rows, drift.catalogue(rows)).where("learnt").collect()}
+    assert learnt == {("name.relax_T", "T1", 1), ("properties.note_b", "note_a", 1)}
+
+
+def test_renames_learnt_elsewhere(spark):
+    """A rename that content shows for one producer is known for another, whose values are null."""
+    one, two = ({"qubits": [[entry("T1", 100.0, "us", **{key: 3.5})]]} for key in ("made_at", "created"))
+    null = [json.loads(json.dumps(d).replace("3.5", "null")) for d in (one, two)]
+    rows = archive(spark, [one, two, (null[0], 0, "c"), (null[1], 1, "c"), ({"qubits": [[entry("T1", 100.0, "us", created=9e9)]]}, 2, "c"), ({"qubits": [[entry("T1", 100.0, "us", other=1.0)]]}, 3, "c")])
+    found = {tuple(r) for r in drift.found_drift(rows, drift.catalogue(rows)).collect()}
+    assert {f for f in found if f[0] in (2, 4)} == {(2, "entry.made_at", "entry.created", "renamed"), (4, "entry.made_at", "entry.created", "renamed")}
+    assert {f for f in found if f[0] == 6} == {(6, "entry.created", "", "removed"), (6, "", "entry.other", "added")}
+
+
+def test_equally_common_types():
+    assert drift.types_of(["a", 1, None, "b", 2.0])[0] == "number" and drift.types_of([None])[0] is None and drift.types_of([[], {}])[0] == "array"
 
 
 def brute_changes(snaps):
@@ -132,7 +148,7 @@ def test_changes(spark):
         docs.append({"qubits": [q0, q1 if i != 6 else []]})
     rows = archive(spark, docs)
     parsed = stage(entries.parse_archive(rows), "kind")
-    found = {tuple(r) for r in snapdiff.found_changes(rows, parsed, backends(spark)).collect()}
+    found = {tuple(r) for r in snapdiff.found_changes(parsed, backends(spark)).collect()}
     assert found == {(i + 1, *rest) for i, *rest in brute_changes(snaps)}
-    spans = snapdiff.validity(snapdiff.archive_records(rows, parsed, backends(spark)), ["backend", "campaign", "qubit", "field"]).where("qubit = 0").orderBy("from_idx").collect()
+    spans = snapdiff.validity(snapdiff.archive_records(parsed, backends(spark)), ["backend", "campaign", "qubit", "field"]).where("qubit = 0").orderBy("from_idx").collect()
     assert [(r.from_idx, r.to_idx) for r in spans] == [(0, 2), (3, 3), (4, 5), (6, 7), (8, 8), (11, 12)]
