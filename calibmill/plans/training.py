@@ -101,12 +101,22 @@ def p6_filled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_dependencies(spark: SparkSession, sf: str) -> DataFrame:
-    """The dependencies tried, with support and confidence."""
-    rows = table(spark, sf, "qubit_calibration")
-    return impute.mine_label(rows)[0].unionByName(impute.verify_numbers(impute.candidates(rows)))
+    """Every dependency tried, with the records it was tested on and its confidence, those that don't hold too."""
+    rows = stage(impute.candidates(table(spark, sf, "qubit_calibration")))
+    return impute.mine(impute.dictionaries(impute.content_counts(rows))).unionByName(impute.verify_numbers(rows))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_tables, p1_counts, p2_found, p2_entries, p2_t1_seconds, p3_found, p3_lifespans, p3_casts, p3_aliases, p3_entries, p4_found, p4_validity, p5_found, p5_scores, p6_found, p6_filled, p6_dependencies)}
+def p6_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts met as readout_line, with how far they spread over qubits and whether they count as missing."""
+    return impute.label_spread(table(spark, sf, "qubit_calibration"))
+
+
+def p6_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """How well one cell in fifty comes back when hidden, by field and by where its filling comes from."""
+    return impute.accuracy(table(spark, sf, "qubit_calibration"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_tables, p1_counts, p2_found, p2_entries, p2_t1_seconds, p3_found, p3_lifespans, p3_casts, p3_aliases, p3_entries, p4_found, p4_validity, p5_found, p5_scores, p6_found, p6_filled, p6_dependencies, p6_labels, p6_accuracy)}
 
 _UNKNOWN = ", ".join(f"'{w}'" for w in impute.UNKNOWN_WORDS)
 ORACLES = {

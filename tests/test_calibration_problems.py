@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from calibmill.operators import impute, spikes
 
-DDL = "row_id bigint, snapshot_id string, backend string, campaign string, ts timestamp, qubit int, t1_seconds double, t2_seconds double, readout_error double, prob_meas0_prep1 double, prob_meas1_prep0 double, readout_line string, note string, v_t1_seconds double"
+DDL = "row_id bigint, snapshot_id string, backend string, campaign string, ts timestamp, qubit int, t1_seconds double, t2_seconds double, readout_error double, prob_meas0_prep1 double, prob_meas1_prep0 double, readout_line string, note string, v_t1_seconds double, loader string"
 START = datetime(2022, 5, 1)
 NAN = float("nan")
 
@@ -20,7 +20,7 @@ def calibration(spark, n=60, qubits=3, backends=("a", "b"), edit=None):
         for q in range(qubits):
             for i in range(n):
                 p, r = 0.01 * (1 + 0.03 * rng.standard_normal()), 0.006 * (1 + 0.03 * rng.standard_normal())
-                rows.append([len(rows), f"{b}:{i}", b, "c", START + timedelta(minutes=20 * i), q, 1e-4 * (q + 1) * (1 + 0.02 * rng.standard_normal()), 8e-5 * (1 + 0.02 * rng.standard_normal()), (p + r) / 2, p, r, f"{b}{q // 2}", None, 9.0])
+                rows.append([len(rows), f"{b}:{i}", b, "c", START + timedelta(minutes=20 * i), q, 1e-4 * (q + 1) * (1 + 0.02 * rng.standard_normal()), 8e-5 * (1 + 0.02 * rng.standard_normal()), (p + r) / 2, p, r, f"{b}{q // 2}", None, 9.0, "v1"])
     if edit:
         rows = edit(rows)
     return spark.createDataFrame([tuple(r) for r in rows], DDL)
@@ -112,7 +112,7 @@ def test_nothing_but_the_forest_finds_them(spark):
 
 def test_spikes_of_odd_tables(spark):
     assert spikes.found_spikes(calibration(spark).limit(0)).count() == 0
-    same = calibration(spark, n=3, qubits=1, backends=("a",), edit=lambda rows: [[*r[:2], None, None, None, None, 1e-4, None, None, NAN, None, None, None, None] for r in rows])
+    same = calibration(spark, n=3, qubits=1, backends=("a",), edit=lambda rows: [[*r[:2], None, None, None, None, 1e-4, None, None, NAN, None, None, None, None, None] for r in rows])
     assert found(spikes.found_spikes(same)) == set()
 
 
@@ -135,7 +135,7 @@ def test_missing_cells_are_marked_and_filled(spark):
     assert len(got) == len(rows)
     assert {got[k].readout_line for k in range(9)} == {"a0"} and got[0].readout_line_from == "backend,qubit"
     assert got[20].t1_seconds_from == "time" and got[20].t1_seconds == pytest.approx(1e-4, rel=0.05)
-    assert got[22].readout_error_from == "mean of probabilities" and got[22].readout_error == pytest.approx((rows[22].prob_meas0_prep1 + rows[22].prob_meas1_prep0) / 2)
+    assert got[22].readout_error_from == "mean of prob_meas0_prep1 and prob_meas1_prep0" and got[22].readout_error == pytest.approx((rows[22].prob_meas0_prep1 + rows[22].prob_meas1_prep0) / 2)
     assert got[23].readout_error_from == "time"
     assert (got[24].t1_seconds_from, got[24].t1_seconds) == ("snapshot_id,qubit", rows[5000].t1_seconds)
     assert got[50].t1_seconds_from is None and got[50].t1_seconds == rows[50].t1_seconds
@@ -143,7 +143,7 @@ def test_missing_cells_are_marked_and_filled(spark):
 
 def test_filling_of_odd_tables(spark):
     assert impute.impute(calibration(spark).limit(0)).count() == 0
-    bare = calibration(spark, n=2, qubits=1, backends=("a",), edit=lambda rows: [[*r[:2], None, None, None, None, None, NAN, None, None, None, " ", None, None] for r in rows])
+    bare = calibration(spark, n=2, qubits=1, backends=("a",), edit=lambda rows: [[*r[:2], None, None, None, None, None, NAN, None, None, None, " ", None, None, None] for r in rows])
     got = impute.impute(bare).collect()
     assert {(r.t1_seconds_from, r.readout_line_from) for r in got} == {("unfilled", "unfilled")} and len(got) == 2
 
@@ -155,7 +155,36 @@ def test_hidden_cells_come_back(spark):
     assert np.median(errors) < 0.03 and not any(math.isnan(e) for e in errors)
 
 
-def test_label_dependencies(spark):
-    tried, _ = impute.mine_label(calibration(spark))
-    got = {r.determinant: r.confidence for r in tried.collect()}
-    assert got["backend,qubit"] == 1.0 and got["qubit"] < 0.9 and got["backend"] < 0.9
+def mined(spark, df):
+    return {(r.determinant, r.target): r for r in impute.mine(impute.dictionaries(impute.content_counts(impute.candidates(df)))).collect()}
+
+
+def test_determinants_are_mined(spark):
+    got = mined(spark, calibration(spark).withColumn("loader", F.concat(F.lit("v"), F.col("row_id") % 2)))
+    assert len(got) == 4 * 14
+    assert got["backend,qubit", "readout_line"].confidence == 1.0 and got["qubit", "readout_line"].confidence < 0.9 and got["backend", "readout_line"].confidence < 0.9
+    assert impute.holding(list(got.values()), "readout_line") == [(1.0, ("backend", "qubit"))]  # larger sets hold too, but aren't minimal
+    # a column that nobody wrote down as a determinant
+    own = calibration(spark).withColumn("loader", F.concat(F.lit("v"), F.col("row_id") % 5)).withColumn("readout_line", F.concat(F.lit("line "), F.col("loader")))
+    assert impute.holding(list(mined(spark, own).values()), "readout_line") == [(1.0, ("loader",))]
+    hidden = own.withColumn("readout_line", F.when(F.col("row_id") % 7 != 0, F.col("readout_line")))
+    filled = impute.impute(hidden).join(own.select("row_id", F.col("readout_line").alias("was")), "row_id")
+    assert filled.where("row_id % 7 = 0 and (readout_line <> was or readout_line_from <> 'loader')").count() == 0
+
+
+def test_keys_of_a_few_rows_earn_nothing(spark):
+    """A key that differs in every snapshot predicts what it was made of, but no record held out."""
+    df = calibration(spark, edit=lambda rows: [[*r[:3], r[1], *r[4:]] for r in rows]).withColumn("loader", F.lit("v"))
+    got = mined(spark, df)
+    assert got["backend,campaign,qubit", "readout_line"].confidence == 0.0 and got["backend,qubit", "readout_line"].confidence == 1.0
+
+
+def test_formulas(spark):
+    got = {(r.determinant, r.target): r.confidence for r in impute.verify_numbers(impute.candidates(calibration(spark).withColumn("loader", F.lit("v")))).collect()}
+    assert got["mean of prob_meas0_prep1 and prob_meas1_prep0", "readout_error"] == 1.0 and got["sum of prob_meas0_prep1 and prob_meas1_prep0", "readout_error"] < 0.1 and got["twice t2_seconds", "t1_seconds"] < 0.9
+
+
+def test_labels_by_their_spread(spark):
+    df = calibration(spark, edit=lambda rows: [[*r[:11], "tbc" if r[0] % 9 == 4 else r[11], *r[12:]] for r in rows])
+    got = {r.label: r for r in impute.label_spread(df).collect()}
+    assert got["tbc"].qubits == 6 and got["tbc"].commonest_on == 0 and got["a0"].commonest_on == 2
