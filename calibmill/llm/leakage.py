@@ -35,6 +35,10 @@ SHARD_BYTES, BLOCK_BYTES = 4 << 20, 8 << 20
 
 _TAGS = re.compile(r"<[^<>\n]{1,200}>|\]\([^()\s]{1,300}\)|https?://\S+")
 _OTHER = re.compile(r"[\W_]+")
+# Characters of scripts written without spaces (kana, ideographs); each is a word.
+_UNSPACED = "\u3041-\u3096\u30a1-\u30fa\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORDS = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
+_HAS_UNSPACED = re.compile(f"[{_UNSPACED}]")
 # Letters that look like Latin ones but don't decompose to them.
 LOOKALIKES = str.maketrans("авекмнорстухіјѕԁԛԝɡıøłđαοντρυχικß", "abekmhopctyxijsdqwgioldaovtpuxikẞ")
 
@@ -56,10 +60,15 @@ def reduce_text(text: str) -> str:
     return _OTHER.sub("", _plain(text)).replace("ẞ", "ss")
 
 
+def cut_words(text: str) -> list[str]:
+    """A text's words: what spacing sets apart, and within it each character of a script that is written without spaces."""
+    return _WORDS.findall(text) if _HAS_UNSPACED.search(text) else text.split()
+
+
 def word_bounds(text: str) -> list[int]:
-    """The offsets in a text's reduced bytes where its words (by spacing) start, and the end."""
+    """The offsets in a text's reduced bytes where its words start, and the end."""
     out, at = [], 0
-    for word in _plain(text).split():
+    for word in cut_words(_plain(text)):
         n = len(_OTHER.sub("", word).replace("ẞ", "ss").encode())
         if n:
             out.append(at)
@@ -75,7 +84,7 @@ class Test:
     def __init__(self, key: int, text: str) -> None:
         self.key = key
         tagless = _TAGS.sub(" ", text)
-        self.words = [w.encode() for w in (reduce_text(w) for w in tagless.split()) if w]
+        self.words = [w.encode() for w in (reduce_text(w) for w in cut_words(tagless)) if w]
         self.starts = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(int).tolist()
         self.data = b"".join(self.words)
 

@@ -3,7 +3,8 @@
 Items (document ids and sizes, no texts) are spread by hash into groups of bounded size and packed there by best-fit
 decreasing. Dual-feasible functions give a lower bound on each group's containers. A group that meets its bound and
 wastes less than half a container is certified; the others take the items out of their worst-filled containers and
-exchange them: several groups pool them and pack them anew. Rounds go on until one pool is left.
+exchange them: several groups pool them and pack them anew. Rounds go on until one pool is left. Every container carries the
+count and the bound of the group it was packed in, and the same bound over the sizes of all items certifies the whole.
 """
 
 from __future__ import annotations
@@ -55,17 +56,19 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """A bound on the containers for items no larger than the capacity, by dual-feasible functions.
+def lower_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """A bound on the containers for items no larger than the capacity, by dual-feasible functions. ``counts``: items of each size.
 
     Of every packing that fits, the functions' sum per container is at most 1: the size itself; for a threshold a, items
     above capacity - a as whole containers and those below a as nothing; and for k, the size rounded down to k-ths
     where (k + 1) times it isn't whole.
     """
-    sizes = sizes[sizes > 0].astype(np.int64)
+    counts = np.ones(len(sizes), np.int64) if counts is None else counts
+    sizes, counts = sizes[sizes > 0].astype(np.int64), counts[sizes > 0]
     if not len(sizes):
         return 0
-    value, count = np.unique(sizes, return_counts=True)
+    value, at = np.unique(sizes, return_inverse=True)
+    count = np.bincount(at, weights=counts).astype(np.int64)
     best = -(-int((value * count).sum()) // capacity)
     thresholds = np.unique(np.concatenate([value[value <= capacity // 2], capacity - value[value > capacity // 2]]))
     total, n = np.concatenate([[0], np.cumsum(value * count)]), np.concatenate([[0], np.cumsum(count)])
@@ -124,8 +127,11 @@ def _oversized(batches: Iterator[pa.RecordBatch], capacities: list[tuple[int, in
 
 
 def items(documents: DataFrame, budgets: DataFrame) -> DataFrame:
-    """What is to be placed: each text whole, or its pieces where it exceeds the capacity. Null texts are none."""
-    limits = [(r["budget_id"], r["max_tokens"]) for r in budgets.where("task = 'pack' and max_tokens >= 4").select("budget_id", "max_tokens").collect()]  # a few rows
+    """What is to be placed: each text whole, or its pieces where it exceeds the capacity. Null texts are none, null capacities no
+    budget; a capacity that can't hold every character (below 4) is refused."""
+    limits = [(r["budget_id"], r["max_tokens"]) for r in budgets.where("task = 'pack' and max_tokens is not null").select("budget_id", "max_tokens").collect()]  # a few rows
+    if any(c < 4 for _, c in limits):
+        raise ValueError(f"a container needs room for a character of four bytes: {limits}")
     if not limits:
         return documents.sparkSession.createDataFrame([], ITEM_DDL)
     size = F.octet_length("text")
@@ -137,9 +143,9 @@ def items(documents: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def pack(documents: DataFrame, budgets: DataFrame, group_items: int = GROUP_ITEMS) -> DataFrame:
-    """Every text placed once: budget_id, doc_id, piece, start_byte, size, container, place, offset.
+    """Every text placed once: budget_id, doc_id, piece, start_byte, size, container, place, offset, group_containers, group_bound.
 
-    ``place`` counts a container's items from 0, ``offset`` is the byte at which an item starts in it. Empty texts take a
+    The last two are the containers and the lower bound of the group in which the item's container was packed. ``place`` counts a container's items from 0, ``offset`` is the byte at which an item starts in it. Empty texts take a
     place without room. Sizes alone travel; a group holds about ``group_items`` items and a pool the items of
     a few containers from each of its groups, whatever the size of the table.
     """
@@ -153,7 +159,7 @@ def pack(documents: DataFrame, budgets: DataFrame, group_items: int = GROUP_ITEM
         placed = stage(rows.groupBy("budget_id", "grp").applyInPandas(_pack, PLACED_DDL))
         name = F.concat_ws("-", "budget_id", F.lit(level), "grp", "bin").alias("container")
         last = groups == 1
-        done.append(placed.where(F.lit(True) if last else ~F.col("open")).select("budget_id", "doc_id", "piece", "size", name))
+        done.append(placed.where(F.lit(True) if last else ~F.col("open")).select("budget_id", "doc_id", "piece", "size", name, F.col("n_bins").alias("group_containers"), F.col("bound").alias("group_bound")))
         if last:
             break
         groups, level = math.ceil(groups / POOL), level + 1
@@ -165,10 +171,42 @@ def pack(documents: DataFrame, budgets: DataFrame, group_items: int = GROUP_ITEM
     order = "over (partition by container order by size desc, doc_id, piece rows between unbounded preceding and current row)"
     placed = out.withColumns({"place": F.expr(f"cast(count(*) {order} - 1 as int)"), "offset": F.expr(f"cast(sum(size) {order} - size as int)")})
     starts = todo.where("piece > 0").select("budget_id", "doc_id", "piece", "start_byte")
-    return placed.join(starts, ["budget_id", "doc_id", "piece"], "left").select("budget_id", "doc_id", "piece", F.coalesce("start_byte", F.lit(0)).alias("start_byte"), "size", "container", "place", "offset")
+    return placed.join(starts, ["budget_id", "doc_id", "piece"], "left").select("budget_id", "doc_id", "piece", F.coalesce("start_byte", F.lit(0)).alias("start_byte"), "size", "container", "place", "offset", "group_containers", "group_bound")
+
+
+def _bound_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"budget_id": pdf["budget_id"].iloc[:1], "bound": [lower_bound(pdf["size"].to_numpy(), int(pdf["max_tokens"].iloc[0]), pdf["n"].to_numpy())]})
 
 
 def report(packed: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Per budget: items, containers, bytes, the share of room left over, and the sum bound on containers."""
-    totals = packed.groupBy("budget_id").agg(F.count("*").alias("n_items"), F.countDistinct("container").alias("n_containers"), F.sum("size").alias("n_bytes"))
-    return totals.join(budgets.select("budget_id", "max_tokens"), "budget_id").select("budget_id", "n_items", "n_containers", "n_bytes", F.ceil(F.col("n_bytes") / F.col("max_tokens")).alias("least_containers"), (1 - F.try_divide(F.col("n_bytes").cast("double"), F.col("n_containers") * F.col("max_tokens"))).alias("left_over"))
+    """Per budget: items, containers, bytes, the share of room left over, and how far the packing is certified.
+
+    ``least_containers`` is the bound by the sum of sizes, ``bound`` the best one by dual-feasible functions over all items, ``gap`` the
+    containers above it (0: no packing needs fewer); ``groups`` the groups in which final containers were packed and ``groups_at_bound``
+    those among them that met their own bound. Sizes are counted before they are shuffled: a budget has at most its capacity of them.
+    """
+    packed = packed.join(budgets.select("budget_id", "max_tokens").dropDuplicates(["budget_id"]), "budget_id")
+    totals = packed.groupBy("budget_id", "max_tokens").agg(F.count("*").alias("n_items"), F.countDistinct("container").alias("n_containers"), F.sum("size").alias("n_bytes"))
+    bounds = packed.groupBy("budget_id", "max_tokens", "size").agg(F.count("*").alias("n")).groupBy("budget_id").applyInPandas(_bound_of, "budget_id int, bound bigint")
+    group = packed.select("budget_id", F.substring_index("container", "-", 3).alias("grp"), "group_containers", "group_bound").distinct()
+    groups = group.groupBy("budget_id").agg(F.count("*").alias("groups"), F.count_if(F.col("group_containers") == F.col("group_bound")).alias("groups_at_bound"))
+    left = 1 - F.try_divide(F.col("n_bytes").cast("double"), F.col("n_containers") * F.col("max_tokens"))
+    return totals.join(bounds, "budget_id").join(groups, "budget_id").select("budget_id", "n_items", "n_containers", "n_bytes", F.ceil(F.col("n_bytes") / F.col("max_tokens")).alias("least_containers"), "bound", (F.col("n_containers") - F.col("bound")).alias("gap"), left.alias("left_over"), "groups", "groups_at_bound")
+
+
+def audit(packed: DataFrame, documents: DataFrame, budgets: DataFrame) -> DataFrame:
+    """What must hold of a packing, counted: (budget_id, documents, bytes, over_capacity, twice, not_whole, gaps).
+
+    documents and bytes placed; containers above the capacity; pieces placed more than once; documents within the capacity that
+    were cut, or whose pieces don't add up to their text; containers whose items don't lie end to end in their places.
+    """
+    capacity = budgets.where("task = 'pack'").select("budget_id", "max_tokens").dropDuplicates(["budget_id"])
+    texts = documents.where("text is not null").groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("own"), F.max(F.octet_length("text")).alias("longest"), F.count("*").alias("copies"))
+    of_bin = packed.groupBy("budget_id", "container").agg(F.sum("size").alias("load"), F.sort_array(F.collect_list(F.struct("place", "offset", "size"))).alias("i"))  # a container's items
+    tight = F.aggregate("i", F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.lit(True).alias("ok")), lambda a, x: F.struct((a["at"] + x["size"]).cast("int").alias("at"), (a["k"] + 1).alias("k"), (a["ok"] & (x["offset"] == a["at"]) & (x["place"] == a["k"])).alias("ok")))["ok"]
+    bins = of_bin.withColumn("_tight", tight).join(capacity, "budget_id").groupBy("budget_id").agg(F.count_if(F.col("load") > F.col("max_tokens")).alias("over_capacity"), F.count_if(~F.col("_tight")).alias("gaps"))
+    pieces = packed.groupBy("budget_id", "doc_id", "piece").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    docs = pieces.groupBy("budget_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("size").alias("bytes"), F.max("n").alias("n")).join(capacity, "budget_id").join(texts, "doc_id", "left")
+    whole = (F.col("bytes") == F.col("own")) & ((F.col("longest") > F.col("max_tokens")) | (F.col("pieces") == 1))
+    of_doc = docs.groupBy("budget_id").agg(F.count("*").alias("documents"), F.sum("bytes").alias("bytes"), F.count_if(F.col("n") > F.coalesce("copies", F.lit(0))).alias("twice"), F.count_if(~F.coalesce(whole, F.lit(False))).alias("not_whole"))
+    return of_doc.join(bins, "budget_id").select("budget_id", "documents", "bytes", "over_capacity", "twice", "not_whole", "gaps")

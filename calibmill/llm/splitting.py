@@ -2,8 +2,8 @@
 
 Sizes are tokens of the public ByT5 tokenizer: bytes of the UTF-8 text. For each text the least number of pieces
 is computed and equal-length targets placed; each is snapped to the strongest boundary nearby, then to the strongest
-anywhere the limits allow, and only where there is none to a character's end. When limits can't be met, or only by
-cutting where there is no boundary, a piece is added and the targets are placed anew.
+anywhere the limits allow, and only where there is none to a character's end. When limits can't be met a piece is added and the
+targets are placed anew; so is it where a cut has no boundary, as long as fewer such cuts are thinkable and at most once for each.
 """
 
 from __future__ import annotations
@@ -15,20 +15,24 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Strengths of boundaries; 0 is the end of a character with nothing else.
-CHARACTER, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
-STRENGTHS = ("character", "word", "clause", "sentence", "line", "paragraph")
-#: How far from its target a cut looks for the strongest boundary first, as a share of a piece, and the most pieces added.
-NEARBY, EXTRA = 0.15, 3
+#: Strengths of boundaries; 0 is the end of a character with nothing else, 1 lies between characters of a script without spaces.
+CHARACTER, UNSPACED, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(7)
+STRENGTHS = ("character", "unspaced", "word", "clause", "sentence", "line", "paragraph")
+#: How far from its target a cut looks for the strongest boundary first, as a share of a piece.
+NEARBY = 0.15
+# Characters of scripts written without spaces, between any two of which a line may break (kana, ideographs).
+UNSPACED_CHARACTERS = "\u3041-\u3096\u30a1-\u30fa\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 
-_BOUNDARY = re.compile(r"(?:(?P<s>[.!?…]+[\"')\]»”’]*(?=\s)|[。！？]+[」』）”]*)|(?P<c>[;:,](?=\s)|[、，；：]))\s*|\s+|-(?=\w)")
+_BOUNDARY = re.compile(rf"(?<=[{UNSPACED_CHARACTERS}])(?=[{UNSPACED_CHARACTERS}])|" r"(?:(?P<s>[.!?…]+[\"')\]»”’]*(?=\s)|[。！？]+[」』）”]*)|(?P<c>[;:,](?=\s)|[、，；：]))\s*|\s+|-(?=\w)")
 
 
 def _strength(found: re.Match) -> int:
     """What a stretch of punctuation and white space is worth."""
+    if not found[0]:
+        return UNSPACED
     lines = found[0].count("\n")
     if lines:
         return PARAGRAPH if lines > 1 else LINE
@@ -65,12 +69,18 @@ class Layout:
         top = cuts[strengths == strengths.max()]
         return int(top[np.argmin(np.abs(top - target))]), int(strengths.max())
 
+    def unavoidable(self, limit: int, overlap: int) -> int:
+        """Cuts without a boundary that no splitting does without: those inside stretches that no piece can hold with its overlap."""
+        edges = np.concatenate([[0], self.cuts[self.strengths >= WORD], [len(self.data)]])
+        needed = np.diff(edges) + np.where(np.arange(len(edges) - 1) > 0, overlap, 0) - limit
+        return int((-(-needed[needed > 0] // (limit - overlap))).sum())
+
     def anywhere(self, low: int, high: int, target: float) -> int | None:
         """The character's end in [low, high] nearest the target, before no combining mark if that can be helped."""
         a, b = np.searchsorted(self.ends, low, "left"), np.searchsorted(self.ends, high, "right")
         if a >= b:
             return None
-        order = np.argsort(np.abs(self.ends[a:b] - target), kind="stable")[:32]
+        order = np.argsort(np.abs(self.ends[a:b] - target), kind="stable")
         for i in order:
             at = a + int(i)
             if at >= len(self.text) or not (unicodedata.combining(self.text[at]) or self.text[at] in "‍︎️"):
@@ -87,6 +97,8 @@ def _cut(layout: Layout, pieces: int, limit: int, overlap: int) -> list[tuple[in
         length = (total - start + (left - 1) * overlap) / left
         low, high = max(total - (left - 1) * step, end + 1, start + overlap + 1), min(start + limit, total - 1)
         if low > high:
+            if total - start <= limit:
+                break  # strong boundaries far ahead have used up the text
             return None
         target = min(max(start + length, low), high)
         reach = NEARBY * length
@@ -116,31 +128,20 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]
     total = len(layout.data)
     if total <= limit:
         return [(0, total, PARAGRAPH)]
-    least = 1 + -(-(total - limit) // (limit - overlap))
-    best, tries = None, EXTRA
-    for pieces in range(least, least + least // 4 + 3 * EXTRA):
+    pieces = 1 + -(-(total - limit) // (limit - overlap))
+    found = _cut(layout, pieces, limit, overlap)
+    while found is None:  # with so many that each takes the bytes it is sure to hold, it can't fail
+        pieces += 1
         found = _cut(layout, pieces, limit, overlap)
-        if found is not None:
-            bare = sum(s == CHARACTER for _, _, s in found)
-            if best is None or bare < best[0]:
-                best = bare, found
-            tries -= 1
-            if not bare or tries < 0:
-                break
-    return best[1] if best else _in_turn(layout, limit, overlap)
-
-
-def _in_turn(layout: Layout, limit: int, overlap: int) -> list[tuple[int, int, int]]:
-    """Pieces one after the other, each ended in the second half of its room: for texts whose balanced targets can't be met,
-    as where characters are wide against the room between limit and overlap. It always gets on, by a character at least."""
-    total, start, end, out = len(layout.data), 0, 0, []
-    while total - start > limit:
-        low, high = max(end + 1, start + limit // 2), start + limit
-        pick = layout.best(low, high, high) or (layout.floor(high), CHARACTER)
-        end = pick[0]
-        out.append((start, *pick))
-        start = layout.floor(end - overlap)
-    return [*out, (start, total, PARAGRAPH)]
+    bare = lambda cuts: sum(s < WORD for _, _, s in cuts)
+    left, fewest = bare(found), layout.unavoidable(limit, overlap) if bare(found) else 0
+    for more in range(pieces + 1, pieces + left + 1):
+        if bare(found) <= fewest:
+            break
+        other = _cut(layout, more, limit, overlap)
+        if other is not None and bare(other) < bare(found):
+            found = other
+    return found
 
 
 SCHEMA = pa.schema([("budget_id", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("pieces", pa.int32()), ("start_byte", pa.int64()), ("end_byte", pa.int64()), ("n_tokens", pa.int32()), ("overlap", pa.int32()), ("cut", pa.string()), ("piece_text", pa.string())])
@@ -183,3 +184,26 @@ def split_documents(documents: DataFrame, budgets: DataFrame) -> DataFrame:
 def found_split(documents: DataFrame, budgets: DataFrame) -> DataFrame:
     """(budget_id, doc_id) of the documents that were split."""
     return split_documents(documents, budgets).where("piece = 0").select("budget_id", "doc_id")
+
+
+def cut_counts(pieces: DataFrame) -> DataFrame:
+    """(budget_id, cut, n, share): how many pieces end at which kind of boundary, the ends of texts apart."""
+    counted = pieces.where("cut <> 'end'").groupBy("budget_id", "cut").agg(F.count("*").alias("n"))
+    return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("budget_id")))
+
+
+def audit(pieces: DataFrame, documents: DataFrame, budgets: DataFrame) -> DataFrame:
+    """What must hold of a splitting, counted: (budget_id, documents, bytes, over_limit, apart, torn).
+
+    documents split and the bytes of their texts that the pieces cover once; pieces above the limit; pieces that don't start the stated
+    overlap (up to three bytes more) before the end of the one before; documents whose pieces don't add up to their text.
+    """
+    limits = budgets.where("task = 'split'").select("budget_id", "max_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("stated")).dropDuplicates(["budget_id"])
+    order = Window.partitionBy("budget_id", "doc_id").orderBy("piece")
+    rows = pieces.join(limits, "budget_id").withColumn("_end", F.lag("end_byte").over(order))
+    rows = rows.withColumns({"_new": F.col("end_byte") - F.coalesce("_end", F.lit(0)), "_shared": F.col("_end") - F.col("start_byte")})
+    texts = documents.select("doc_id", F.col("text").alias("_text"))
+    behind = F.decode(F.substring(F.encode("piece_text", "UTF-8"), (F.octet_length("piece_text") - F.col("_new") + 1).cast("int"), F.col("_new").cast("int")), "UTF-8")
+    docs = rows.withColumn("_part", behind).groupBy("budget_id", "doc_id").agg(F.sum("_new").alias("bytes"), F.count_if((F.octet_length("piece_text") > F.col("max_tokens")) | (F.octet_length("piece_text") != F.col("n_tokens"))).alias("over"), F.count_if((F.col("_shared") < F.col("stated")) | (F.col("_shared") > F.col("stated") + 3)).alias("apart"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "_part"))), lambda x: x["_part"]), "").alias("_whole"))  # a text's pieces
+    checked = docs.join(texts, "doc_id", "left").withColumn("_torn", ~F.coalesce(F.col("_whole") == F.col("_text"), F.lit(False)))
+    return checked.groupBy("budget_id").agg(F.count("*").alias("documents"), F.sum("bytes").alias("bytes"), F.sum("over").alias("over_limit"), F.sum("apart").alias("apart"), F.count_if("_torn").alias("torn"))

@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -107,3 +108,24 @@ def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, None), (2, "")], "doc_id bigint, text string")
     assert [(r.doc_id, r.size, r.place) for r in p.pack(docs, budgets).collect()] == [(2, 0, 0)]
     assert p.pack(docs.limit(0), budgets).count() == 0 and p.pack(docs, budgets.limit(0)).count() == 0
+
+
+def test_small_capacities_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
+    with pytest.raises(ValueError, match="four bytes"):
+        p.items(docs, spark.createDataFrame([(1, "pack", 3, None, 0)], BUDGETS))
+    assert p.items(docs, spark.createDataFrame([(1, "pack", None, None, 0), (None, None, 3, None, 0)], BUDGETS)).count() == 0
+
+
+def test_certificates(spark):
+    docs = spark.createDataFrame([(i, "x" * (11 if i < 10 else 9)) for i in range(20)], "doc_id bigint, text string")
+    budgets = spark.createDataFrame([(1, "pack", 20, None, 0), (2, "pack", 21, None, 0)], BUDGETS)
+    packed = p.pack(docs, budgets)
+    got = {r.budget_id: r for r in p.report(packed, budgets).collect()}
+    assert (got[1].n_containers, got[1].bound, got[1].gap, got[1].left_over) == (10, 10, 0, 0.0) and got[2].gap == 0
+    assert p.lower_bound(np.array([9, 11]), 20, np.array([10, 10])) == p.lower_bound(np.array([9, 11] * 10), 20) == 10
+    audit = {r.budget_id: tuple(r)[1:] for r in p.audit(packed, docs, budgets).collect()}
+    assert audit == {b: (20, 200, 0, 0, 0, 0) for b in (1, 2)}
+    broken = packed.unionByName(packed.where("doc_id = 3 and budget_id = 1")).where("not (doc_id = 15 and budget_id = 2)")
+    bad = {r.budget_id: r for r in p.audit(broken, docs, budgets).collect()}
+    assert bad[1].twice == 1 and bad[1].over_capacity == 1 and bad[1].gaps == 1 and bad[2].documents == 19

@@ -45,6 +45,13 @@ def test_long_runs_without_boundaries():
     pieces = check("x" * 5000, 1024, 64)
     assert {x for *_, x in pieces[:-1]} == {s.CHARACTER} and len(pieces) == 1 + -(-(5000 - 1024) // (1024 - 64 - 3))
     check("漢字" * 2000, 1000, 100)
+    # narrow room against wide characters: no limit on the pieces added
+    assert len(check("👩" * 300, 9, 1)) > 150
+    text = "ab " * 30 + "x" * 400 + " cd" * 30 + "y" * 90 + " ef" * 50
+    layout = s.Layout(text)
+    assert layout.unavoidable(100, 10) == 5 and sum(x == s.CHARACTER for *_, x in check(text, 100, 10)) == 5
+    # a mark may be far from its letter
+    assert check("e" + "\u0301" * 3000 + "f", 1024, 10)
     pieces = check("これは箱です。" * 200, 300, 30)
     assert {x for *_, x in pieces[:-1]} == {s.SENTENCE}
     check("a " + "y" * 900 + " b" * 500, 512, 32)
