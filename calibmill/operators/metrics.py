@@ -6,6 +6,8 @@ counting zero. All metrics of a pair come from one aggregation over that union.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -32,7 +34,10 @@ def mean_counts(counts: DataFrame, *keys: str, member: str = "member") -> DataFr
 
 
 def probabilities(counts: DataFrame, *keys: str) -> DataFrame:
-    """Counts with their share ``p`` of the run's total, NULL where the total is zero."""
+    """Counts with their share ``p`` of the run's total, NULL where the total is zero. Without keys all rows are one run, whose total
+    is added up first."""
+    if not keys:
+        return counts.withColumn("p", F.try_divide(F.col("count").cast("double"), F.lit(counts.agg(F.sum("count")).first()[0]).cast("double")))
     return counts.withColumn("p", F.try_divide(F.col("count").cast("double"), F.sum("count").over(Window.partitionBy(*keys))))
 
 
@@ -70,28 +75,38 @@ def r2(p: Column, q: Column) -> Column:
     return F.when(flat, F.when(F.max(F.abs(p - q)) == 0, 1.0).otherwise(0.0)).otherwise(1 - F.try_divide(residual, spread))
 
 
-def compare_counts(engine: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and the three count metrics; NaN where a run has no counts to speak of."""
+#: A metric of two runs: an aggregate over their aligned shares p and q.
+Metrics = dict[str, Callable[[Column, Column], Column]]
+
+
+def compare_counts(engine: DataFrame, reference: DataFrame, keys: list[str], metrics: Metrics | None = None) -> DataFrame:
+    """keys and the metrics (the three count metrics if none are given); NaN where a run has no counts to speak of."""
+    metrics = dict(zip(COUNT_METRICS, (hellinger, kl, r2))) if metrics is None else metrics
     p, q = F.col("p"), F.col("q")
     ok = (F.count(p) == F.count("*")) & (F.count(q) == F.count("*"))
     bad = F.lit(float("nan"))
     pairs = aligned(engine, reference, keys).groupBy(*keys)
-    return pairs.agg(*[F.when(ok, m).otherwise(bad).alias(name) for name, m in zip(COUNT_METRICS, (hellinger(p, q), kl(p, q), r2(p, q)))])
+    return pairs.agg(*[F.when(ok, m(p, q)).otherwise(bad).alias(name) for name, m in metrics.items()])
 
 
-def benchmark(engine: DataFrame, reference: DataFrame) -> DataFrame:
-    """The metric grid: circuit_id, circuit_name, metric_name, engine_value, reference_value, delta.
+def benchmark(engine: DataFrame, reference: DataFrame, metrics: Metrics | None = None, states: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """The metric grid: circuit_id, circuit_name, metric_id, metric_name, engine_value, reference_value, delta.
 
-    Circuits pair by ``circuit_id`` (names may repeat); unnamed ones are called 'circuit'. The reference's own value is
-    that metric of the reference against itself. What can't be computed is NaN, and so is its delta.
+    Circuits pair by ``circuit_id`` (names may repeat); unnamed ones are called 'circuit'. metrics: own ones by name instead of the three
+    count metrics, in their order. states: both runs' states (circuit_id, i, j, re, im), which add the state fidelity. The
+    reference's own value is that metric of the reference against itself. What can't be computed is NaN, and so is its delta.
     """
-    name = F.coalesce(F.nullif("circuit_name", F.lit("")), F.lit("circuit"))
-    # both comparisons share one alignment each; a circuit lies in one row per metric
-    names = reference.groupBy("circuit_id").agg(F.max(name).alias("circuit_name"))
-    ours = compare_counts(engine, reference, ["circuit_id"])
-    own = compare_counts(reference, reference, ["circuit_id"]).select("circuit_id", *[F.col(m).alias(f"own_{m}") for m in COUNT_METRICS])
-    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("metric_id"), F.lit(m).alias("metric_name"), F.col(m).alias("engine_value"), F.col(f"own_{m}").alias("reference_value")) for i, m in enumerate(COUNT_METRICS)])).alias("m")
-    return ours.join(own, "circuit_id").join(names, "circuit_id").select("circuit_id", "circuit_name", rows).select("circuit_id", "circuit_name", "m.metric_name", "m.engine_value", "m.reference_value", (F.col("m.engine_value") - F.col("m.reference_value")).alias("delta"))
+    names = reference.groupBy("circuit_id").agg(F.max(F.coalesce(F.nullif("circuit_name", F.lit("")), F.lit("circuit"))).alias("circuit_name"))
+    ours, own = compare_counts(engine, reference, ["circuit_id"], metrics), compare_counts(reference, reference, ["circuit_id"], metrics)
+    columns = ours.columns[1:]
+    if states is not None:
+        ours = ours.join(fidelity(*states), "circuit_id", "left")
+        own = own.join(fidelity(states[1], states[1]), "circuit_id", "left")
+        columns = [*columns, "state_fidelity"]
+    own = own.select("circuit_id", *[F.col(m).alias(f"own_{m}") for m in columns])
+    nan = F.lit(float("nan"))
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("metric_id"), F.lit(m).alias("metric_name"), F.coalesce(m, nan).alias("engine_value"), F.coalesce(f"own_{m}", nan).alias("reference_value")) for i, m in enumerate(columns)])).alias("m")
+    return ours.join(own, "circuit_id").join(names, "circuit_id").select("circuit_id", "circuit_name", rows).select("circuit_id", "circuit_name", "m.*", (F.col("m.engine_value") - F.col("m.reference_value")).alias("delta"))
 
 
 def fidelity_qubit(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, Column, Column]) -> Column:

@@ -204,17 +204,21 @@ def firing(rows: DataFrame, base: RuleBase, keys: Sequence[str], form: str | Non
 OK, NO_INPUT, NO_FIRING, NOT_INTERVAL = "ok", "missing input", "no rule fires", "bounds need interval rules"
 
 
-def defuzzify(rows: DataFrame, base: RuleBase, keys: Sequence[str], method: str = "weighted", squash: Squash = clip, form: str | None = None) -> DataFrame:
+#: An own way from the rules' sums to an output: it gets the total strengths t_low and t_high and the weighted consequents w_low and w_high.
+Defuzzifier = Callable[[dict[str, Column]], Column]
+
+
+def defuzzify(rows: DataFrame, base: RuleBase, keys: Sequence[str], method: str | Defuzzifier = "weighted", squash: Squash = clip, form: str | None = None) -> DataFrame:
     """Outputs out_0, out_1, ... per row, squashed, with raw_<i> before squashing and a status.
 
     method 'weighted': the average of the consequents by firing strength. 'two_bound': the mean of the averages by lower and
-    by upper strength, each normalised by itself; it needs an interval base. Rows that can't be computed have NULLs and say
+    by upper strength, each normalised by itself; it needs an interval base. An own method makes each output of the sums. Rows that can't be computed have NULLs and say
     why in ``status``. form: 'compiled', 'array' or by size; both give a row per row, whatever the keys.
     """
-    if method not in ("weighted", "two_bound"):
+    if method not in ("weighted", "two_bound") and not callable(method):
         raise ValueError(f"no such method: {method!r}")
     form = form or base.form
-    sides = ("low", "high") if method == "two_bound" else ("mid",)
+    sides = ("mid",) if method == "weighted" else ("low", "high")
     bounds = ("lo", "hi") if base.interval else ("lo",)
     missing = base.missing()
     degrees = base.with_degrees(rows)
@@ -237,7 +241,10 @@ def defuzzify(rows: DataFrame, base: RuleBase, keys: Sequence[str], method: str
     raw = {}
     for o in range(base.outputs):
         parts = [F.try_divide(F.col(f"_w_{s}_{o}"), F.col(f"_t_{s}")) for s in sides]
-        raw[o] = parts[0] if len(parts) == 1 else 0.5 * (parts[0] + parts[1])
+        if callable(method):
+            raw[o] = method({f"t_{s}": F.col(f"_t_{s}") for s in sides} | {f"w_{s}": F.col(f"_w_{s}_{o}") for s in sides})
+        else:
+            raw[o] = parts[0] if len(parts) == 1 else 0.5 * (parts[0] + parts[1])
     silent = reduce(lambda a, b: a | b, (F.col(f"_t_{s}") == 0 for s in sides))
     status = F.when(F.col("_missing"), NO_INPUT).when(F.lit(method == "two_bound" and not base.interval), NOT_INTERVAL).when(F.coalesce(silent, F.lit(True)), NO_FIRING).otherwise(OK)
     out = sums.withColumn("status", status).withColumns({f"raw_{o}": F.when(F.col("status") == OK, raw[o]) for o in raw})

@@ -7,13 +7,12 @@ Results are rounded to six digits so that orders of summation don't show.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calibmill.functions import squash
@@ -246,19 +245,35 @@ WHERE (backend, ts) NOT IN (SELECT (backend, ts) FROM n WHERE event_id % 2 = 0)
 def save_if_new(spark: SparkSession, sf: str) -> DataFrame:
     """What a second delivery adds to an archive that has the even events' keys already."""
     rows = table(spark, sf, "events").select(F.concat(F.lit("q"), F.col("user_id")).alias("backend"), F.date_trunc("day", "ts").alias("ts"), "event_id")
-    root = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    root = scratch(spark, "archive")
     archive.save_if_new(rows.where("event_id % 2 = 0"), root)
-    return archive.save_if_new(rows, root).select("backend", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id")
+    return archive.save_if_new(rows, root, arrival="event_id").select("backend", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id")
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, row_number() OVER (ORDER BY ts) - 1 AS place, arg_min(properties, archive_id) AS properties
+FROM raw_archive WHERE backend = (SELECT min(backend) FROM raw_archive WHERE backend <> '') GROUP BY ts""")
+def archive_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """What an archive lists and loads of one backend after all deliveries were saved in two batches: the first delivery of each time."""
+    rows = table(spark, sf, "raw_archive").select("backend", "ts", "archive_id", "properties")
+    root = scratch(spark, "archive")
+    middle = rows.agg(F.percentile_approx("archive_id", 0.5)).first()[0]
+    for part in (rows.where(F.col("archive_id") <= middle), rows.where(F.col("archive_id") > middle)):
+        archive.save_if_new(part, root, arrival="archive_id")
+    name = rows.where("backend <> ''").agg(F.min("backend")).first()[0]
+    if name is None:
+        return spark.createDataFrame([], "ts string, place int, properties string")
+    listed = archive.list_timestamps(spark, root, name).withColumn("place", F.row_number().over(Window.orderBy("ts")) - 1)  # one backend's times
+    kept = archive.archive_table(spark, root).where(F.col("backend") == name).select(F.col("ts").cast("timestamp").alias("ts"), "properties")
+    return listed.join(kept, "ts").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "place", "properties")
 
 
 @query("""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS n, round(avg(value), 6) + 0.0 AS mean_value FROM events GROUP BY ALL""")
 def stream_daily_levels(spark: SparkSession, sf: str) -> DataFrame:
     """The watermarked stream over events, run through once."""
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stream")
     source = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
-    done = poller.windowed_levels(source, watermark="10 days").writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out")).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
-    done.awaitTermination()
-    out = spark.read.parquet(f"{folder}/out")
+    poller.keep_levels(poller.windowed_levels(source, watermark="10 days"), f"{folder}/out", f"{folder}/log").awaitTermination()
+    out = poller.latest_levels(spark, f"{folder}/out")
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "event_type", "n", r6(F.col("mean_value")).alias("mean_value"))
 
 
@@ -380,6 +395,13 @@ def tsk_81_rules(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("l_orderkey", *[(F.round(f"raw_{o}", 4) + F.lit(0.0)).alias(f"raw_{o}") for o in (0, 1)], "status")
 
 
+@query(f"{_rules_sql(base(True))}, s AS (SELECT l_orderkey, l_linenumber, rn, sum(hi * y0) / nullif(sum(hi), 0) - 0.5 * (sum(hi) - sum(lo)) AS r0 FROM g GROUP BY ALL) SELECT l_orderkey, l_linenumber, round(r0, 6) + 0.0 AS raw_0 FROM s")
+def tsk_own_defuzzifier(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's own defuzzifier: the average by upper strengths less half the width of the total strength."""
+    own = lambda s: F.try_divide(s["w_high"], s["t_high"]) - 0.5 * (s["t_high"] - s["t_low"])
+    return rules.defuzzify(table(spark, sf, "lineitem"), base(True), _KEY, own, squash.identity).select(*_KEY, r6(F.col("raw_0")).alias("raw_0"))
+
+
 def _millionths_sql(x: str) -> str:
     return f"floor(({x}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE"
 
@@ -543,7 +565,8 @@ def circuit_benchmark(spark: SparkSession, sf: str) -> DataFrame:
     """The metric grid of the noisy ensemble against a noiseless reference."""
     gates = _benchmark_circuits(spark)
     run = lambda n, g, l: circuits.simulate(gates, _members(spark, n, g, l), shots=1024)
-    return metrics.benchmark(run(8, 0.05, 0.02), run(1, 0.0, 0.0))
+    state = lambda g, l: circuits.states(gates, _members(spark, 1, g, l)).drop("member")
+    return metrics.benchmark(run(8, 0.05, 0.02), run(1, 0.0, 0.0), states=(state(0.05, 0.02), state(0.0, 0.0)))
 
 
 @query()
@@ -583,9 +606,9 @@ def counts_probabilities(spark: SparkSession, sf: str) -> DataFrame:
 def _against_all(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Each day's counts, and for each day the counts of all days."""
     ours = metrics.sum_counts(_counts(spark, sf), "day")
-    days = [F.lit(r["day"]) for r in ours.select("day").distinct().collect()]  # a month
-    whole = ours.groupBy("bitstring").agg(F.sum("count").alias("count")).select(F.explode(F.array(*days)).alias("day"), "bitstring", "count")
-    return ours, whole
+    whole = ours.groupBy("bitstring").agg(F.sum("count").alias("count"))
+    every = ours.select("day").distinct().join(whole.agg(F.collect_list(F.struct("bitstring", "count")).alias("_w")).withColumn("_one", F.lit(1)), F.lit(1) == F.col("_one"))  # five outcomes, met by every day
+    return ours, every.select("day", F.explode("_w").alias("_w")).select("day", "_w.*")
 
 
 _PAIRS = f"""WITH {_COUNTS}, e AS (SELECT day, bitstring, sum(n) AS n FROM c GROUP BY ALL), r AS (SELECT d.day, b.bitstring, b.n FROM (SELECT DISTINCT day FROM e) d, (SELECT bitstring, sum(n) AS n FROM e GROUP BY ALL) b),
@@ -601,8 +624,8 @@ def count_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.compare_counts(*_against_all(spark, sf), ["day"]))
 
 
-@query(_PAIRS + """ SELECT day AS circuit_id, day AS circuit_name, m.k AS metric_name, round(m.v, 6) + 0.0 AS engine_value, m.o AS reference_value, round(m.v - m.o, 6) + 0.0 AS delta
-FROM (SELECT day, unnest([{'k': 'hellinger_distance', 'v': hellinger_distance, 'o': 0.0::DOUBLE}, {'k': 'kl_divergence', 'v': kl_divergence, 'o': 0.0::DOUBLE}, {'k': 'r2_score', 'v': r2_score, 'o': 1.0::DOUBLE}]) AS m FROM s)""")
+@query(_PAIRS + """ SELECT day AS circuit_id, day AS circuit_name, m.i AS metric_id, m.k AS metric_name, round(m.v, 6) + 0.0 AS engine_value, m.o AS reference_value, round(m.v - m.o, 6) + 0.0 AS delta
+FROM (SELECT day, unnest([{'i': 0, 'k': 'hellinger_distance', 'v': hellinger_distance, 'o': 0.0::DOUBLE}, {'i': 1, 'k': 'kl_divergence', 'v': kl_divergence, 'o': 0.0::DOUBLE}, {'i': 2, 'k': 'r2_score', 'v': r2_score, 'o': 1.0::DOUBLE}]) AS m FROM s)""")
 def benchmark_grid(spark: SparkSession, sf: str) -> DataFrame:
     ours, whole = _against_all(spark, sf)
     named = lambda d: d.select(F.col("day").alias("circuit_id"), F.col("day").alias("circuit_name"), "bitstring", "count")

@@ -26,7 +26,7 @@ class FeatureExtractor(Protocol):
 class Evaluate(Protocol):
     """Rows with the rules' inputs to raw and squashed outputs (raw_0, out_0, ..., status) per key."""
 
-    def __call__(self, rows: DataFrame, base: rules.RuleBase, keys: Sequence[str], method: str, squash: squashing.Squash) -> DataFrame: ...
+    def __call__(self, rows: DataFrame, base: rules.RuleBase, keys: Sequence[str], method: str | rules.Defuzzifier, squash: squashing.Squash) -> DataFrame: ...
 
 
 class Project(Protocol):
@@ -47,18 +47,37 @@ class Metric(Protocol):
     def __call__(self, p: Column, q: Column) -> Column: ...
 
 
+#: Stages by name; the names of None have no defined result.
+NAMED = {
+    "project": {"damping": channels.project, "nearest channel": None},
+    "normalise": {"none": channels.no_normalisation, "derivative": None},
+    "install": {"after gates": channels.install_after_gates, "before gates": None, "between gates": None},
+}
+
+
 @dataclass
 class NoisePipeline:
+    """The pipeline. ``project``, ``normalise`` and ``install`` are functions or one of the names of ``NAMED``; names without a defined
+    result raise NotImplementedError. ``method`` is a name or an own defuzzifier."""
+
     base: rules.RuleBase
     extract: FeatureExtractor = parsing.feature_vector
     evaluate: Evaluate = rules.defuzzify
-    method: str = "weighted"
+    method: str | rules.Defuzzifier = "weighted"
     squash: squashing.Squash = squashing.clip
-    project: Project = channels.project
-    normalise: Callable[[Column], Column] = channels.no_normalisation
-    install: Install = channels.install_after_gates
+    project: Project | str = channels.project
+    normalise: Callable[[Column], Column] | str = channels.no_normalisation
+    install: Install | str = channels.install_after_gates
     metrics: dict[str, Metric] = field(default_factory=lambda: {"hellinger_distance": metrics.hellinger, "kl_divergence": metrics.kl, "r2_score": metrics.r2})
 
+    def __post_init__(self) -> None:
+        for stage, known in NAMED.items():
+            name = getattr(self, stage)
+            if isinstance(name, str):
+                if name not in known:
+                    raise ValueError(f"no such {stage}: {name!r}")
+                setattr(self, stage, known[name] or channels.unsupported(name))
+
     def parameters(self, entries: DataFrame, *keys: str) -> DataFrame:
         """Per key the outputs of the rules, as an array ``params``, and a status."""
         rows = self.extract(entries, *keys)
@@ -73,4 +92,8 @@ class NoisePipeline:
 
     def compare(self, engine: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
         """keys and every metric of the pipeline over two runs' counts."""
-        return metrics.aligned(engine, reference, keys).groupBy(*keys).agg(*[m(F.col("p"), F.col("q")).alias(name) for name, m in self.metrics.items()])
+        return metrics.compare_counts(engine, reference, keys, self.metrics)
+
+    def benchmark(self, engine: DataFrame, reference: DataFrame, states: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+        """The metric grid over the pipeline's metrics, with the state fidelity where both runs' states are given."""
+        return metrics.benchmark(engine, reference, self.metrics, states)

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import inspect
 import json
+import os
 import time
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from calibmill.session import stage
+from calibmill.session import exists, file_system, stage
 
 STEM = "yyyyMMdd'T'HHmmssSSSSSS'Z'"
 #: The oldest instant that may be asked for, in days.
-MAX_HISTORY_DAYS = 365
+MAX_HISTORY_DAYS = 30
 
 
 def file_stem(ts: Column) -> Column:
@@ -40,44 +45,106 @@ def path_for(root: str, backend: Column, ts: Column) -> Column:
     return F.concat_ws("/", F.lit(root), backend, F.concat(file_stem(ts), F.lit(".json")))
 
 
-def list_timestamps(spark: SparkSession, root: str, backend: str) -> DataFrame:
-    """The times of a backend's archived files in order, from their names alone; other files are skipped, a missing folder is empty."""
-    try:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"{root}/{backend}").select("path")
-    except Exception as problem:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(problem):
-            raise
+def list_files(spark: SparkSession, root: str, backend: str) -> DataFrame:
+    """The times of a backend's snapshot files (JSON under root/backend) in order, from their names alone; other files are skipped, a
+    missing folder is empty."""
+    if not exists(spark, f"{root}/{backend}"):
         return spark.createDataFrame([], "ts timestamp")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"{root}/{backend}").select("path")
     stem = F.regexp_extract("path", r"([^/]+)\.json$", 1)
     return files.select(stem_time(stem).alias("ts")).where("ts is not null").orderBy("ts")
 
 
-def load_one(spark: SparkSession, root: str, backend: str, ts: datetime) -> DataFrame:
-    """One archived body by (backend, time): path, ts (of the file name, not of the body), body."""
+def load_file(spark: SparkSession, root: str, backend: str, ts: datetime) -> DataFrame:
+    """One snapshot file by (backend, time): path, ts (of the file name, not of the body), body."""
     at = (ts if ts.tzinfo else ts.replace(tzinfo=UTC)).astimezone(UTC)
     path = f"{root}/{backend}/{at:%Y%m%dT%H%M%S%f}Z.json"
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.lit(at).alias("ts"), F.col("value").alias("body"))
 
 
-def save_if_new(new: DataFrame, root: str) -> DataFrame:
+#: Columns that tell archived rows of one key apart: when their write began, and which write it was.
+SAVED = ("saved_at", "save_id")
+
+
+def archive_table(spark: SparkSession, root: str) -> DataFrame | None:
+    """What ``save_if_new`` wrote to ``root``, each (backend, ts) once: its first write. None where there is no archive yet."""
+    if not exists(spark, root):
+        return None
+    rows = spark.read.option("mergeSchema", "true").parquet(root).withColumn("backend", F.col("backend").cast("string"))
+    first = Window.partitionBy("backend", "ts").orderBy(*SAVED)
+    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def list_timestamps(spark: SparkSession, root: str, backend: str) -> DataFrame:
+    """The archived times of a backend in order; without an archive there are none. Reads the keys of that backend's part only."""
+    found = archive_table(spark, root)
+    if found is None:
+        return spark.createDataFrame([], "ts timestamp")
+    return found.where(F.col("backend") == backend).select(F.col("ts").cast("timestamp").alias("ts")).orderBy("ts")
+
+
+def load_one(spark: SparkSession, root: str, backend: str, ts: datetime) -> DataFrame:
+    """The archived row of (backend, time), with the columns it was saved with; no row if there is none."""
+    at = (ts if ts.tzinfo else ts.replace(tzinfo=UTC)).astimezone(UTC)
+    found = archive_table(spark, root)
+    if found is None:
+        return spark.createDataFrame([], "backend string, ts timestamp")
+    return found.where((F.col("backend") == backend) & (F.col("ts").cast("timestamp") == F.lit(at))).drop(*SAVED)
+
+
+@contextmanager
+def writing(spark: SparkSession, root: str, wait: float = 60.0) -> Iterator[None]:
+    """The sole right to append to an archive: a lock file beside it, made only where there is none; others wait and then fail.
+
+    Exclusive creation is atomic on local folders and HDFS; on stores without it only one writer may be scheduled.
+    """
+    lock, until = f"{root.rstrip('/')}.lock", time.monotonic() + wait
+    system, where = file_system(spark, lock)
+    local = system.getScheme() == "file"
+    plain = where.toUri().getPath()
+    while True:
+        try:
+            if local:
+                os.makedirs(os.path.dirname(plain) or ".", exist_ok=True)
+                os.close(os.open(plain, os.O_CREAT | os.O_EXCL))
+            else:
+                system.create(where, False).close()
+            break
+        except (FileExistsError, Py4JJavaError) as problem:
+            if isinstance(problem, Py4JJavaError) and not system.exists(where):
+                raise
+            if time.monotonic() > until:
+                raise RuntimeError(f"another writer holds {lock}") from problem
+            time.sleep(0.05)
+    try:
+        yield
+    finally:
+        os.unlink(plain) if local else system.delete(where, False)
+
+
+def save_if_new(new: DataFrame, root: str, arrival: str | None = None, wait: float = 60.0) -> DataFrame:
     """Append the snapshots whose (backend, ts) the archive at ``root`` doesn't have, one for each; returns those it wrote.
 
-    new: backend, ts, and whatever else. The archive is Parquet partitioned by backend. Of several new rows of one key the
-    first by the remaining columns is kept. A single writer is assumed (a stream's batches, a scheduled job): Parquet has
-    no unique keys.
+    new: backend, ts, and whatever else; rows without either are left out. The archive is Parquet partitioned by backend. Of several new
+    rows of one key the first by ``arrival`` is kept, or without it the first in the order of the rows. Writers take turns
+    (``writing``). Only the batch's backends and its stretch of time are looked up in the archive.
     """
     spark = new.sparkSession
+    order = F.col(arrival) if arrival else F.monotonically_increasing_id()
     rest = [c for c in new.columns if c not in ("backend", "ts")]
-    one = new.where("backend is not null and ts is not null").groupBy("backend", "ts").agg(F.min(F.struct(*rest)).alias("_r")).select("backend", "ts", "_r.*") if rest else new.select("backend", "ts").distinct()
-    try:
-        there = spark.read.schema(one.schema).parquet(root).select("backend", "ts")
-        fresh = one.join(there, ["backend", "ts"], "left_anti")
-    except Exception as problem:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(problem) and "UNABLE_TO_INFER_SCHEMA" not in str(problem):
-            raise
+    numbered = new.where("backend is not null and ts is not null").withColumn("_order", order)
+    first = numbered.groupBy("backend", "ts").agg(F.min_by(F.struct(F.lit(0).alias("_"), *rest), F.struct("_order", F.struct(*rest) if rest else F.lit(0))).alias("_r"))
+    one = stage(first.select("backend", "ts", *[F.col("_r")[c].alias(c) for c in rest]))
+    span = one.agg(F.min("ts"), F.max("ts"), F.collect_set("backend")).first()  # one row; backends are devices
+    with writing(spark, root, wait):
+        there = archive_table(spark, root)
         fresh = one
-    kept = stage(fresh)  # what is written must not depend on the folder it is written to
-    kept.write.mode("append").partitionBy("backend").parquet(root)
+        if there is not None:
+            there = there.where(F.col("ts").between(F.lit(span[0]), F.lit(span[1])) & F.col("backend").isin(span[2]))
+            fresh = one.join(there.select("backend", "ts"), ["backend", "ts"], "left_anti")
+        kept = stage(fresh)  # what is written must not depend on the folder it is written to
+        stamped = kept.withColumns({SAVED[0]: F.lit(datetime.now(UTC)), SAVED[1]: F.lit(uuid.uuid4().hex)})
+        stamped.write.mode("append").partitionBy("backend").parquet(root)
     return kept
 
 
@@ -159,13 +226,38 @@ def fetch_with_retry(fetch: Callable[[], dict | None], retries: int = 3, sleep:
     return None
 
 
+# What is kept of a configuration that can't give itself as a dict.
+CONFIGURATION_PARTS = ("backend_name", "backend_version", "n_qubits", "basis_gates", "coupling_map", "max_shots", "max_experiments")
+
+
+def plain_configuration(configuration: object) -> dict | None:
+    """A configuration as a dict: a mapping itself, its to_dict(), else those of ``CONFIGURATION_PARTS`` that it has."""
+    if configuration is None or isinstance(configuration, dict):
+        return configuration
+    try:
+        return dict(configuration.to_dict())
+    except Exception:  # noqa: BLE001  whatever a client's own conversion raises, its parts may still be there
+        return {part: value for part in CONFIGURATION_PARTS if (value := _part(configuration, part)) is not _NONE}
+
+
+_NONE = object()
+
+
+def _part(thing: object, name: str) -> object:
+    try:
+        return getattr(thing, name, _NONE)
+    except Exception:  # noqa: BLE001
+        return _NONE
+
+
 class PollSource(DataSource):
     """spark.read.format('calibration_poll'): one row per backend and instant that the service has properties for.
 
     Options: ``service`` (import path module:callable giving an object with properties(backend, at), and if it likes
-    target(backend) and configuration(backend)), ``backends`` (comma separated), ``instants`` (comma separated ISO times; empty:
-    now), ``retries``. Every (backend, instant) is a partition. The time of a row is the one its properties were last
-    updated at, not the one asked for; target and configuration are of now, so rows of the past have none.
+    target(backend), target_history(backend, at) and configuration(backend)), ``channel``, ``token``, ``instance`` (handed to that
+    callable if it takes them), ``backends`` (comma separated), ``instants`` (comma separated ISO times; empty: now), ``retries``.
+    Every (backend, instant) is a partition. The time of a row is the one its properties were last updated at, not the one
+    asked for. Rows of the past have the target of their time where the service keeps a history, and no configuration.
     """
 
     @classmethod
@@ -184,43 +276,60 @@ class PollPartition(InputPartition):
         self.backend, self.at = backend, at
 
 
+def connect(options: dict) -> object:
+    """The service of a poll's options."""
+    import importlib
+
+    module, _, name = options["service"].partition(":")
+    factory = getattr(importlib.import_module(module), name)
+    given = {k: options[k] for k in ("channel", "token", "instance") if options.get(k)}
+    takes = inspect.signature(factory).parameters
+    open_ended = any(p.kind is p.VAR_KEYWORD for p in takes.values())
+    return factory(**{k: v for k, v in given.items() if open_ended or k in takes})
+
+
+def utc(stamp: object) -> datetime | None:
+    """A time or ISO text in UTC (naive ones are UTC); None for anything else."""
+    if isinstance(stamp, str):
+        try:
+            stamp = datetime.fromisoformat(stamp.replace("Z", "+00:00"))
+        except ValueError:
+            return None
+    if not isinstance(stamp, datetime):
+        return None
+    return stamp.astimezone(UTC) if stamp.tzinfo else stamp.replace(tzinfo=UTC)
+
+
 class PollReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options = options
 
     def partitions(self) -> list[PollPartition]:
         instants = [t for t in self.options.get("instants", "").split(",") if t] or [""]
+        instants += [""] if self.options.get("current") == "true" and instants != [""] else []
         return [PollPartition(b.strip(), t.strip()) for b in self.options["backends"].split(",") if b.strip() for t in instants]
 
     def read(self, partition: PollPartition) -> Iterator[tuple]:
-        import importlib
-
-        module, _, name = self.options["service"].partition(":")
-        service = getattr(importlib.import_module(module), name)()
-        at = datetime.fromisoformat(partition.at.replace("Z", "+00:00")) if partition.at else None
+        service, backend, at = connect(self.options), partition.backend, utc(partition.at)
         try:
-            found = fetch_with_retry(lambda: service.properties(partition.backend, at), int(self.options.get("retries", "3")))
+            found = fetch_with_retry(lambda: service.properties(backend, at), int(self.options.get("retries", "3")))
         except NotImplementedError:
             return
-        if not isinstance(found, dict):
-            return
-        stamp = found.get("last_update_date")
-        if isinstance(stamp, str):
-            try:
-                stamp = datetime.fromisoformat(stamp.replace("Z", "+00:00"))
-            except ValueError:
-                return
-        if not isinstance(stamp, datetime):
+        stamp = utc(found.get("last_update_date")) if isinstance(found, dict) else None
+        if stamp is None:
             return
-        stamp = stamp if stamp.tzinfo else stamp.replace(tzinfo=UTC)
         text = lambda x: None if x is None else json.dumps(x, cls=SnapshotEncoder, sort_keys=True)
-        extra = [text(self.optional(service, part, partition.backend)) if at is None else None for part in ("target", "configuration")]
-        yield partition.backend, stamp.astimezone(UTC), str(self.options.get("schema_version", "1.0")), text(found), *extra
+        if at is None:
+            target, configuration = self.optional(service, "target", backend), plain_configuration(self.optional(service, "configuration", backend))
+        else:
+            target, configuration = self.optional(service, "target_history", backend, at), None
+        yield backend, stamp, str(self.options.get("schema_version", "1.0")), text(found), text(target), text(configuration)
 
     @staticmethod
-    def optional(service: object, part: str, backend: str) -> object:
-        """What the service has of a part, None where it has no such part or fails to give it."""
+    def optional(service: object, part: str, *of: object) -> object:
+        """What the service has of a part; None where it has no such part or fails to give it, whatever it raises: a snapshot's
+        properties are worth keeping without it."""
         try:
-            return getattr(service, part)(backend)
-        except (AttributeError, NotImplementedError, RuntimeError):
+            return getattr(service, part)(*of)
+        except Exception:  # noqa: BLE001
             return None

@@ -2,6 +2,7 @@
 
 import json
 import math
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime, timedelta
 
 import numpy as np
@@ -162,6 +163,44 @@ def test_circuits(spark):
             bad()
 
 
+def test_uniform_cliffords():
+    seen = {}
+    rng = np.random.default_rng(0)
+    for _ in range(2400):
+        u = np.eye(2, dtype=complex)
+        for gate, qubits, _ in circuits.uniform_clifford(1, rng):
+            u = circuits.unitary(gate, 1, None) @ u
+        first = u.ravel()[np.argmax(np.abs(u.ravel()) > 1e-9)]
+        key = tuple(np.round(u * abs(first) / first, 6).ravel() + 0.0)
+        seen[key] = seen.get(key, 0) + 1
+    assert len(seen) == 24 and min(seen.values()) > 60 and max(seen.values()) < 145
+    _, n, gates = circuits.random_clifford(3, 2, seed=4)
+    u = np.eye(8, dtype=complex)
+    for gate, qubits, theta in gates:
+        u = circuits.spread(circuits.unitary(gate, len(qubits), theta), qubits, n) @ u
+    for q in range(3):  # Paulis go to Paulis
+        for m in ([[0, 1], [1, 0]], [[1, 0], [0, -1]]):
+            image = u @ circuits.spread(np.array(m, complex), [q], n) @ u.conj().T
+            assert np.allclose(np.sort(np.abs(image), axis=1)[:, -1], 1) and (np.abs(image) > 1e-9).sum() == 8
+
+
+def test_drawn_shots_agree_with_density_matrices():
+    _, n, gates = circuits.ansatz(3, 2, seed=1)
+    gates = [*gates, ("qft", [0, 1, 2], None), ("h", [1], None)]
+    for g, l in ((0.0, 0.0), (0.2, 0.3)):
+        exact = np.real(np.diag(circuits.run(gates, n, g, l)))
+        drawn = circuits.sample(gates, n, g, l, 20000, np.random.default_rng(3)) / 20000
+        assert np.abs(drawn - exact).max() < 0.015
+
+
+def test_wide_circuits(spark):
+    gates = circuits.gate_table(spark, circuits.ghz(12), circuits.qft(10))
+    got = circuits.simulate(gates, spark.createDataFrame([(0, 0.2, 0.1)], "member int, gamma double, lam double"), shots=400).collect()
+    ghz = {r.bitstring: r["count"] for r in got if r.circuit_id == 0}
+    assert set(ghz) == {"0" * 12, "1" * 12} and sum(ghz.values()) == 400 and ghz["0" * 12] / 400 == pytest.approx(0.6, abs=0.1)
+    assert sum(r["count"] for r in got if r.circuit_id == 1) == 400
+
+
 def test_relational_simulation_agrees(spark):
     name, n, gates = circuits.ghz(2)
     state = spark.createDataFrame([(0, 0, 0, 1.0, 0.0)], "member int, i int, j int, re double, im double")
@@ -253,16 +292,33 @@ def test_archive_names(spark, tmp_path):
     for r in got:
         (folder / f"{r.s}.json").write_text('{"a": 1}')
     (folder / "notes.json").write_text("{}")
-    assert [r.ts for r in archive.list_timestamps(spark, str(tmp_path), "dev").collect()] == sorted(times)
-    assert archive.list_timestamps(spark, str(tmp_path), "none").count() == 0
-    assert json.loads(archive.load_one(spark, str(tmp_path), "dev", times[0]).first().body) == {"a": 1}
+    assert [r.ts for r in archive.list_files(spark, str(tmp_path), "dev").collect()] == sorted(times)
+    assert archive.list_files(spark, str(tmp_path), "none").count() == 0
+    assert json.loads(archive.load_file(spark, str(tmp_path), "dev", times[0]).first().body) == {"a": 1}
 
 
 def test_save_if_new(spark, tmp_path):
     root = str(tmp_path / "archive")
     rows = spark.createDataFrame([("007", datetime(2026, 5, 1), 2, "x"), ("007", datetime(2026, 5, 1), 1, "y"), ("b", datetime(2026, 5, 2), 1, None), (None, datetime(2026, 5, 2), 1, "z")], "backend string, ts timestamp, v int, body string")
     assert archive.save_if_new(rows, root).count() == 2 and archive.save_if_new(rows, root).count() == 0
-    assert {(r.v, r.body) for r in spark.read.parquet(root).collect()} == {(1, "y"), (1, None)}
+    assert {(r.backend, r.v, r.body) for r in archive.archive_table(spark, root).collect()} == {("007", 2, "x"), ("b", 1, None)}  # the first in the batch wins
+    later = spark.createDataFrame([("c", datetime(2026, 5, 3), 2, "late"), ("c", datetime(2026, 5, 3), 1, "early"), ("b", datetime(2026, 5, 2), 0, "no")], rows.schema)
+    assert [r.body for r in archive.save_if_new(later, root, arrival="v").collect()] == ["early"]
+    assert [r.ts for r in archive.list_timestamps(spark, root, "007").collect()] == [datetime(2026, 5, 1)]
+    got = archive.load_one(spark, root, "b", datetime(2026, 5, 2)).first()
+    assert (got.v, got.body) == (1, None) and archive.load_one(spark, root, "b", datetime(2026, 5, 9)).count() == 0
+    nowhere = str(tmp_path / "none")
+    assert archive.list_timestamps(spark, nowhere, "b").count() == 0 and archive.load_one(spark, nowhere, "b", datetime(2026, 5, 2)).count() == 0
+
+
+def test_one_of_several_writers_wins(spark, tmp_path):
+    root = str(tmp_path / "archive")
+    write = lambda i: archive.save_if_new(spark.createDataFrame([("b", datetime(2026, 5, 1), i)], "backend string, ts timestamp, v int"), root).count()
+    with ThreadPoolExecutor(8) as pool:
+        assert sorted(pool.map(write, range(8))) == [0] * 7 + [1]
+    assert spark.read.parquet(root).count() == 1 and not (tmp_path / "archive.lock").exists()
+    with archive.writing(spark, root), pytest.raises(RuntimeError, match="another writer"):
+        archive.save_if_new(spark.createDataFrame([("b", datetime(2026, 5, 2), 1)], "backend string, ts timestamp, v int"), root, wait=0.1)
 
 
 def test_history(spark):
@@ -313,6 +369,78 @@ def test_poll_source(spark, tmp_path):
     assert poller.main([*args, "--historical", "2026-05-02", "2026-05-01", "4"]) == 1
 
 
+class Historian:
+    def __init__(self, channel=None, token=None):
+        self.channel, self.token = channel, token
+
+    def properties(self, backend, at):
+        return {"last_update_date": at or datetime(2026, 5, 1, 12), "channel": self.channel, "token": self.token}
+
+    def target(self, backend):
+        raise OSError("gone")
+
+    def target_history(self, backend, at):
+        return {"at": at}
+
+    def configuration(self, backend):
+        class Odd:
+            n_qubits = 5
+
+            def to_dict(self):
+                raise TypeError
+
+        return Odd()
+
+
+def test_history_and_configuration(spark, tmp_path, monkeypatch):
+    now = datetime.now(UTC).replace(microsecond=0)
+    rows = {r.ts: r for r in poller.poll_once(spark, ["b"], str(tmp_path / "a"), [now - timedelta(days=3)], service="tests.test_engine:Historian", channel="x").collect()}
+    past, current = rows[(now - timedelta(days=3)).replace(tzinfo=None)], rows[datetime(2026, 5, 1, 12)]
+    assert json.loads(past.target)["at"] == (now - timedelta(days=3)).isoformat() and past.configuration is None
+    assert current.target is None and json.loads(current.configuration) == {"n_qubits": 5} and json.loads(current.properties)["channel"] == "x"
+    with pytest.raises(ValueError, match="days old"):
+        poller.poll_once(spark, ["b"], str(tmp_path / "a"), [now - timedelta(days=31)], service="tests.test_engine:Historian")
+    monkeypatch.setenv("CALIBMILL_MAX_HISTORICAL_DAYS", "7")
+    monkeypatch.setenv("CALIBMILL_RETRIES", "1")
+    args = poller._parser().parse_args(["--backend", "b"])
+    assert (args.max_historical_days, args.retries) == (7, 1)
+
+
+def test_bad_snapshots_are_kept_apart(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.json").write_text('{"timestamp": "nonsense"}')
+    poller.ingest_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "log"))
+    row = spark.read.parquet(str(tmp_path / "out.quarantine")).first()
+    assert row.body == '{"timestamp": "nonsense"}' and "no time" in row.error and row.path.endswith("x.json")
+
+
+def test_late_rows_and_state(spark, tmp_path):
+    """Rows late within the watermark still count; rows behind it don't, as their window's state is gone."""
+    source = tmp_path / "events"
+    day = lambda d, h: datetime(2026, 5, d, h)
+    levels = lambda: poller.windowed_levels(spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(source)), "1 day")
+    batches = [[(day(1, 5), "a", 1.0)], [(day(1, 6), "a", 3.0), (day(4, 1), "a", 5.0)], [(day(4, 2), "a", 5.0)], [(day(1, 7), "a", 100.0), (day(3, 23), "a", 7.0)]]
+    for rows in batches:
+        spark.createDataFrame(rows, "ts timestamp, event_type string, value double").write.mode("append").parquet(str(source))
+        poller.keep_levels(levels(), str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    got = {r.window_start: (r.n, r.mean_value) for r in poller.latest_levels(spark, str(tmp_path / "out")).collect()}
+    assert got == {day(1, 0): (2, 2.0), day(4, 0): (2, 5.0), day(3, 0): (1, 7.0)}
+
+
+def test_session_folders(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from calibmill import session
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_dir(cluster)
+    staged = session.stage(spark.range(3))
+    assert staged.count() == 3 and session.release(spark) >= 1
+    with pytest.raises(Exception, match="does not exist|DOES_NOT_EXIST|NOT_EXIST"):
+        spark.read.parquet(staged.inputFiles()[0])
+
+
 def test_ingest_is_idempotent(spark, tmp_path):
     landing = tmp_path / "in"
     landing.mkdir()
@@ -342,6 +470,16 @@ def test_pipeline_stages_can_be_exchanged(spark):
     grid = rules.RuleBase.grid({f: [Gaussian(0, 1), Gaussian(1, 1)] for f in parsing.FEATURES}, 2)
     got = {r.snap: r for r in NoisePipeline(grid, squash=squash.sigmoid).channels(rows, "snap").collect()}
     assert got["a"].params == [0.5, 0.5] and got["a"].channel_status == "ok" and got["b"].status == "missing input" and got["b"].kraus is None
+    with pytest.raises(NotImplementedError):
+        NoisePipeline(grid, install="before gates")
+    with pytest.raises(NotImplementedError):
+        NoisePipeline(grid, normalise="derivative")
+    with pytest.raises(ValueError):
+        NoisePipeline(grid, project="else")
+    assert NoisePipeline(grid, install="after gates", method=lambda s: s["w_low"] / s["t_low"]).channels(rows, "snap").count() == 2
+    state = spark.createDataFrame([("c", 0, 0, 1.0, 0.0), ("c", 1, 1, 0.0, 0.0)], "circuit_id string, i int, j int, re double, im double")
+    grid_rows = {r.metric_name: r for r in NoisePipeline(grid, metrics={"tv": lambda p, q: F.sum(F.abs(p - q)) / 2}).benchmark(counts(spark, {"0": 1, "1": 1}), counts(spark, {"0": 1})).collect()}
+    assert set(grid_rows) == {"tv"} and grid_rows["tv"].delta == 0.5 and state.count() == 2
     own = NoisePipeline(grid, metrics={"total_variation": lambda p, q: F.sum(F.abs(p - q)) / 2})
     assert own.compare(counts(spark, {"0": 1, "1": 1}), counts(spark, {"0": 1}), ["circuit_id"]).first().total_variation == 0.5
 
