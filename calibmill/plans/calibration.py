@@ -19,7 +19,7 @@ from calibmill.functions import squash
 from calibmill.functions.membership import Custom, Gaussian, IntervalGaussian, Shape, TanhPulse, Trapezoidal, Triangular
 from calibmill.operators import channels, circuits, metrics, parsing, rules
 from calibmill.plans.pipeline import NoisePipeline
-from calibmill.session import shared_dir, table
+from calibmill.session import scratch, table
 from calibmill.sources import archive
 from calibmill.streaming import poller
 
