@@ -465,25 +465,64 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return noise_parameters(spark, sf).select("day", r6(F.col("mean_T1")).alias("mean_t1"), r6(F.col("mean_T2")).alias("mean_t2"), r6(F.col("mean_readout_error")).alias("mean_readout"), r6(F.col("out_0")).alias("p_amp"), r6(F.col("out_1")).alias("p_phase"), "status")
 
 
-@query()
+def _rule_average_sql(b: rules.RuleBase, x: list[str]) -> list[str]:
+    """The averages of a crisp base of bells over SQL expressions, an expression per output; NULL where no rule fires."""
+    f = [" * ".join(f"({_shape_sql(b.shapes[i][k], x[i])[0]})" for i, k in enumerate(rule)) for rule in b.rules]
+    out = []
+    for o in range(b.outputs):
+        y = [" + ".join(f"{v!r}::DOUBLE * {c}" for v, c in zip(b.consequents[r, o].tolist(), x)) + f" + {float(b.consequents[r, o, -1])!r}::DOUBLE" for r in range(len(b.rules))]
+        out.append("(" + " + ".join(f"({s}) * ({t})" for s, t in zip(f, y)) + ") / nullif(" + " + ".join(f"({s})" for s in f) + ", 0)")
+    return out
+
+
+def _preset_sql() -> str:
+    r0, r1 = _rule_average_sql(rules.preset_base(), ["a", "b", "c"])
+    missing = " OR ".join(f"{x} IS NULL OR isnan({x})" for x in "abc")
+    return f"""WITH m AS (SELECT snapshot_id, features[1] AS a, features[2] AS b, features[3] AS c FROM snapshot_feature),
+r AS (SELECT snapshot_id, {missing} AS gone, {r0} AS r0, {r1} AS r1 FROM m),
+s AS (SELECT snapshot_id, CASE WHEN NOT gone THEN r0 END AS r0, CASE WHEN NOT gone THEN r1 END AS r1, CASE WHEN gone THEN 'missing input' WHEN r0 IS NULL THEN 'no rule fires' ELSE 'ok' END AS status FROM r)
+SELECT snapshot_id, round(r0, 6) + 0.0 AS raw_0, round(r1, 6) + 0.0 AS raw_1, CASE WHEN r0 IS NOT NULL THEN {_clip_sql('r0')} END AS out_0, CASE WHEN r1 IS NOT NULL THEN {_clip_sql('r1')} END AS out_1, status,
+NOT coalesce(r0 > 0 OR r1 > 0, false) AS degenerate, k::INT AS member FROM s, range(8) t(k)"""
+
+
+@query(_preset_sql())
 def preset_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     """The preset's eight seeded rules over stored snapshot features, as an ensemble of eight members."""
     rows = table(spark, sf, "snapshot_feature").select("snapshot_id", *[F.col("features")[i].alias(f) for i, f in enumerate(rules.PRESET_SCALES)])
     done = rules.guard_identity(rules.defuzzify(rows, rules.preset_base(), ["snapshot_id"]))
-    return rules.ensemble(done, 8)
+    return rounded(rules.ensemble(done, 8))
 
 
-@query()
+def _channels_sql() -> str:
+    r0, r1 = (f"1 / (1 + exp(-({x})))" for x in _rule_average_sql(_flagship_base(), ["a", "b", "c"]))
+    return f"""{_FEATURES}, p AS (SELECT day, CASE WHEN a IS NULL OR b IS NULL OR c IS NULL THEN NULL ELSE {r0} END AS g, CASE WHEN a IS NULL OR b IS NULL OR c IS NULL THEN NULL ELSE {r1} END AS l FROM m),
+t AS (SELECT day, g, l, unnest([[0, 0, 0], [0, 1, 1], [1, 1, 1], [2, 0, 1], [3, 0, 1]]) AS x FROM p WHERE g IS NOT NULL)
+SELECT day, x[1]::INT AS k, x[2]::INT AS i, x[3]::INT AS j, round(CASE WHEN x[1] = 0 AND x[2] = 0 THEN 1 WHEN x[1] = 0 THEN sqrt(1 - g) * sqrt(1 - l) WHEN x[1] = 1 THEN sqrt(1 - g) * sqrt(l) WHEN x[1] = 2 THEN sqrt(g) * sqrt(1 - l) ELSE sqrt(g) * sqrt(l) END, 6) + 0.0 AS re FROM t"""
+
+
+@query(_channels_sql())
 def pipeline_channels(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole pipeline with an exchanged stage: sigmoid instead of clipping, down to the channel per snapshot."""
+    """The whole pipeline with an exchanged stage: sigmoid instead of clipping, down to the entries of the channel per snapshot that aren't 0."""
     done = NoisePipeline(_flagship_base(), squash=squash.sigmoid).channels(entries(spark, sf), "day")
-    return done.select("day", "params", "channel_status", "kraus")
+    return channels.kraus_rows(done, "day").where("re <> 0").select("day", "k", "i", "j", r6(F.col("re")).alias("re"))
 
 
-@query()
+_LIST = "CASE json_type({x}) WHEN 'ARRAY' THEN list_filter(json_extract({x}, '$[*]'), lambda y: json_type(y) = 'OBJECT') WHEN 'OBJECT' THEN [{x}] ELSE [] END"
+
+
+def _number_or_null_sql(x: str) -> str:
+    return f"CASE WHEN json_type({x}) IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN try_cast({x}->>'$' AS DOUBLE) END"
+
+
+@query(f"""WITH v AS (SELECT archive_id, CASE WHEN json_valid(target) AND json_type(target) = 'OBJECT' THEN target::JSON END AS t FROM raw_archive),
+o AS (SELECT archive_id, unnest({_LIST.format(x="(t->'operations')")}) AS o FROM v WHERE t IS NOT NULL),
+i AS (SELECT archive_id, o->>'name' AS name, unnest(CASE WHEN len({_LIST.format(x="(o->'instances')")}) > 0 THEN {_LIST.format(x="(o->'instances')")} ELSE [o] END) AS i FROM o)
+SELECT archive_id, name, array_to_string(CAST(json_extract_string(i, '$.qargs[*]') AS VARCHAR[]), ',') AS qargs, {_number_or_null_sql("(i->'duration')")} AS duration, {_number_or_null_sql("(i->'error')")} AS error FROM i""")
 def target_projection(spark: SparkSession, sf: str) -> DataFrame:
-    """Targets of the archive as flat operations with numeric durations and errors."""
-    return table(spark, sf, "raw_archive").select("archive_id", archive.project_target(F.col("target")).alias("target"))
+    """Targets of the archive as flat operations with numeric durations and errors, read back from their JSON."""
+    done = table(spark, sf, "raw_archive").select("archive_id", archive.project_target(F.col("target")).alias("target"))
+    rows = done.select("archive_id", F.from_json("target", "operations array<struct<name:string,qargs:array<int>,duration:double,error:double>>").alias("t")).select("archive_id", F.explode("t.operations").alias("o"))
+    return rows.select("archive_id", F.col("o.name").alias("name"), F.coalesce(F.array_join(F.transform("o.qargs", lambda q: q.cast("string")), ","), F.lit("")).alias("qargs"), F.col("o.duration").alias("duration"), F.col("o.error").alias("error"))
 
 
 # -- channels, circuits ---------------------------------------------------------------------------------------------

@@ -83,12 +83,12 @@ class NoisePipeline:
         rows = self.extract(entries, *keys)
         inputs = [c for c in self.base.inputs if c in rows.columns]
         done = self.evaluate(rows.select(*keys, *inputs), self.base, list(keys), self.method, self.squash)
-        return done.withColumn("params", F.when(F.col("status") == rules.OK, F.array(*[F.col(f"out_{o}") for o in range(self.base.outputs)])))
+        return parsing.hold(done, params=F.when(F.col("status") == rules.OK, F.array(*[F.col(f"out_{o}") for o in range(self.base.outputs)])))
 
     def channels(self, entries: DataFrame, *keys: str) -> DataFrame:
         """Per key the channel of its parameters on a single qubit."""
         rows = self.project(self.parameters(entries, *keys).withColumn("qubits", F.array(F.lit(0))))
-        return rows.withColumn("kraus", self.normalise(F.col("kraus")))
+        return parsing.hold(rows.withColumnRenamed("kraus", "_kraus"), kraus=self.normalise(F.col("_kraus"))).drop("_kraus")
 
     def compare(self, engine: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
         """keys and every metric of the pipeline over two runs' counts."""

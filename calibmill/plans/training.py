@@ -118,8 +118,56 @@ def p6_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_tables, p1_counts, p2_found, p2_entries, p2_t1_seconds, p3_found, p3_lifespans, p3_casts, p3_aliases, p3_entries, p4_found, p4_validity, p5_found, p5_scores, p6_found, p6_filled, p6_dependencies, p6_labels, p6_accuracy)}
 
-_UNKNOWN = ", ".join(f"'{w}'" for w in impute.UNKNOWN_WORDS)
+_UNKNOWN = "'n/a', 'na', 'nan', 'none', 'null', 'unknown', 'unk', '?', '-', 'tbd', 'missing', 'not known'"
+
+
+def _objects(x: str) -> str:
+    """A JSON value as a list: a lone object counts as one of one."""
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN json_extract({x}, '$[*]') WHEN 'OBJECT' THEN [{x}] ELSE [] END"
+
+
+def _unwrapped(part: str) -> str:
+    """d_<part>: (archive_id, d), the complete JSON objects of a column, texts wrapped once or twice more taken out."""
+    step = lambda before, n: f"w{n}_{part} AS (SELECT archive_id, CASE WHEN json_valid(t) THEN CASE WHEN json_type(t) = 'VARCHAR' THEN t::JSON->>'$' ELSE t END END AS t FROM {before})"
+    return f"w0_{part} AS (SELECT archive_id, {part} AS t FROM raw_archive), {step(f'w0_{part}', 1)}, {step(f'w1_{part}', 2)}, d_{part} AS MATERIALIZED (SELECT archive_id, t::JSON AS d FROM w2_{part} WHERE json_valid(t) AND json_type(t) = 'OBJECT')"
+
+
+def _each(source: str, lists: str, keep: str = "") -> str:
+    """Rows of ``source`` once per element of a list, with the element ``v`` and its position ``pos``."""
+    return f"SELECT archive_id{keep}, unnest(l) AS v, unnest(range(len(l)))::INT AS pos FROM (SELECT archive_id{keep}, {lists} AS l FROM {source})"
+
+
+_CHILDREN = f"""WITH {_unwrapped("properties")}, {_unwrapped("target")},
+q AS ({_each("d_properties", _objects("(d->'qubits')"))}),
+e AS (SELECT archive_id, 'entry' AS child, parent_pos, pos, v FROM ({_each("(SELECT archive_id, pos AS parent_pos, v FROM q)", _objects("v"), ", parent_pos")})),
+k AS (SELECT archive_id, key, value FROM d_properties, json_each(d) j),
+g AS (SELECT archive_id, 'gate' AS child, -1 AS parent_pos, pos, v FROM ({_each("(SELECT * FROM k WHERE key <> 'qubits' AND list_bool_or(list_transform(" + _objects("value") + ", lambda x: json_exists(x, '$.gate'))))", _objects("value"))})),
+p AS (SELECT archive_id, 'gate_parameter' AS child, parent_pos, pos, v FROM ({_each("(SELECT archive_id, pos AS parent_pos, v FROM g WHERE json_type(v) = 'OBJECT')", _objects("(v->'parameters')"), ", parent_pos")})),
+n AS (SELECT archive_id, 'general' AS child, -1 AS parent_pos, pos, v FROM ({_each("d_properties", _objects("(d->'general')"))})),
+o AS (SELECT archive_id, 'operation' AS child, -1 AS parent_pos, pos, v FROM ({_each("d_target", _objects("(d->'operations')"))})),
+i AS (SELECT archive_id, 'instance' AS child, parent_pos, pos, v FROM ({_each("(SELECT archive_id, pos AS parent_pos, v FROM o WHERE json_type(v) = 'OBJECT')", _objects("(v->'instances')"), ", parent_pos")})),
+c AS (SELECT archive_id, child, parent_pos::INT AS parent_pos, pos, v FROM (SELECT * FROM e UNION ALL SELECT * FROM g UNION ALL SELECT * FROM p UNION ALL SELECT * FROM n UNION ALL SELECT * FROM o UNION ALL SELECT * FROM i) WHERE json_type(v) = 'OBJECT')"""
+
+#: Faulty cells by their definition: T1 in the unit nearest to its backend's level, spikes beyond ten scatters.
+_FAULTS = """WITH f AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id, qubit ORDER BY row_id) AS rn, median(CASE WHEN t1_seconds > 0 AND isfinite(t1_seconds) THEN log10(t1_seconds) END) OVER (PARTITION BY backend) AS usual FROM qubit_calibration),
+s AS (SELECT row_id, snapshot_id, backend, campaign, qubit, ts, t2_seconds, prob_meas0_prep1, CASE WHEN t1_seconds > 0 AND isfinite(t1_seconds) THEN t1_seconds / power(1000, least(greatest(round((log10(t1_seconds) - usual) / 3), 0), 3)) ELSE t1_seconds END AS t1_seconds FROM f WHERE rn = 1),
+c AS (SELECT row_id, snapshot_id, backend, campaign, qubit, ts, unnest([{'field': 't1_seconds', 'v': t1_seconds}, {'field': 't2_seconds', 'v': t2_seconds}, {'field': 'prob_meas0_prep1', 'v': prob_meas0_prep1}]) AS x, t1_seconds, t2_seconds FROM s),
+v AS (SELECT row_id, snapshot_id, backend, campaign, qubit, ts, x.field AS field, x.v AS v, NOT isfinite(x.v) OR CASE WHEN x.field LIKE 'prob%' THEN x.v < 0 OR x.v > 1 ELSE x.v <= 0 END AS bad, x.field = 't2_seconds' AND t2_seconds > 2 * t1_seconds AS over FROM c WHERE x.v IS NOT NULL AND NOT isnan(x.v)),
+m AS (SELECT field, backend, campaign, qubit, quantile_disc(v, 0.5) AS mid, (quantile_disc(v, 0.75) - quantile_disc(v, 0.25)) / 1.349 / nullif(quantile_disc(v, 0.5), 0) AS spread FROM v WHERE NOT bad GROUP BY ALL),
+u AS (SELECT field, backend, quantile_disc(spread, 0.5) AS scatter FROM v JOIN m USING (field, backend, campaign, qubit) WHERE NOT bad AND spread > 0 GROUP BY ALL),
+o AS (SELECT *, row_number() OVER w AS i, CASE WHEN lag(v) OVER w = v THEN 0 ELSE 1 END AS starts FROM v WINDOW w AS (PARTITION BY field, backend, campaign, qubit ORDER BY ts, snapshot_id, row_id)),
+r AS (SELECT *, sum(starts) OVER (PARTITION BY field, backend, campaign, qubit ORDER BY i) AS island FROM o),
+z AS (SELECT r.*, count(*) OVER (PARTITION BY field, backend, campaign, qubit, island) AS run FROM r),
+t AS (SELECT row_id, field, over, bad OR run >= 6 OR coalesce(abs(v / nullif(mid, 0) - 1) > 10 * scatter, false) AS faulty FROM z LEFT JOIN m USING (field, backend, campaign, qubit) LEFT JOIN u USING (field, backend))
+SELECT row_id, field FROM t WHERE faulty OR (coalesce(over, false) AND row_id NOT IN (SELECT row_id FROM t WHERE faulty AND field = 't1_seconds'))"""
+
 ORACLES = {
+    "p1_found": f"{_CHILDREN} SELECT archive_id, child, parent_pos, pos FROM c",
+    "p1_counts": f"{_CHILDREN} SELECT archive_id, child, count(*) AS n FROM c GROUP BY ALL",
+    "p5_found": _FAULTS,
+    "p6_labels": f"""WITH m AS (SELECT backend, qubit, trim(readout_line, ' ') AS label, count(*) AS n FROM qubit_calibration WHERE readout_line IS NOT NULL GROUP BY ALL),
+t AS (SELECT *, n = max(n) OVER (PARTITION BY backend, qubit) AS top FROM m)
+SELECT label, CAST(sum(n) AS BIGINT) AS n, count(*) AS qubits, count(*) FILTER (WHERE top) AS commonest_on, NOT regexp_matches(label, '[\\p{{L}}\\p{{N}}]') OR lower(label) IN ({_UNKNOWN}) AS counts_as_missing FROM t GROUP BY label""",
     "p6_found": f"""
 WITH m AS (SELECT row_id,
   t1_seconds IS NULL OR isnan(t1_seconds) AS a, t2_seconds IS NULL OR isnan(t2_seconds) AS b,
