@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calibmill.functions import lexicon
 from calibmill.operators import drift, entries, impute, shred, snapdiff, spikes, units
 from calibmill.session import stage, table
 
@@ -78,7 +79,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 def p4_validity(spark: SparkSession, sf: str) -> DataFrame:
     """Validity intervals of every record."""
     records = snapdiff.archive_records(_parsed(spark, sf), table(spark, sf, "backends"))
-    return snapdiff.validity(records, ["backend", "campaign", "qubit", "field"])
+    return snapdiff.validity(records, ["backend", "campaign", "qubit", "field"]).withColumn("number", F.round("number", 6))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,7 +162,84 @@ z AS (SELECT r.*, count(*) OVER (PARTITION BY field, backend, campaign, qubit, i
 t AS (SELECT row_id, field, over, bad OR run >= 6 OR coalesce(abs(v / nullif(mid, 0) - 1) > 10 * scatter, false) AS faulty FROM z LEFT JOIN m USING (field, backend, campaign, qubit) LEFT JOIN u USING (field, backend))
 SELECT row_id, field FROM t WHERE faulty OR (coalesce(over, false) AND row_id NOT IN (SELECT row_id FROM t WHERE faulty AND field = 't1_seconds'))"""
 
+def _case(x: str, table: dict[str, str], other: str) -> str:
+    return f"CASE {x} " + " ".join("WHEN '{}' THEN '{}'".format(k.replace("'", "''"), v) for k, v in table.items()) + f" ELSE {other} END"
+
+
+_KIND = "CASE {t} WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL ELSE 'number' END"
+
+#: Files in their sequences (s: archive_id, source, campaign, idx, last_idx) and entries with what they call name, value and unit (n).
+_ARCHIVE = f"""WITH {_unwrapped("properties")},
+f AS (SELECT r.archive_id, r.campaign, r.ts, w.t IS NOT NULL AND json_valid(w.t) AS readable,
+  coalesce(nullif(trim(r.backend), ''), nullif(trim(d.d->>'backend_name'), ''), nullif(CASE WHEN w.t IS NULL THEN regexp_extract(r.properties, '"backend_name\\\\*":\\s*\\\\*"([^"\\\\]+)', 1) END, ''), nullif(trim(regexp_extract(r.file_name, '^([^/]+)/', 1)), '')) AS source
+  FROM raw_archive r JOIN w2_properties w ON w.archive_id = r.archive_id LEFT JOIN d_properties d ON d.archive_id = r.archive_id),
+m AS (SELECT source, ts, arg_min({{'archive_id': archive_id, 'campaign': campaign, 'readable': readable}}, archive_id) AS f FROM f WHERE source IS NOT NULL AND ts IS NOT NULL GROUP BY source, ts),
+s AS MATERIALIZED (SELECT f.archive_id AS archive_id, source, f.campaign AS campaign, row_number() OVER (PARTITION BY source, f.campaign ORDER BY ts) - 1 AS idx, count(*) OVER (PARTITION BY source, f.campaign) - 1 AS last_idx FROM m WHERE f.readable),
+q AS ({_each("d_properties", _objects("(d->'qubits')"))}),
+e AS MATERIALIZED (SELECT archive_id, qubit, pos, v FROM ({_each("(SELECT archive_id, pos AS qubit, v FROM q)", _objects("v"), ", qubit")}) WHERE json_type(v) = 'OBJECT'),
+n AS MATERIALIZED (SELECT archive_id, qubit, pos, coalesce({", ".join(f"v->>'{k}'" for k in lexicon.ENTRY_KEY_ALIASES["name"])}) AS name, coalesce({", ".join(f"v->'{k}'" for k in lexicon.ENTRY_KEY_ALIASES["value"])}) AS value, coalesce({", ".join(f"v->>'{k}'" for k in lexicon.ENTRY_KEY_ALIASES["unit"])}) AS unit FROM e)"""
+
+#: Layouts: every path of every file of a sequence with its commonest type (p), and what changes between neighbours (x).
+_LAYOUTS = f"""{_ARCHIVE},
+a AS (SELECT archive_id, 'properties' AS space, key, json_type(value) AS t FROM d_properties, json_each(d) j UNION ALL SELECT archive_id, 'entry', key, json_type(value) FROM e, json_each(v) j UNION ALL SELECT archive_id, 'name', name, json_type(value) FROM n WHERE name IS NOT NULL),
+c AS (SELECT archive_id, space, space || '.' || key AS path, key, {_KIND.format(t="t")} AS kind, count(*) AS k FROM a GROUP BY ALL),
+p AS MATERIALIZED (SELECT s.source AS backend, s.campaign, s.idx, s.last_idx, c.space, c.path,
+  CASE c.space WHEN 'properties' THEN {_case("key", lexicon.TOP_KEYS, "key")} WHEN 'entry' THEN {_case("key", lexicon.ENTRY_KEYS, "key")} ELSE {_case("key", lexicon.NAMES, "key")} END AS common,
+  arg_min(kind, {{'n': -k, 'kind': kind}}) FILTER (WHERE kind IS NOT NULL) AS json_type FROM c JOIN s ON s.archive_id = c.archive_id GROUP BY ALL),
+w AS (SELECT *, lag(idx) OVER o AS before, lag(json_type) OVER o AS type_before, lead(idx) OVER o AS after FROM p WINDOW o AS (PARTITION BY backend, campaign, path ORDER BY idx)),
+b AS (SELECT backend, campaign, space, path, common, json_type, idx, 'start' AS event FROM w WHERE idx > 0 AND before IS DISTINCT FROM idx - 1 UNION ALL SELECT backend, campaign, space, path, common, json_type, idx + 1, 'end' FROM w WHERE idx < last_idx AND after IS DISTINCT FROM idx + 1),
+g AS (SELECT *, row_number() OVER (PARTITION BY backend, campaign, idx, space, common, event ORDER BY path) AS place FROM b),
+x AS (SELECT coalesce(o.backend, n.backend) AS backend, coalesce(o.campaign, n.campaign) AS campaign, coalesce(o.idx, n.idx) AS idx, coalesce(o.path, '') AS old_path, coalesce(n.path, '') AS new_path,
+  CASE WHEN n.path IS NULL THEN 'removed' WHEN o.path IS NULL THEN 'added' ELSE 'renamed' END AS change_kind, o.space <> 'name' AND o.json_type <> n.json_type AS retyped
+  FROM (SELECT * FROM g WHERE event = 'end') o FULL JOIN (SELECT * FROM g WHERE event = 'start') n USING (backend, campaign, idx, space, common, place))"""
+
+_NUMBER = r"^\s*([+-]?(?:\d[\d_]*(?:[.,]\d*)?|[.,]\d+)(?:[eE][+-]?\d+)?|[+-]?(?:[nN][aA][nN]|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?))\s*((?s).*?)\s*$"
+_UNIT = {s: u for u, spellings in lexicon.UNIT_SPELLINGS.items() for s in spellings}
+_FIELD = {"".join(x for x in k.lower() if x.isalnum()): v for k, v in lexicon.NAMES.items()}
+_FACTOR = {f"{f}|{u}": m for f, table in lexicon.FIELD_UNITS.items() for u, m in table.items() if m is not None}
+
+
+def _unit_sql(x: str) -> str:
+    return _case(f"rtrim(lower(trim(replace({x}, 'µ', 'μ'))), '.')", _UNIT, "NULL")
+
+
+#: The last entry of every field with its state and its number in common units (y). A number without a unit is taken to be in the unit that
+#: brings it nearest to the level of its backend's stated ones.
+_VALUES = f"""{_ARCHIVE},
+l AS (SELECT *, row_number() OVER (PARTITION BY archive_id, qubit, field ORDER BY pos DESC) AS back FROM (SELECT *, {_case("regexp_replace(lower(name), '[^a-z0-9]', '', 'g')", _FIELD, "NULL")} AS field FROM n) WHERE field IS NOT NULL),
+t AS (SELECT archive_id, qubit, field, unit AS beside, coalesce(json_type(value), 'NULL') AS kind, value->>'$' AS text FROM l WHERE back = 1),
+k AS (SELECT *, CASE WHEN kind = 'VARCHAR' THEN regexp_extract(text, '{_NUMBER}', 1) WHEN kind IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN text END AS digits, CASE WHEN kind = 'VARCHAR' THEN nullif(regexp_extract(text, '{_NUMBER}', 2), '') END AS tail FROM t),
+z AS (SELECT *, try_cast(replace(replace(lower(digits), ',', '.'), '_', '') AS DOUBLE) AS number, coalesce({_unit_sql("tail")}, {_unit_sql("beside")}) AS stated FROM k),
+u AS (SELECT z.archive_id, qubit, field, CASE WHEN kind = 'NULL' OR kind = 'VARCHAR' AND trim(text) = '' THEN 'null' WHEN number IS NULL THEN 'other' WHEN isnan(number) THEN 'nan' ELSE 'number' END AS state, number, stated, f.source, h.dt AS clock
+  FROM z JOIN f ON f.archive_id = z.archive_id LEFT JOIN (SELECT archive_id, CASE WHEN json_valid(configuration) AND json_type(configuration) = 'OBJECT' THEN CAST(configuration::JSON->>'dt' AS DOUBLE) * 1e9 END AS dt FROM raw_archive) h ON h.archive_id = z.archive_id),
+o AS (SELECT source, max(clock) AS clock FROM u GROUP BY source),
+v AS (SELECT u.* EXCLUDE (clock), coalesce(u.clock, o.clock, b.dt_ns) AS clock, map_from_entries([{", ".join(f"({chr(39)}{k}{chr(39)}, {m!r}::DOUBLE)" for k, m in _FACTOR.items())}]) AS factors FROM u LEFT JOIN o ON o.source = u.source LEFT JOIN backends b ON b.backend = u.source),
+r AS (SELECT source, field, median(log10(abs(number) * CASE stated WHEN 'dt' THEN clock ELSE factors[field || '|' || stated] END)) AS level FROM v WHERE state = 'number' AND abs(number) > 0 AND isfinite(number) AND stated IS NOT NULL GROUP BY ALL),
+i AS (SELECT v.*, coalesce(r.level, {_case("v.field", {f: str(m) for f, (m, _) in lexicon.FIELD_PRIOR.items()}, "NULL")}::DOUBLE) AS level FROM v LEFT JOIN r ON r.source = v.source AND r.field = v.field),
+y AS MATERIALIZED (SELECT archive_id, source, qubit, field, state, number, CASE WHEN factors[field || '|' || stated] IS NOT NULL OR stated = 'dt' AND field = 'readout_length' THEN stated
+  ELSE list_sort(list_transform(list_filter(map_keys(factors), lambda w: starts_with(w, field || '|')), lambda w: {{'off': abs(coalesce(log10(nullif(abs(number), 0)), level) + log10(factors[w]) - level), 'unit': split_part(w, '|', 2)}}))[1].unit END AS used, clock, factors FROM i)"""
+_COMMON_UNIT = _case("field", {f: next(iter(t)) for f, t in lexicon.FIELD_UNITS.items()}, "NULL")
+
+#: Records of files in sequences with their neighbours in time (w).
+_RECORDS = f"""{_VALUES},
+j AS (SELECT s.source AS backend, s.campaign, s.idx, s.last_idx, y.qubit, y.field, y.state, CASE WHEN y.state = 'number' THEN y.number * CASE used WHEN 'dt' THEN clock ELSE factors[y.field || '|' || used] END END AS number FROM y JOIN s ON s.archive_id = y.archive_id),
+w AS (SELECT *, lag(idx) OVER o AS before, lag(state) OVER o AS state_before, lag(number) OVER o AS number_before, lead(idx) OVER o AS after FROM j WINDOW o AS (PARTITION BY backend, campaign, qubit, field ORDER BY idx)),
+x AS (SELECT *, before IS NOT DISTINCT FROM idx - 1 AS adjacent, state <> state_before OR coalesce(state = 'number' AND abs(number - number_before) > 1e-5 * greatest(abs(number), abs(number_before)), false) AS differs FROM w)"""
+
 ORACLES = {
+    "p2_found": f"""{_VALUES}, h AS (SELECT row_id, qubit, t1_seconds AS x, median(CASE WHEN t1_seconds > 0 AND isfinite(t1_seconds) THEN log10(t1_seconds) END) OVER (PARTITION BY backend) AS usual FROM qubit_calibration)
+SELECT 'properties' AS origin, archive_id AS rec_id, qubit, field FROM y WHERE state = 'number' AND used <> {_COMMON_UNIT}
+UNION ALL SELECT 'qubit_calibration', row_id, qubit, 't1_seconds' FROM h WHERE abs(x) > 0 AND isfinite(x) AND round((log10(abs(x)) - usual) / 3) BETWEEN 1 AND 3""",
+    "p3_found": f"""{_LAYOUTS}, z AS (SELECT backend, campaign, idx, old_path, new_path, change_kind FROM x UNION ALL SELECT backend, campaign, idx, old_path, new_path, 'retyped' FROM x WHERE change_kind = 'renamed' AND retyped
+  UNION ALL SELECT backend, campaign, idx, path, path, 'retyped' FROM w WHERE before = idx - 1 AND space <> 'name' AND json_type <> type_before)
+SELECT s.archive_id, old_path, new_path, change_kind FROM z JOIN s ON s.source = z.backend AND s.campaign IS NOT DISTINCT FROM z.campaign AND s.idx = z.idx""",
+    "p3_lifespans": f"""{_LAYOUTS}, i AS (SELECT *, sum(CASE WHEN before = idx - 1 AND json_type IS NOT DISTINCT FROM type_before THEN 0 ELSE 1 END) OVER (PARTITION BY backend, campaign, path ORDER BY idx) AS island FROM w)
+SELECT backend, campaign, space, path, CAST(island AS BIGINT) AS island, any_value(json_type) AS json_type, CAST(min(idx) AS INT) AS from_idx, CAST(max(idx) AS INT) AS to_idx, count(*) AS files FROM i GROUP BY backend, campaign, space, path, island""",
+    "p4_found": f"""{_RECORDS}, found AS (SELECT backend, campaign, idx, qubit, field, CASE WHEN adjacent THEN 'changed' ELSE 'added' END AS change_kind FROM x WHERE idx > 0 AND (NOT adjacent OR differs)
+  UNION ALL SELECT backend, campaign, idx + 1, qubit, field, 'removed' FROM x WHERE idx < last_idx AND after IS DISTINCT FROM idx + 1)
+SELECT s.archive_id, qubit, field, change_kind FROM found z JOIN s ON s.source = z.backend AND s.campaign IS NOT DISTINCT FROM z.campaign AND s.idx = z.idx""",
+    "p4_validity": f"""{_RECORDS}, spans AS (SELECT *, sum(CASE WHEN adjacent AND NOT differs THEN 0 ELSE 1 END) OVER (PARTITION BY backend, campaign, qubit, field ORDER BY idx) AS island FROM x)
+SELECT backend, campaign, qubit, field, CAST(island AS BIGINT) AS island, CAST(min(idx) AS INT) AS from_idx, CAST(max(idx) AS INT) AS to_idx, arg_min(state, idx) AS state, round(arg_min_null(number, idx), 6) AS number, CAST(max(last_idx) AS INT) AS last_idx FROM spans GROUP BY backend, campaign, qubit, field, island""",
     "p1_found": f"{_CHILDREN} SELECT archive_id, child, parent_pos, pos FROM c",
     "p1_counts": f"{_CHILDREN} SELECT archive_id, child, count(*) AS n FROM c GROUP BY ALL",
     "p5_found": _FAULTS,
