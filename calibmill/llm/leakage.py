@@ -43,6 +43,12 @@ _HAS_UNSPACED = re.compile(f"[{_UNSPACED}]")
 LOOKALIKES = str.maketrans("авекмнорстухіјѕԁԛԝɡıøłđαοντρυχικß", "abekmhopctyxijsdqwgioldaovtpuxikẞ")
 
 
+_LOOKALIKE = re.compile("[" + "".join(map(chr, LOOKALIKES)) + "]")
+# Whether each ASCII character is a letter or digit, and whether it is white space.
+_LETTER = np.array([chr(i).isalnum() for i in range(128)])
+_SPACE = np.array([chr(i).isspace() for i in range(128)])
+
+
 def _plain(text: str) -> str:
     """A text with its letters and digits in their plainest form, and whatever is between them."""
     if "<" in text or "](" in text or "://" in text:
@@ -51,8 +57,8 @@ def _plain(text: str) -> str:
         text = html.unescape(text)
     if text.isascii():
         return text.lower()
-    text = unicodedata.normalize("NFKD", text).casefold()
-    return unicodedata.normalize("NFKD", text).translate(LOOKALIKES)
+    text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text).casefold())
+    return text.translate(LOOKALIKES) if _LOOKALIKE.search(text) else text
 
 
 def reduce_text(text: str) -> str:
@@ -67,8 +73,14 @@ def cut_words(text: str) -> list[str]:
 
 def word_bounds(text: str) -> list[int]:
     """The offsets in a text's reduced bytes where its words start, and the end."""
+    plain = _plain(text)
+    if plain.isascii():
+        codes = np.frombuffer(plain.encode(), dtype=np.uint8)
+        before = np.concatenate([[0], np.cumsum(_LETTER[codes])])
+        spaces = np.flatnonzero(_SPACE[codes])
+        return np.unique(np.concatenate([[0], before[spaces + 1], before[-1:]])).tolist()
     out, at = [], 0
-    for word in cut_words(_plain(text)):
+    for word in cut_words(plain):
         n = len(_OTHER.sub("", word).replace("ẞ", "ss").encode())
         if n:
             out.append(at)
