@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from typing import Any
 
 import numpy as np
@@ -263,8 +263,13 @@ _STEP = re.compile(r"(?:[^\\.\[]|\\.)*", re.S)
 
 
 def _leaf_place(path: str, part: str, nested: bool) -> tuple[str, str, str, bool] | None:
-    """(child, its path, path below it, whether objects are left to a deeper child) of a path below a child."""
+    """(child, its path, path below it, whether objects are left to a deeper child) of a path below a child.
+
+    What lies below no child and isn't the way to one belongs to the text itself, a child of the part's name without a position.
+    """
     place = None
+    if path and not any(of == part and (path + "[").startswith(ancestor + "[") or of == part and ancestor.startswith((path + "[", path + ".")) for of, ancestor in CHILDREN.values()):
+        place = part, "", path, False
     for child, (of, ancestor) in CHILDREN.items():
         if of == part and path.startswith(ancestor + ".") and (place is None or len(ancestor) > len(place[1])):
             place = child, ancestor, path[len(ancestor) + 1 :], (part, path) in CHILDREN.values()
@@ -288,8 +293,8 @@ def _leaves(batches: Iterator[pa.RecordBatch], nested: bool) -> Iterator[pa.Reco
             values, _ = _lists(rows.column("values"))
             reps, types = reps.to_numpy(zero_copy_only=False), types.to_numpy(zero_copy_only=False)
             depth = ancestor.count("[]")
-            pos, owner = positions(reps, depth), np.repeat(keys[mine], n)
-            parent = positions(reps, 1) if depth == 2 else np.full(len(pos), -1)
+            owner, none = np.repeat(keys[mine], n), np.full(len(reps), -1)
+            pos, parent = positions(reps, depth) if depth else none, positions(reps, 1) if depth == 2 else none
             there = np.flatnonzero((types != ABSENT) & (types != OBJECT) if deeper else types != ABSENT)
             lists = range(depth + 1, path.count("[]") + 1)
             items = np.stack([positions(reps, level)[there] for level in lists], 1).ravel() if lists else np.empty(0)
@@ -303,11 +308,45 @@ def leaf_tables(levels: DataFrame, nested: bool = False) -> DataFrame:
 
     ``value`` holds strings as they are, numbers and booleans as JSON, objects and lists as null. ``nested`` adds a row for
     each element of these lists and key of these objects, at any depth: ``below`` is its path below ``key`` and ``item_pos`` its
-    position in each list on that path. Objects that are children themselves have their keys in their own table only.
+    position in each list on that path. Objects that are children themselves have their keys in their own table only. Keys of the
+    text itself are those of a child ``properties`` or ``target`` at position -1.
     """
     return levels.mapInArrow(partial(_leaves, nested=nested), LEAF_DDL)
 
 
+#: Columns of the flat tables: those of keys that hold one value, and those of keys that hold a list.
+TABLES: dict[str, tuple[dict[str, str], dict[str, str]]] = {
+    "entry": ({"name": "string", "value": "string", "unit": "string", "date": "string"}, {"flags": "string"}),
+    "gate": ({"gate": "string", "name": "string"}, {"qubits": "int"}),
+    "gate_parameter": ({"name": "string", "value": "double", "unit": "string", "date": "string"}, {}),
+    "general": ({"name": "string", "value": "double", "unit": "string", "date": "string"}, {}),
+    "operation": ({"name": "string"}, {"qargs": "int"}),
+    "instance": ({"duration": "double", "error": "double"}, {"qargs": "int"}),
+}
+
+
+def flat_table(leaves: DataFrame, child: str) -> DataFrame:
+    """The flat table of one child: archive_id, parent_pos, pos, a column per key of ``TABLES``, and ``more``, the JSON texts of its other keys.
+
+    leaves: ``leaf_tables`` with ``nested``. Lists are arrays in the order of their elements, null elements included; a text in a number's
+    column is NULL there and kept in ``more``. Rows that repeat an archive_id merge.
+    """
+    scalars, lists = TABLES[child]
+    rows = leaves.where(F.col("child") == child)
+    columns = []
+    for key, kind in scalars.items():
+        mine = (F.col("key") == key) & (F.col("below") == "")
+        columns.append(F.max(F.when(mine, F.col("value").try_cast(kind))).alias(key))
+    for key, kind in lists.items():
+        item = (F.col("key") == key) & (F.col("below") == "[]")
+        found = F.sort_array(F.collect_set(F.when(item, F.struct("item_pos", F.col("value").try_cast(kind).alias("v")))))  # one child's list
+        held = F.bool_or((F.col("key") == key) & (F.col("below") == "") & (F.col("json_type") == "array"))
+        columns.append(F.when(held, F.transform(found, lambda x: x["v"])).alias(key))
+    lost = (F.col("below") == "") & F.col("value").isNotNull() & (~F.col("key").isin(*scalars) | F.coalesce(reduce(lambda a, b: a | b, [(F.col("key") == k) & F.col("value").try_cast(kind).isNull() for k, kind in scalars.items()]), F.lit(False)))
+    more = F.map_from_entries(F.sort_array(F.collect_set(F.when(lost, F.struct("key", "value"))))).alias("more")
+    return rows.groupBy("archive_id", "parent_pos", "pos").agg(*columns, more)
+
+
 def found_children(archive: DataFrame) -> DataFrame:
     """Every child object of every readable text, with its file, parent and position.
 

@@ -21,6 +21,22 @@ def p1_tables(spark: SparkSession, sf: str) -> DataFrame:
     return shred.leaf_tables(shred.shred_levels(table(spark, sf, "raw_archive")), nested=True)
 
 
+def _leaves(spark: SparkSession, sf: str, part: str) -> DataFrame:
+    return shred.leaf_tables(shred.shred_levels(table(spark, sf, "raw_archive"), {part: None}), nested=True)
+
+
+def p1_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """The flat table of gates, with the qubits each acts on."""
+    rows = shred.flat_table(_leaves(spark, sf, "properties"), "gate")
+    return rows.select("archive_id", "pos", "gate", "name", F.array_join(F.transform("qubits", lambda q: q.cast("string")), ",", "null").alias("qubits"))
+
+
+def p1_instances(spark: SparkSession, sf: str) -> DataFrame:
+    """The flat table of instances, with their operation's position and the qubits each acts on."""
+    rows = shred.flat_table(_leaves(spark, sf, "target"), "instance")
+    return rows.select("archive_id", "parent_pos", "pos", "duration", "error", F.array_join(F.transform("qargs", lambda q: q.cast("string")), ",", "null").alias("qargs"))
+
+
 def p1_counts(spark: SparkSession, sf: str) -> DataFrame:
     return shred.child_counts(p1_found(spark, sf))
 
@@ -39,6 +55,17 @@ def p2_entries(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("archive_id", "source", "qubit", "field", "state", "number", "unit", "unit_used", "unit_from", "posterior", "uncertain", "common")
 
 
+def p2_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Every entry's unit and its value in the common unit."""
+    done = units.convert_entries(_parsed(spark, sf), table(spark, sf, "backends"))
+    return done.select("archive_id", "qubit", "field", "state", F.when(F.col("state") == entries.IS_NUMBER, F.col("unit_used")).alias("unit"), F.round(F.when(F.col("state") == entries.IS_NUMBER, F.col("common")), 6).alias("common"))
+
+
+def p2_t1_units(spark: SparkSession, sf: str) -> DataFrame:
+    """The unit each t1_seconds is in, and its seconds (in billionths of one)."""
+    return units.t1_in_seconds(table(spark, sf, "qubit_calibration").select("row_id", "backend", "t1_seconds", "note")).select("row_id", "t1_unit", F.round(F.col("t1_common") * 1e9, 3).alias("t1_ns"))
+
+
 def p2_t1_seconds(spark: SparkSession, sf: str) -> DataFrame:
     """t1_seconds in seconds, with the unit each number was in."""
     return units.t1_in_seconds(table(spark, sf, "qubit_calibration").select("row_id", "backend", "t1_seconds", "note")).select("row_id", "t1_unit", F.col("t1_common").alias("t1_seconds"), "t1_posterior", "t1_uncertain")
@@ -117,7 +144,7 @@ def p6_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return impute.accuracy(table(spark, sf, "qubit_calibration"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_tables, p1_counts, p2_found, p2_entries, p2_t1_seconds, p3_found, p3_lifespans, p3_casts, p3_aliases, p3_entries, p4_found, p4_validity, p5_found, p5_scores, p6_found, p6_filled, p6_dependencies, p6_labels, p6_accuracy)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_tables, p1_gates, p1_instances, p1_counts, p2_found, p2_entries, p2_values, p2_t1_units, p2_t1_seconds, p3_found, p3_lifespans, p3_casts, p3_aliases, p3_entries, p4_found, p4_validity, p5_found, p5_scores, p6_found, p6_filled, p6_dependencies, p6_labels, p6_accuracy)}
 
 _UNKNOWN = "'n/a', 'na', 'nan', 'none', 'null', 'unknown', 'unk', '?', '-', 'tbd', 'missing', 'not known'"
 
@@ -227,6 +254,10 @@ w AS (SELECT *, lag(idx) OVER o AS before, lag(state) OVER o AS state_before, la
 x AS (SELECT *, before IS NOT DISTINCT FROM idx - 1 AS adjacent, state <> state_before OR coalesce(state = 'number' AND abs(number - number_before) > 1e-5 * greatest(abs(number), abs(number_before)), false) AS differs FROM w)"""
 
 ORACLES = {
+    "p2_values": f"""{_VALUES} SELECT archive_id, qubit, field, state, CASE WHEN state = 'number' THEN used END AS unit, round(CASE WHEN state = 'number' THEN number * CASE used WHEN 'dt' THEN clock ELSE factors[field || '|' || used] END END, 6) AS common FROM y""",
+    "p2_t1_units": """WITH h AS (SELECT row_id, t1_seconds AS x, median(CASE WHEN t1_seconds > 0 AND isfinite(t1_seconds) THEN log10(t1_seconds) END) OVER (PARTITION BY backend) AS usual FROM qubit_calibration),
+u AS (SELECT row_id, x, CASE WHEN abs(x) > 0 AND isfinite(x) THEN least(greatest(round((log10(abs(x)) - usual) / 3), 0), 3)::INT ELSE 0 END AS k FROM h)
+SELECT row_id, ['s', 'ms', 'us', 'ns'][k + 1] AS t1_unit, round(CASE k WHEN 0 THEN x ELSE round(x * [1, 1e-3, 1e-6, 1e-9][k + 1]::DOUBLE, 15) END * 1e9, 3) AS t1_ns FROM u""",
     "p2_found": f"""{_VALUES}, h AS (SELECT row_id, qubit, t1_seconds AS x, median(CASE WHEN t1_seconds > 0 AND isfinite(t1_seconds) THEN log10(t1_seconds) END) OVER (PARTITION BY backend) AS usual FROM qubit_calibration)
 SELECT 'properties' AS origin, archive_id AS rec_id, qubit, field FROM y WHERE state = 'number' AND used <> {_COMMON_UNIT}
 UNION ALL SELECT 'qubit_calibration', row_id, qubit, 't1_seconds' FROM h WHERE abs(x) > 0 AND isfinite(x) AND round((log10(abs(x)) - usual) / 3) BETWEEN 1 AND 3""",
@@ -241,6 +272,8 @@ SELECT s.archive_id, qubit, field, change_kind FROM found z JOIN s ON s.source =
     "p4_validity": f"""{_RECORDS}, spans AS (SELECT *, sum(CASE WHEN adjacent AND NOT differs THEN 0 ELSE 1 END) OVER (PARTITION BY backend, campaign, qubit, field ORDER BY idx) AS island FROM x)
 SELECT backend, campaign, qubit, field, CAST(island AS BIGINT) AS island, CAST(min(idx) AS INT) AS from_idx, CAST(max(idx) AS INT) AS to_idx, arg_min(state, idx) AS state, round(arg_min_null(number, idx), 6) AS number, CAST(max(last_idx) AS INT) AS last_idx FROM spans GROUP BY backend, campaign, qubit, field, island""",
     "p1_found": f"{_CHILDREN} SELECT archive_id, child, parent_pos, pos FROM c",
+    "p1_gates": f"{_CHILDREN} SELECT archive_id, pos, v->>'gate' AS gate, v->>'name' AS name, CASE WHEN json_type(v->'qubits') = 'ARRAY' THEN array_to_string(json_extract(v, '$.qubits[*]')::VARCHAR[], ',') END AS qubits FROM c WHERE child = 'gate'",
+    "p1_instances": f"{_CHILDREN} SELECT archive_id, parent_pos, pos, try_cast(v->>'duration' AS DOUBLE) AS duration, try_cast(v->>'error' AS DOUBLE) AS error, CASE WHEN json_type(v->'qargs') = 'ARRAY' THEN array_to_string(json_extract(v, '$.qargs[*]')::VARCHAR[], ',') END AS qargs FROM c WHERE child = 'instance'",
     "p1_counts": f"{_CHILDREN} SELECT archive_id, child, count(*) AS n FROM c GROUP BY ALL",
     "p5_found": _FAULTS,
     "p6_labels": f"""WITH m AS (SELECT backend, qubit, trim(readout_line, ' ') AS label, count(*) AS n FROM qubit_calibration WHERE readout_line IS NOT NULL GROUP BY ALL),

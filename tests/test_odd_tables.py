@@ -24,7 +24,7 @@ def test_query(spark, sf, odd, name):
     if how == "empty":
         assert not got or name in ("p6_dependencies", "p3_aliases")
     elif how == "nulls":
-        expected = {"p6_found": 12, "p6_filled": 3, "p2_t1_seconds": 3, "p6_dependencies": 19, "p3_aliases": len(list(fixed_aliases()))}
+        expected = {"p6_found": 12, "p6_filled": 3, "p2_t1_seconds": 3, "p2_t1_units": 3, "p6_dependencies": 19, "p3_aliases": len(list(fixed_aliases()))}
         assert len(got) == expected.get(name, 0)
     elif name in ("p1_found", "p2_found", "p6_found"):
         assert len(got) == 2 * training.QUERIES[name](spark, sf).count()
