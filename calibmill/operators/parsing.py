@@ -133,19 +133,20 @@ def parse_qubits(snapshots: DataFrame) -> DataFrame:
     last = {name: F.try_element_at(F.filter("_entries", lambda e: e["name"] == name), F.lit(-1)) for name, *_ in EXPECTED}  # noqa: B023
     rows = hold(rows, **{f"_e_{n}": e["entry"] for n, e in last.items()}).drop("_entries")
     rows = hold(rows, **{f"_{k}_{n}": F.try_variant_get(F.col(f"_e_{n}"), f"$.{k}", "variant") for n in last for k in ("value", "unit")})
-    facts: dict[str, Column] = {}
-    for n in last:
-        v = F.col(f"_value_{n}")
-        facts |= {f"_null_{n}": v.isNull() | F.is_variant_null(v), f"_number_{n}": number_of(v), f"_text_{n}": text_of(F.col(f"_unit_{n}"))}
-    rows = hold(rows, **facts)
+    # what is known of the six values and units comes from one expression over an array of each, which keeps generated code small
+    facts = F.transform(F.array(*[F.col(f"_value_{n}") for n in last]), lambda v: F.struct((v.isNull() | F.is_variant_null(v)).alias("null"), number_of(v).alias("number")))
+    texts = F.transform(F.array(*[F.col(f"_unit_{n}") for n in last]), text_of)
+    rows = hold(rows, _facts=facts, _texts=texts)
+    place = {n: i for i, n in enumerate(last)}
     columns, errors = [], [F.when(F.col("_bad"), F.format_string("%s: qubit %d is not a list", "path", "qubit"))]
     for name, unit, scale, column in EXPECTED:
-        absent, null, number, text = F.col(f"_e_{name}").isNull(), F.col(f"_null_{name}"), F.col(f"_number_{name}"), F.col(f"_text_{name}")
+        fact, text = F.col("_facts")[place[name]], F.col("_texts")[place[name]]
+        absent, null, number = F.col(f"_e_{name}").isNull(), fact["null"], fact["number"]
         columns.append(F.when(~absent & ~null, number * scale).alias(column))
         columns.append(F.when(absent, "absent").when(null, "null").when(F.isnan(number), "nan").otherwise("value").alias(f"{column}_state"))
         shown = F.coalesce(F.concat(F.lit("'"), text, F.lit("'")), F.lit("none"))
         errors.append(F.when(~absent & ~F.coalesce(text == unit, F.lit(False)), F.format_string(f"%s: qubit %d has '{name}' in unit %s where '{unit}' is needed", F.col("path"), F.col("qubit"), shown)).when(~absent & ~null & number.isNull(), F.format_string(f"%s: qubit %d has no number as '{name}'", "path", "qubit")))
-    return rows.select("path", "qubit", *columns, F.coalesce(*errors).alias("error"))
+    return hold(rows, _error=F.coalesce(*errors)).select("path", "qubit", *columns, F.col("_error").alias("error"))
 
 
 def snapshot_errors(snapshots: DataFrame, qubits: DataFrame) -> DataFrame:
