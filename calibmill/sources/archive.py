@@ -66,17 +66,32 @@ def load_file(spark: SparkSession, root: str, backend: str, ts: datetime) -> Dat
 SAVED = ("saved_at", "save_id")
 
 
+def _saved(spark: SparkSession, root: str) -> DataFrame | None:
+    """All rows written to ``root``. None where there are none.
+
+    Archives of earlier versions have a folder per backend; these are read too. There an empty name was stored as NULL.
+    """
+    if not exists(spark, root):
+        return None
+    found = [len(system.globStatus(where)) > 0 for system, where in (file_system(spark, f"{root}/{x}") for x in ("part-*", "backend=*"))]
+    reader = spark.read.option("mergeSchema", "true")
+    if not found[1]:
+        return reader.parquet(root) if found[0] else None
+    old = reader.option("basePath", root).parquet(f"{root}/backend=*").withColumn("backend", F.coalesce(F.col("backend").cast("string"), F.lit("")))
+    return old.unionByName(spark.read.option("mergeSchema", "true").parquet(f"{root}/part-*"), allowMissingColumns=True) if found[0] else old
+
+
 def archive_table(spark: SparkSession, root: str) -> DataFrame | None:
     """What ``save_if_new`` wrote to ``root``, each (backend, ts) once: its first write. None where there is no archive yet."""
-    if not exists(spark, root):
+    rows = _saved(spark, root)
+    if rows is None:
         return None
-    rows = spark.read.option("mergeSchema", "true").parquet(root).withColumn("backend", F.col("backend").cast("string"))
     first = Window.partitionBy("backend", "ts").orderBy(*SAVED)
     return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
 def list_timestamps(spark: SparkSession, root: str, backend: str) -> DataFrame:
-    """The archived times of a backend in order; without an archive there are none. Reads the keys of that backend's part only."""
+    """The archived times of a backend in order; without an archive there are none. Files are sorted by backend, so other backends' keys are mostly skipped."""
     found = archive_table(spark, root)
     if found is None:
         return spark.createDataFrame([], "ts timestamp")
@@ -125,26 +140,27 @@ def writing(spark: SparkSession, root: str, wait: float = 60.0) -> Iterator[None
 def save_if_new(new: DataFrame, root: str, arrival: str | None = None, wait: float = 60.0) -> DataFrame:
     """Append the snapshots whose (backend, ts) the archive at ``root`` doesn't have, one for each; returns those it wrote.
 
-    new: backend, ts, and whatever else; rows without either are left out. The archive is Parquet partitioned by backend. Of several new
+    new: backend, ts, and whatever else; rows without either are left out. The archive is Parquet, each file sorted by backend and time; a
+    batch adds a few files, however many backends it has, and none if nothing is new. Of several new
     rows of one key the first by ``arrival`` is kept, or without it the first in the order of the rows. Writers take turns
-    (``writing``). Only the batch's backends and its stretch of time are looked up in the archive.
+    (``writing``). Only the batch's stretches of backends and of time are looked up in the archive.
     """
     spark = new.sparkSession
     order = F.col(arrival) if arrival else F.monotonically_increasing_id()
     rest = [c for c in new.columns if c not in ("backend", "ts")]
     numbered = new.where("backend is not null and ts is not null").withColumn("_order", order)
-    first = numbered.groupBy("backend", "ts").agg(F.min_by(F.struct(F.lit(0).alias("_"), *rest), F.struct("_order", F.struct(*rest) if rest else F.lit(0))).alias("_r"))
-    one = stage(first.select("backend", "ts", *[F.col("_r")[c].alias(c) for c in rest]))
-    span = one.agg(F.min("ts"), F.max("ts"), F.collect_set("backend")).first()  # one row; backends are devices
+    first = numbered.groupBy("backend", "ts").agg(F.min(F.struct("_order", *[F.col(c).alias(f"_{i}") for i, c in enumerate(rest)])).alias("_r"))
+    one = stage(first.select("backend", "ts", *[F.col("_r")[f"_{i}"].alias(c) for i, c in enumerate(rest)]))
+    span = one.agg(F.min("ts"), F.max("ts"), F.min("backend"), F.max("backend")).first()
     with writing(spark, root, wait):
-        there = archive_table(spark, root)
-        fresh = one
+        there = _saved(spark, root)
+        kept = one
         if there is not None:
-            there = there.where(F.col("ts").between(F.lit(span[0]), F.lit(span[1])) & F.col("backend").isin(span[2]))
-            fresh = one.join(there.select("backend", "ts"), ["backend", "ts"], "left_anti")
-        kept = stage(fresh)  # what is written must not depend on the folder it is written to
+            there = there.where(F.col("ts").between(F.lit(span[0]), F.lit(span[1])) & F.col("backend").between(F.lit(span[2]), F.lit(span[3])))
+            kept = stage(one.join(there.select("backend", "ts"), ["backend", "ts"], "left_anti"))  # what is written must not depend on the folder it is written to
         stamped = kept.withColumns({SAVED[0]: F.lit(datetime.now(UTC)), SAVED[1]: F.lit(uuid.uuid4().hex)})
-        stamped.write.mode("append").partitionBy("backend").parquet(root)
+        if not kept.isEmpty():
+            stamped.sortWithinPartitions("backend", "ts").write.mode("append").parquet(root)
     return kept
 
 

@@ -311,6 +311,35 @@ def test_save_if_new(spark, tmp_path):
     assert archive.list_timestamps(spark, nowhere, "b").count() == 0 and archive.load_one(spark, nowhere, "b", datetime(2026, 5, 2)).count() == 0
 
 
+def test_archive_of_many_backends(spark, tmp_path):
+    root, none = str(tmp_path / "archive"), str(tmp_path / "none")
+    rows = spark.range(3000).select(F.concat(F.lit("q"), F.col("id") % 1500).alias("backend"), F.timestamp_seconds((F.col("id") % 2) * 86400).alias("ts"), F.col("id").alias("v"))
+    assert archive.save_if_new(rows.where("v % 3 = 0"), root, arrival="v").count() == 500 and len(list((tmp_path / "archive").rglob("*.parquet"))) < 20
+    assert archive.save_if_new(rows, root, arrival="v").count() == 1000 and archive.save_if_new(rows, root).count() == 0
+    files = list((tmp_path / "archive").rglob("*.parquet"))
+    assert len(files) < 40 and archive.archive_table(spark, root).count() == 1500 and archive.save_if_new(rows.limit(0), none).count() == 0 and archive.archive_table(spark, none) is None
+    assert [r.v for r in archive.load_one(spark, root, "q7", datetime(1970, 1, 2)).collect()] == [7] and archive.list_timestamps(spark, root, "q8").count() == 1
+
+
+def test_archive_keeps_odd_names(spark, tmp_path):
+    rows = spark.createDataFrame([("007", datetime(2026, 5, 1), 1), ("", datetime(2026, 5, 1), 2)], "backend string, ts timestamp, v int")
+    for names in (["007"], [""], ["007", ""]):
+        root = str(tmp_path / f"archive{len(names)}{names[0]}")
+        batch = rows.where(F.col("backend").isin(names))
+        assert archive.save_if_new(batch, root).count() == len(names) and archive.save_if_new(batch, root).count() == 0
+        assert {r.backend for r in archive.archive_table(spark, root).collect()} == set(names)
+
+
+def test_archive_with_a_folder_per_backend(spark, tmp_path):
+    root = str(tmp_path / "archive")
+    rows = spark.createDataFrame([("a", datetime(2026, 5, 1), 1), ("", datetime(2026, 5, 1), 2)], "backend string, ts timestamp, v int")
+    rows.withColumns({"saved_at": F.current_timestamp(), "save_id": F.lit("x")}).write.partitionBy("backend").parquet(root)  # as versions before wrote
+    more = rows.unionByName(spark.createDataFrame([("a", datetime(2026, 5, 2), 3), ("c", datetime(2026, 5, 2), 4)], rows.schema))
+    assert {r.v for r in archive.save_if_new(more, root).collect()} == {3, 4} and archive.save_if_new(more, root).count() == 0
+    assert {(r.backend, r.ts.day, r.v) for r in archive.archive_table(spark, root).collect()} == {("a", 1, 1), ("", 1, 2), ("a", 2, 3), ("c", 2, 4)}
+    assert archive.list_timestamps(spark, root, "a").count() == 2
+
+
 def test_one_of_several_writers_wins(spark, tmp_path):
     root = str(tmp_path / "archive")
     write = lambda i: archive.save_if_new(spark.createDataFrame([("b", datetime(2026, 5, 1), i)], "backend string, ts timestamp, v int"), root).count()
